@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import gbt, mixing, packing, rules, warc
+from . import gbt, mixing, packing, rules, sharding, topk, warc
 
 
 def queries() -> dict:
     return {
+        "op1_balanced_sharding": sharding.op1_balanced_sharding,
         "op2_quality_rules": rules.op2_quality_rules,
         "op4_mixing": mixing.op4_mixing,
+        "op6_bit_sliced_topk": topk.op6_bit_sliced_topk,
         "op8_quality_classifier": gbt.op8_quality_classifier,
         "op9_warc": warc.op9_warc,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_mixing": mixing.OP4_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op6_bit_sliced_topk": topk.OP6_SQL}
