@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gbt, mixing, packing, rules, sharding, topk, warc
+from . import gbt, html_extract, mixing, packing, rules, sharding, topk, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_rules": rules.op2_quality_rules,
         "op4_mixing": mixing.op4_mixing,
         "op6_bit_sliced_topk": topk.op6_bit_sliced_topk,
+        "op7_html_extraction": html_extract.op7_html_extraction,
         "op8_quality_classifier": gbt.op8_quality_classifier,
         "op9_warc": warc.op9_warc,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
