@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import gbt, html_extract, mixing, packing, rules, sharding, topk, warc
+from . import gbt, html_extract, mixing, neardup, packing, rules, sharding, substring, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_balanced_sharding": sharding.op1_balanced_sharding,
         "op2_quality_rules": rules.op2_quality_rules,
+        "op3_hyperminhash_neardup": neardup.op3_hyperminhash_neardup,
         "op4_mixing": mixing.op4_mixing,
+        "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_bit_sliced_topk": topk.op6_bit_sliced_topk,
         "op7_html_extraction": html_extract.op7_html_extraction,
         "op8_quality_classifier": gbt.op8_quality_classifier,
