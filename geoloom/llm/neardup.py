@@ -194,7 +194,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     chunks = members.groupBy("cluster").agg(F.ceil(F.sum("n") * 2 / F.lit(task_shingles)).cast("int").alias("chunks"))
     chunks = chunks.withColumn("chunks", F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")))
     members = materialize(spark, members.join(chunks, "cluster").select(F.col("id").alias("doc_id"), "cluster", "chunks", "set_key"))
-    sets = _sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id"), width)
+    sets = _sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.hint("merge"), "doc_id"), width)  # alike at every size: no switch to a broadcast
     sets = sets.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = sets.groupBy("cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
     links = met.applyInPandas(_confirm(percent), "a long, b long")
