@@ -183,7 +183,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     whole = found.join(spans.where("n > 1").select("fp", "span"), ["fp", "span"]).select("key", "s0", "s1")
     differ = spans.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp")
     opened = spans.join(differ, "fp").groupBy("at.key").agg(F.collect_list(F.struct("fp", "n", "at.s0", "at.s1")).alias("open"))
-    windows = materialize(spark, _windows(keyed.join(opened, "key"), window))
+    windows = materialize(spark, _windows(keyed.join(opened.hint("merge"), "key"), window))
     twice = windows.groupBy("fp", "h").agg(F.count("*").alias("times")).where("times > 1").select("fp", "h")
     single = windows.where("n = 1").join(twice, ["fp", "h"]).select("key", F.col("start").alias("s0"), F.col("start").alias("s1"))
     return whole.union(single).groupBy("key").agg(F.collect_set(F.struct("s0", "s1")).alias("spans"))
@@ -199,7 +199,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     docs = docs.drop("n_words", "n_removed", "kept_text")
     spans = materialize(spark, repeated_spans(spark, docs, window, gram, batches))
     names = docs.columns
-    joined = docs.withColumn("_key", _key()).join(spans.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+    joined = docs.withColumn("_key", _key()).join(spans.withColumnRenamed("key", "_key").hint("merge"), "_key", "left").drop("_key")
 
     def run(batches):
         for batch in batches:

@@ -136,7 +136,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     first = own.select("_sha", "page_id").groupBy("_sha").agg(F.min("page_id").alias("_first"))
     revisit = ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return own.join(first, "_sha").select("page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
+    return own.join(first.hint("merge"), "_sha").select("page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
 
 def write_archives(spark: SparkSession, records: DataFrame, folder: str, file_rows: int = FILE_ROWS) -> DataFrame:
