@@ -109,7 +109,7 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         path = f"{self.folder}/run-{uuid.uuid4().hex}"
-        rows.repartitionByRange("fp", "key", "s0").sortWithinPartitions("fp", "key", "s0").write.parquet(path)
+        rows.repartition("fp", "key").sortWithinPartitions("fp", "key", "s0").write.parquet(path)
         self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that are done with
         return path
 
