@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from .tagfilter import first_value
 
 ADDRESS_TAIL = ("addr:city", "addr:state", "addr:postcode")
-PHONE_KEYS = ("phone", "contact:phone", "contact:mobile")
+# Keys of contact fields, keys and prefixes left out of the tag line, and keys that say what a place is.
+PHONE_KEYS = ("phone", "contact:phone", "telephone")
 WEBSITE_KEYS = ("website", "contact:website", "url")
+SKIPPED_KEYS = ("name", "phone", "telephone", "website", "url", "operator")
+SKIPPED_PREFIXES = ("addr:", "contact:")
+CATEGORY_KEYS = ("amenity", "craft", "healthcare", "leisure", "office", "shop", "tourism")
 
 
 def non_empty(c: Column) -> Column:
@@ -37,7 +41,7 @@ def address_parts(tags: Column) -> Column:
     return F.aggregate(own, empty, lambda m, t: F.map_concat(F.map_filter(m, lambda k, v: k != F.replace(t["k"], F.lit(":"), F.lit("_"))), F.create_map(F.replace(t["k"], F.lit(":"), F.lit("_")), t["v"])))
 
 
-def tag_line(tags: Column, skipped: tuple[str, ...] = (), prefixes: tuple[str, ...] = ()) -> Column:
+def tag_line(tags: Column, skipped: tuple[str, ...] = SKIPPED_KEYS, prefixes: tuple[str, ...] = SKIPPED_PREFIXES) -> Column:
     """'k=v; k=v' in key order, without some keys and prefixes."""
     keep = F.filter(tags, lambda t: ~t["k"].isin(list(skipped) or [""]) & ~F.coalesce(t["k"].rlike("^(" + "|".join(prefixes) + ")"), F.lit(False))) if prefixes else F.filter(tags, lambda t: ~t["k"].isin(list(skipped) or [""]))
     return F.array_join(F.array_sort(F.transform(keep, lambda t: F.concat(t["k"], F.lit("="), t["v"]))), "; ")
@@ -76,6 +80,10 @@ def fold_name(name: str) -> str:
     return " ".join(n("NFKC", "".join(kept)).split())
 
 
-@F.pandas_udf("string")
-def normalize_name(names: pd.Series) -> pd.Series:
-    return names.map(fold_name, na_action="ignore")
+def normalize_name(c: Column | str) -> Column:
+    """fold_name by Arrow batches."""
+
+    def fold(names: pd.Series) -> pd.Series:
+        return names.map(fold_name, na_action="ignore")
+
+    return F.pandas_udf(fold, "string", functionType=F.PandasUDFType.SCALAR)(c)

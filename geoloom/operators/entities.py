@@ -19,15 +19,22 @@ def entities(nodes: DataFrame) -> DataFrame:
     name = T.non_empty(first_value(F.col("tags"), "name"))
     return nodes.withColumn("name", name).where("name is not null").select(
         F.lit(1).alias("osm_type"), F.col("id").alias("osm_id"), "name", "lon7", "lat7", T.address(F.col("tags")).alias("address"), T.first_of(F.col("tags"), T.PHONE_KEYS).alias("phone"),
-        T.first_of(F.col("tags"), T.WEBSITE_KEYS).alias("website"), T.tag_line(F.col("tags"), ("name",), ("addr:",)).alias("tag_line"), F.size("tags").alias("n_tags"), T.address_parts(F.col("tags")).alias("address_parts"),
+        T.first_of(F.col("tags"), T.WEBSITE_KEYS).alias("website"), T.first_of(F.col("tags"), ("operator",)).alias("operator"), T.tag_line(F.col("tags")).alias("tag_line"), F.exists("tags", lambda t: t["k"].isin(*T.CATEGORY_KEYS)).alias("has_category"), T.address_parts(F.col("tags")).alias("address_parts"),
     )
 
 
 def richness(e: DataFrame) -> Column:
-    """Compared in this order: contact fields, completeness, tags."""
+    """Compared in this order: contact fields, completeness (name, category, operator, address parts), other tags."""
     there = lambda c: (F.coalesce(F.length(c), F.lit(0)) > 0).cast("int")
-    contact = there("phone") + there("website") + there("address")
-    return F.struct(contact.alias("contact_fields"), (contact + there("name") + there("tag_line")).alias("completeness"), F.col("n_tags").alias("tag_count"))
+    contact = there("address") + there("phone") + there("website")
+    complete = there("name") + F.col("has_category").cast("int") + there("operator") + F.size("address_parts")
+    rest = F.when(F.col("tag_line") == "", 0).otherwise(F.size(F.split("tag_line", "; ")))
+    return F.struct(contact.alias("contact_fields"), complete.alias("completeness"), rest.alias("tag_count"))
+
+
+def checked_broadcast(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
+    """Broadcast `df` if it is proven small, else leave the join to Spark."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
 def _vector(lon: float, lat: float) -> tuple[float, float, float]:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 def ring_area2(points: Column) -> Column:
     """Twice the signed area of a closed ring, array<struct<x, y>> of integers, exact."""
-    pairs = F.arrays_zip(F.slice(points, F.lit(1), F.size(points) - 1).alias("a"), F.slice(points, F.lit(2), F.size(points) - 1).alias("b"))
-    zero = F.lit(0).cast("decimal(38,0)")
-    cross = lambda s, p: (s + p["0"]["x"].cast("decimal(18,0)") * p["1"]["y"].cast("decimal(18,0)") - p["1"]["x"].cast("decimal(18,0)") * p["0"]["y"].cast("decimal(18,0)")).cast("decimal(38,0)")
-    return F.aggregate(pairs, zero, cross)
+    n = F.size(points) - 1
+    big = lambda c: c.cast("decimal(18,0)")
+    crosses = F.zip_with(F.slice(points, F.lit(1), n), F.slice(points, F.lit(2), n), lambda p, q: (big(p["x"]) * big(q["y"]) - big(q["x"]) * big(p["y"])).cast("decimal(38,0)"))
+    return F.aggregate(crosses, F.lit(0).cast("decimal(38,0)"), lambda s, c: (s + c).cast("decimal(38,0)"))
 
 
 def rdp_mask(points: np.ndarray, eps: float) -> np.ndarray:

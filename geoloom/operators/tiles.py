@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import mercator as M
 
-#: Layers in drawing order, the first part of a feature's sort key.
-SORT_LAYERS = ("water", "landuse", "natural", "leisure", "boundary", "building", "highway", "railway", "place", "amenity", "shop", "tourism", "office", "healthcare", "craft", "historic", "club", "emergency", "education")
+# Layers in the order of their numbers, the first part of a feature's sort key.
+SORT_LAYERS = (
+    "highway", "building", "water", "natural", "landuse", "railway", "amenity", "leisure", "boundary", "place", "shop", "tourism", "office", "healthcare", "craft", "historic", "club", "emergency", "education",
+)
 
 
 def size_class(px: Column) -> Column:

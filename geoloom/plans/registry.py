@@ -2,14 +2,372 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from ..functions import classify as C
+from ..functions import mercator as M
+from ..functions import style, tagfilter
+from ..functions import text as T
+from ..operators import changes as CH
+from ..operators import entities as E
+from ..operators import geometry as G
+from ..operators import tiles as TI
+from ..operators import ways as W
+from ..sources import tables as S
+
+_QUERIES: dict = {}
+_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+# Classes of the adapters' tags, for SQL: layer, class, min_zoom by key and value.
+_CLASSES = """classes AS (SELECT * FROM (VALUES ('amenity','restaurant','amenity','restaurant',13),('shop','bakery','shop','bakery',14),('tourism','hotel','tourism','hotel',13),('leisure','park','leisure','park',8),
+ ('natural','water','water','lake',6),('amenity','kiosk','amenity','other',13),('natural','peak','natural','peak',10),('historic','castle','historic','castle',10),('building','yes','building','yes',13),
+ ('highway','motorway','highway','motorway',4),('highway','primary','highway','primary',7),('highway','residential','highway','residential',12),('highway','service','highway','service',13),('highway','footway','highway','footway',14),
+ ('landuse','forest','landuse','forest',7),('landuse','residential','landuse','residential',7),('landuse','farmyard','landuse','farmland',7),('landuse','quarry','landuse','quarry',7)) t(k, v, layer, class, min_zoom)),
+rows_ AS (SELECT osm_type, id, layer, class, min_zoom, (32 - min_zoom) * 4 + CASE WHEN layer IN ('highway', 'water') THEN 2 ELSE 0 END AS importance FROM elements JOIN classes USING (k, v))"""
+
+
+@query(_with(S.ELEMENTS_SQL, _CLASSES) + "SELECT layer, count(*) AS n, min(min_zoom)::INT AS min_zoom FROM rows_ GROUP BY layer")
+def layer_counts(spark: SparkSession, d: str) -> DataFrame:
+    return C.classified(S.elements(spark, d)).groupBy("layer").agg(F.count("*").alias("n"), F.min("min_zoom").alias("min_zoom")).orderBy(F.desc("n"), "layer")
+
+
+@query(_with(S.ELEMENTS_SQL, _CLASSES) + "SELECT osm_type, id, layer, class, min_zoom::INT AS min_zoom, importance::INT AS importance FROM rows_")
+def class_rows(spark, d):
+    return C.classified(S.elements(spark, d)).select("osm_type", "id", "layer", "class", "min_zoom", "importance")
+
+
+@query(_with(S.ELEMENTS_SQL, _CLASSES) + "SELECT osm_type, id, layer FROM rows_ WHERE layer IN ('highway', 'shop')")
+def layer_set(spark, d):
+    return C.classified(S.elements(spark, d), {"highway", "shop"}).select("osm_type", "id", "layer")
+
+
+@query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM elements GROUP BY osm_type")
+def element_counts(spark, d):
+    return S.elements(spark, d).groupBy("osm_type").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def _filtered(text: str):
+    return lambda spark, d: S.elements(spark, d).where(tagfilter.parse(text).column(F.col("tags"))).select("osm_type", "id")
+
+
+_QUERIES["tag_filter_any"] = _filtered('shop=* amenity=restaurant highway="primary"')
+_SQL["tag_filter_any"] = _with(S.ELEMENTS_SQL) + "SELECT osm_type, id FROM elements WHERE k = 'shop' OR (k = 'amenity' AND v = 'restaurant') OR (k = 'highway' AND v = 'primary')"
+_QUERIES["tag_filter_not"] = _filtered("!name")
+_SQL["tag_filter_not"] = _with(S.ELEMENTS_SQL) + "SELECT osm_type, id FROM elements WHERE osm_type = 3"
+_QUERIES["tag_filter_differs"] = _filtered("highway!=primary")
+_SQL["tag_filter_differs"] = _with(S.ELEMENTS_SQL) + "SELECT osm_type, id FROM elements WHERE NOT (k = 'highway' AND v = 'primary')"
+
+
+@query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, id FROM elements WHERE k IN ('highway', 'landuse') AND NOT (v IN ('footway', 'quarry'))")
+def include_exclude(spark, d):
+    keep = tagfilter.parse("highway landuse") & ~tagfilter.parse("highway=footway landuse=quarry")
+    return S.elements(spark, d).where(keep.column(F.col("tags"))).select("osm_type", "id")
+
+
+@query(_with(S.NODES_SQL) + "SELECT id, 'name=' || name || '|addr:city=' || city AS kept FROM nodes")
+def retained_tags(spark, d):
+    own = tagfilter.retained(F.col("tags"), ["name", "addr:city"])
+    return S.nodes(spark, d).select("id", F.array_join(F.transform(own, lambda t: F.concat(t["k"], F.lit("="), t["v"])), "|").alias("kept"))
+
+
+_TILE = "floor((lon7 / 1e7 + 180) / 360 * pow(2, {z}))::BIGINT AS x, floor((0.5 - ln((1 + sin(radians(lat7 / 1e7))) / (1 - sin(radians(lat7 / 1e7)))) / (4 * pi())) * pow(2, {z}))::BIGINT AS y"
+
+
+@query(_with(S.NODES_SQL) + f"SELECT id, {_TILE.format(z=14)} FROM nodes")
+def tile_index_z14(spark, d):
+    return S.nodes(spark, d).select("id", M.cell(M.unit_x(F.col("lon7") / 1e7), 14).alias("x"), M.cell(M.unit_y(F.col("lat7") / 1e7), 14).alias("y"))
+
+
+@query(_with(S.NODES_SQL, f"t AS (SELECT {_TILE.format(z=10)}, id FROM nodes)") + "SELECT x // 2 AS px, y // 2 AS py, count(*) AS n, min(id) AS first_id FROM t GROUP BY ALL")
+def tile_parents(spark, d):
+    n = S.nodes(spark, d).select("id", M.cell(M.unit_x(F.col("lon7") / 1e7), 10).alias("x"), M.cell(M.unit_y(F.col("lat7") / 1e7), 10).alias("y"))
+    return n.groupBy(M.parent(F.col("x")).alias("px"), M.parent(F.col("y")).alias("py")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query(_with(S.NODES_SQL, f"t AS (SELECT {_TILE.format(z=3)}, id FROM nodes)")
+       + """SELECT id, (
+  WITH RECURSIVE h(s, x, y, d) AS (SELECT 4::BIGINT, t.x, t.y, 0::BIGINT UNION ALL
+    SELECT s // 2, CASE WHEN (y & s) = 0 THEN CASE WHEN (x & s) > 0 THEN s - 1 - (y & (s - 1)) ELSE y & (s - 1) END ELSE x & (s - 1) END,
+      CASE WHEN (y & s) = 0 THEN CASE WHEN (x & s) > 0 THEN s - 1 - (x & (s - 1)) ELSE x & (s - 1) END ELSE y & (s - 1) END,
+      d + s * s * xor(CASE WHEN (x & s) > 0 THEN 3 ELSE 0 END, CASE WHEN (y & s) > 0 THEN 1 ELSE 0 END) FROM h WHERE s > 0)
+  SELECT max(d) + 21 FROM h)::BIGINT AS tile_id FROM t""")
+def hilbert_order(spark, d):
+    n = S.nodes(spark, d)
+    return n.select("id", M.hilbert_id(3, M.cell(M.unit_x(F.col("lon7") / 1e7), 3), M.cell(M.unit_y(F.col("lat7") / 1e7), 3)).alias("tile_id"))
+
+
+_LOCATED = f"""{S.REFS_SQL}, {S.NODES_SQL},
+located AS (SELECT way_id, count(*) AS n_refs, count(*) FILTER (WHERE id IS NULL) AS missing, arg_min(node_id, pos) = arg_max(node_id, pos) AS same_ends,
+  sum(CASE WHEN id IS NOT NULL THEN (pos + 1) * (lon7 // 1000) END)::BIGINT AS lon_sum, sum(CASE WHEN id IS NOT NULL THEN (lat7 // 1000) END)::BIGINT AS lat_sum FROM refs LEFT JOIN nodes ON node_id = id GROUP BY way_id)"""
+
+
+def _located(spark, d):
+    return W.located(S.way_refs(spark, d), S.nodes(spark, d))
+
+
+@query(_with(_LOCATED) + "SELECT way_id, n_refs, missing, n_refs >= 4 AND same_ends AND missing = 0 AS closed, coalesce(lat_sum, 0)::BIGINT AS lat_sum FROM located")
+def way_geometry(spark, d):
+    lat = F.aggregate("points", F.lit(0).cast("long"), lambda a, p: a + (p["lat7"] / 1000).cast("long"))
+    return _located(spark, d).select("way_id", "n_refs", "missing", "closed", lat.alias("lat_sum"))
+
+
+@query(_with(_LOCATED) + "SELECT count(*) AS ways, count(*) FILTER (WHERE missing = 0) AS complete, count(*) FILTER (WHERE missing > 0) AS incomplete, count(*) FILTER (WHERE n_refs - missing >= 2) AS available FROM located")
+def incomplete_ways(spark, d):
+    return _located(spark, d).agg(F.count("*").alias("ways"), F.count_if(F.col("missing") == 0).alias("complete"), F.count_if(F.col("missing") > 0).alias("incomplete"), F.count_if(F.size("points") >= 2).alias("available"))
+
+
+@query(_with(_LOCATED) + "SELECT way_id FROM located WHERE missing = 0 AND way_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')")
+def needed_ways(spark, d):
+    outer = S.members(spark, d).where("role = 'outer'")
+    return W.usable(_located(spark, d)).join(W.needed_ways(outer), "way_id", "left_semi").select("way_id")
+
+
+@query(_with(_LOCATED) + "SELECT o_custkey AS relation_id, count(*) AS n_members, count(way_id) AS n_found, count(*) = count(way_id) AS complete FROM orders LEFT JOIN (SELECT way_id FROM located WHERE missing = 0) ON way_id = o_orderkey GROUP BY 1")
+def relation_completeness(spark, d):
+    return W.relation_completeness(S.members(spark, d), W.usable(_located(spark, d)))
+
+
+_SEGMENTS = f"""{S.REFS_SQL}, segs AS (SELECT a.way_id, least(a.node_id, b.node_id) AS a, greatest(a.node_id, b.node_id) AS b FROM refs a JOIN refs b ON a.way_id = b.way_id AND b.pos = a.pos + 1 WHERE a.node_id <> b.node_id)"""
+
+
+@query(_with(_SEGMENTS) + "SELECT way_id, a, b FROM segs GROUP BY ALL HAVING count(*) % 2 = 1")
+def segment_parity(spark, d):
+    return W.odd_segments(W.segments(S.way_refs(spark, d)), "way_id")
+
+
+@query(_with(_SEGMENTS, "v AS (SELECT way_id, a AS v FROM segs UNION ALL SELECT way_id, b FROM segs)", "g AS (SELECT way_id, v, count(*) AS degree FROM v GROUP BY ALL)") + "SELECT way_id, count(*) AS n_vertices, count(*) FILTER (WHERE degree % 2 = 1) AS n_odd, min(v) FILTER (WHERE degree % 2 = 1) AS first_odd FROM g GROUP BY way_id")
+def vertex_degree(spark, d):
+    return W.vertex_degrees(W.segments(S.way_refs(spark, d)), "way_id")
+
+
+@query("SELECT p_partkey AS id, (2 * (p_size + 1) * (p_size + 1))::BIGINT AS area2 FROM part")
+def ring_area(spark, d):
+    x, y, s = F.col("p_partkey") * 7, F.col("p_partkey") * 13, F.col("p_size") + 1
+    point = lambda a, b: F.struct(a.cast("long").alias("x"), b.cast("long").alias("y"))
+    ring = F.array(point(x, y), point(x + s, y), point(x + s, y + s), point(x, y + s), point(x, y))
+    return S.read(spark, d, "part").select(F.col("p_partkey").alias("id"), G.ring_area2(ring).cast("long").alias("area2"))
+
+
+@query(_with(S.NODES_SQL) + "SELECT c::BIGINT AS c, min(lon7) AS min_lon, min(lat7) AS min_lat, max(lon7) AS max_lon, max(lat7) AS max_lat FROM nodes GROUP BY c")
+def feature_bbox(spark, d):
+    return S.nodes(spark, d).groupBy((F.col("id") % 10).alias("c")).agg(F.min("lon7").alias("min_lon"), F.min("lat7").alias("min_lat"), F.max("lon7").alias("max_lon"), F.max("lat7").alias("max_lat"))
+
+
+@query(_with(S.NODES_SQL) + "SELECT a.id AS box_id, count(*) AS hits FROM nodes a JOIN nodes b ON a.c = 0 AND b.lon7 BETWEEN a.lon7 AND a.lon7 + 100000000 AND b.lat7 BETWEEN a.lat7 AND a.lat7 + 50000000 GROUP BY 1")
+def bbox_overlap(spark, d):
+    """Boxes meet points by grid cell, then exactly."""
+    n = S.nodes(spark, d)
+    side = 50000000
+    cell = lambda c: F.floor(c / side)
+    boxes = n.where("id % 10 = 0").select(F.col("id").alias("box_id"), F.col("lon7").alias("w"), F.col("lat7").alias("s"), (F.col("lon7") + 100000000).alias("e"), (F.col("lat7") + 50000000).alias("n"))
+    boxes = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("w")), cell(F.col("e"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("s")), cell(F.col("n")))))
+    points = n.select("lon7", "lat7", cell(F.col("lon7")).alias("cx"), cell(F.col("lat7")).alias("cy"))
+    return boxes.join(points, ["cx", "cy"]).where("lon7 between w and e and lat7 between s and n").groupBy("box_id").agg(F.count("*").alias("hits"))
+
+
+@query(_with(S.NODES_SQL) + "SELECT id AS osm_id, house || ' ' || street || ', ' || city AS address FROM nodes")
+def entity_address(spark, d):
+    return E.entities(S.nodes(spark, d)).select("osm_id", "address")
+
+
+@query(_with(S.NODES_SQL, S.ELEMENTS_SQL) + "SELECT id AS osm_id, k || '=' || v AS tag_line, 3 AS n_parts FROM elements WHERE osm_type = 1")
+def entity_tags(spark, d):
+    return E.entities(S.nodes(spark, d)).select("osm_id", "tag_line", F.size("address_parts").alias("n_parts"))
+
+
+@query(_with(S.ELEMENTS_SQL) + "SELECT id AS osm_id, 1 AS contact_fields, 4 + CASE WHEN k IN ('amenity', 'shop', 'tourism', 'leisure') THEN 1 ELSE 0 END AS completeness, 1 AS tag_count FROM elements WHERE osm_type = 1")
+def entity_richness(spark, d):
+    e = E.entities(S.nodes(spark, d))
+    return e.select("osm_id", E.richness(e).alias("r")).select("osm_id", "r.*")
+
+
+@query(_with(S.NODES_SQL) + "SELECT id, printf('%.7f', lon7 / 1e7) AS lon, printf('%.7f', lat7 / 1e7) AS lat, CASE WHEN id % 3 = 0 THEN '''=' ELSE '' END || name AS name FROM nodes")
+def csv_rows(spark, d):
+    name = F.concat(F.when(F.col("id") % 3 == 0, "=").otherwise(""), tagfilter.first_value(F.col("tags"), "name"))
+    return S.nodes(spark, d).select("id", T.degrees7(F.col("lon7")).alias("lon"), T.degrees7(F.col("lat7")).alias("lat"), T.csv_safe(name).alias("name"))
+
+
+@query(_with(S.NODES_SQL) + """SELECT id, '{"type":"Feature","id":"node/' || id || '","properties":{"name":"' || name || '"}}' AS feature FROM nodes""")
+def geojson_rows(spark, d):
+    name = tagfilter.first_value(F.col("tags"), "name")
+    return S.nodes(spark, d).select("id", F.to_json(F.struct(F.lit("Feature").alias("type"), T.osm_name(F.lit(1), F.col("id")).alias("id"), F.struct(name.alias("name")).alias("properties"))).alias("feature"))
+
+
+@query()
+def entity_dedup(spark, d):
+    """Places of one name in a small area, of which near ones go."""
+    n = S.nodes(spark, d)
+    near = n.withColumn("lon7", F.col("id") % 50 * 20000).withColumn("lat7", F.col("id") % 7 * 3000)
+    return E.deduplicated(E.entities(near), 100.0)
+
+
+@query("SELECT doc_id, lower(trim(regexp_replace(left_, '[ \\n]+', ' ', 'g'))) AS folded FROM (SELECT doc_id, lang || '  ' || source || ' X' AS left_ FROM documents)")
+def normalized_names(spark, d):
+    return S.read(spark, d, "documents").select("doc_id", T.normalize_name(F.concat("lang", F.lit("  "), "source", F.lit(" X"))).alias("folded"))
+
+
+@query(_with(S.CHANGES_SQL) + "SELECT id, arg_max(action, version * 10000000 + seq) AS action, max(version) AS version, arg_max(value, version * 10000000 + seq) AS value FROM changes WHERE version IS NOT NULL GROUP BY id")
+def change_latest(spark, d):
+    return CH.latest(S.changes(spark, d).where("version is not null")).select("id", "action", "version", "value")
+
+
+@query(_with(S.CHANGES_SQL) + "SELECT id, arg_max(action, version * 10000000 + seq) AS action, max(version) AS version, arg_max(value, version * 10000000 + seq) AS value FROM changes WHERE version IS NOT NULL GROUP BY id")
+def change_fold_versioned(spark, d):
+    return CH.folded(S.changes(spark, d).where("version is not null")).select("id", "action", "version", "value")
+
+
+@query()
+def change_fold(spark, d):
+    return CH.folded(S.changes(spark, d)).select("id", "action", "version", "value")
+
+
+_APPLY = _with(S.CHANGES_SQL, "state AS (SELECT id, arg_max(action, version * 10000000 + seq) AS action, arg_max(value, version * 10000000 + seq) AS new FROM changes WHERE version IS NOT NULL GROUP BY id)", "base AS (SELECT c_custkey AS id, c_custkey AS old FROM customer WHERE c_custkey % 2 = 0)",
+               "done AS (SELECT coalesce(base.id, state.id) AS id, CASE WHEN action IS NULL THEN old WHEN action <> 'delete' THEN new END AS value, CASE WHEN action IS NULL THEN 'unchanged' WHEN action = 'delete' THEN CASE WHEN base.id IS NULL THEN 'absent' ELSE 'deleted' END WHEN base.id IS NULL THEN 'created' ELSE 'modified' END AS outcome FROM base FULL OUTER JOIN state ON base.id = state.id)")
+
+
+def _applied(spark, d):
+    base = S.read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("value"))
+    return CH.applied(base, CH.latest(S.changes(spark, d).where("version is not null")))
+
+
+@query(_APPLY + "SELECT id, value, outcome FROM done")
+def apply_changes(spark, d):
+    return _applied(spark, d)
+
+
+@query(_APPLY + "SELECT count(*) FILTER (WHERE outcome = 'created') AS created, count(*) FILTER (WHERE outcome = 'modified') AS modified, count(*) FILTER (WHERE outcome = 'deleted') AS deleted, count(*) FILTER (WHERE outcome = 'unchanged') AS unchanged FROM done")
+def apply_stats(spark, d):
+    return CH.apply_stats(_applied(spark, d))
+
+
+@query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, id - 500 AS id, row_number() OVER (ORDER BY osm_type, id - 500 >= 0, abs(id - 500)) AS place FROM elements WHERE id < 1000")
+def file_order(spark, d):
+    from pyspark.sql import Window
+
+    e = S.elements(spark, d).where("id < 1000").select("osm_type", (F.col("id") - 500).alias("id"))
+    return e.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("osm_type", F.col("id") >= 0, F.abs("id"))).cast("long"))
+
+
+_PIECES = _with(S.NODES_SQL, S.ELEMENTS_SQL, _CLASSES, f"p AS (SELECT r.id, layer, importance, z, {_TILE.format(z='z')} FROM rows_ r JOIN nodes n ON r.id = n.id AND r.osm_type = 1, range(4, 15) t(z) WHERE z >= min_zoom)")
+
+
+def _pieces(spark, d):
+    n = S.nodes(spark, d)
+    rows = C.classified(n.select(F.lit(1).alias("osm_type"), "id", "tags")).join(n.select("id", "lon7", "lat7"), "id")
+    return TI.point_pieces(rows, 4, 14)
+
+
+@query(_PIECES + "SELECT layer, min(z)::INT AS min_zoom, max(z)::INT AS max_zoom, count(*) AS pieces FROM p GROUP BY layer")
+def layer_stats(spark, d):
+    return TI.layer_stats(_pieces(spark, d))
+
+
+@query(_PIECES + "SELECT z::INT AS z, count(DISTINCT (x, y)) AS tiles, count(*) AS features FROM p GROUP BY z")
+def tile_summary(spark, d):
+    return TI.tile_summary(_pieces(spark, d))
+
+
+@query(_PIECES + "SELECT z::INT AS z, x, y, id, layer, row_number() OVER (PARTITION BY z, x, y ORDER BY importance DESC, id, layer)::INT AS place FROM p QUALIFY place <= 3")
+def tile_top(spark, d):
+    return TI.best_in_tile(_pieces(spark, d), 3).select("z", "x", "y", "id", "layer", "place")
+
+
+@query(_with(S.ELEMENTS_SQL, _CLASSES) + f"SELECT osm_type, id, ((list_position([{', '.join(repr(x) for x in TI.SORT_LAYERS)}], layer) - 1)::BIGINT << 56) + ((255 - importance)::BIGINT << 48) + ((65535 - id % 100)::BIGINT << 32) AS sort_key FROM rows_")
+def secondary_key(spark, d):
+    return C.classified(S.elements(spark, d)).select("osm_type", "id", TI.secondary_key(F.col("layer"), F.col("importance"), F.col("id") % 100).alias("sort_key"))
+
+
+@query(_with(S.NODES_SQL) + "SELECT (lon7 + 1800000000) // 450000000 AS col, count(*) AS n FROM nodes GROUP BY 1")
+def box_expansion(spark, d):
+    b = S.nodes(spark, d).select("id", *[(F.col(c) / 1e7).alias(a) for a, c in (("min_lon", "lon7"), ("max_lon", "lon7"), ("min_lat", "lat7"), ("max_lat", "lat7"))])
+    return TI.expand_box(b, 3).groupBy(F.col("x").alias("col")).agg(F.count("*").alias("n"))
+
+
+@query(_PIECES + ", w AS (SELECT DISTINCT z, x, y FROM p WHERE z = 14), l AS (SELECT DISTINCT z, x, y FROM p WHERE z IN (6, 10)) SELECT w.z::INT AS z, w.x, w.y, min(14 - l.z)::INT AS up FROM w LEFT JOIN l ON l.x = w.x >> (14 - l.z) AND l.y = w.y >> (14 - l.z) GROUP BY ALL")
+def ancestor_lookup(spark, d):
+    p = _pieces(spark, d)
+    return TI.ancestor_lookup(p.where("z = 14").select("z", "x", "y").distinct(), p.where("z in (6, 10)").select("z", "x", "y"), 14)
+
+
+def _styled(spark, d):
+    o = S.read(spark, d, "orders")
+    attrs = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"), F.lit("price"), F.floor("o_totalprice").cast("string"))
+    return o.select(F.col("o_orderkey").alias("id"), attrs.alias("attrs"), (F.col("o_orderkey") % 20).alias("zoom"))
+
+
+_ORDERS = "WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderpriority AS p, floor(o_totalprice) AS price, o_orderkey % 20 AS zoom FROM orders) "
+
+
+def _property(name: str, expression, default, sql: str):
+    _QUERIES[name] = lambda spark, d: _styled(spark, d).select("id", style.property_column(expression, F.col("attrs"), F.col("zoom"), default).alias("value"))
+    _SQL[name] = _ORDERS + f"SELECT id, {sql} AS value FROM o"
+
+
+_property("style_match", ["match", ["get", "status"], ["O", "F"], "open", "P", "part", "none"], "none", "CASE WHEN s IN ('O', 'F') THEN 'open' WHEN s = 'P' THEN 'part' ELSE 'none' END")
+_property("style_case", ["case", ["all", ["==", ["get", "status"], "O"], [">", ["zoom"], 10]], 1, ["in", "URGENT", ["get", "priority"]], 2, 3], 0.0, "CASE WHEN s = 'O' AND zoom > 10 THEN 1 WHEN p LIKE '%URGENT%' THEN 2 ELSE 3 END::DOUBLE")
+_property("style_step", ["step", ["zoom"], "far", 5, "mid", 12, "near"], "far", "CASE WHEN zoom >= 12 THEN 'near' WHEN zoom >= 5 THEN 'mid' ELSE 'far' END")
+_property("style_interpolate", ["interpolate", ["linear"], ["zoom"], 4, 1, 8, 3, 16, 11], 0.0, "CASE WHEN zoom <= 4 THEN 1 WHEN zoom < 8 THEN 1 + 2 * (zoom - 4) / 4.0::DOUBLE WHEN zoom < 16 THEN 3 + 8 * (zoom - 8) / 8.0::DOUBLE ELSE 11 END::DOUBLE")
+_property("style_to_number", ["to-number", ["get", "status"], ["get", "price"]], 0.0, "price::DOUBLE")
+_property("style_coalesce", ["coalesce", ["get", "absent"], ["get", "status"]], "", "s")
+_property("style_to_string", ["to-string", ["to-number", ["get", "price"]]], "", "price::BIGINT::VARCHAR")
+
+
+@query(_ORDERS + "SELECT id FROM o WHERE NOT (s = 'O' OR p IN ('1-URGENT', '2-HIGH'))")
+def style_filter(spark, d):
+    s = _styled(spark, d)
+    return s.where(style.filter_column(["none", ["==", "status", "O"], ["in", "priority", "1-URGENT", "2-HIGH"]], F.col("attrs"), F.col("zoom"))).select("id")
+
+
+@query("SELECT event_id AS seq, printf('%03d/%03d/%03d', event_id * 7919 // 1000000, event_id * 7919 // 1000 % 1000, event_id * 7919 % 1000) AS path FROM events")
+def sequence_path(spark, d):
+    return S.read(spark, d, "events").select(F.col("event_id").alias("seq"), T.sequence_path(F.col("event_id") * 7919).alias("path"))
+
+
+@query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, string_agg(DISTINCT k, ',' ORDER BY k) AS field_names FROM elements GROUP BY osm_type")
+def metadata_fields(spark, d):
+    e = S.elements(spark, d)
+    first = e.select("osm_type", F.get("tags", F.lit(0))["k"].alias("k")).where("k <> 'type'").union(e.where("osm_type = 3").select("osm_type", F.get("tags", F.lit(1))["k"]))
+    return first.groupBy("osm_type").agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("field_names"))
+
+
+@query()
+def simplified_ways(spark, d):
+    ways = W.usable(_located(spark, d)).select(F.col("way_id").alias("id"), F.transform("points", lambda p: p["lon7"] / 1e7).alias("xs"), F.transform("points", lambda p: p["lat7"] / 1e7).alias("ys"))
+    return G.simplified(ways, 20.0)
+
+
+@query(_with(S.NODES_SQL) + "SELECT a.id, min_by(b.id, (abs(a.lon7 - b.lon7) + abs(a.lat7 - b.lat7)) * 1000000 + b.id) AS nearest FROM nodes a JOIN nodes b ON a.id % 100 = 0 AND b.id <> a.id GROUP BY a.id")
+def nearest_poi(spark, d):
+    """A stated set of clicks against all places; the least distance is combined before the shuffle."""
+    n = S.nodes(spark, d).select("id", "lon7", "lat7")
+    asked = E.checked_broadcast(n.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("lon7").alias("qx"), F.col("lat7").alias("qy")))
+    far = F.abs(F.col("lon7") - F.col("qx")) + F.abs(F.col("lat7") - F.col("qy"))
+    return n.join(asked, F.col("id") != F.col("q")).groupBy("q").agg(F.min(F.struct(far.alias("far"), "id")).alias("m")).select(F.col("q").alias("id"), F.col("m.id").alias("nearest"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layer_counts(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
