@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
-from .docstats import COUNTS, features, with_counts
+from .common import read, small_batches, texts_of
+from .docstats import COUNTS, features, text_counts
 from .labelled import held_out, training_rows
 
 #: Score from which a document is predicted good.
@@ -92,18 +92,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
     return f
 
 
-def score_counts(counts: DataFrame, forest: Forest, keep: tuple[str, ...]) -> DataFrame:
-    """`keep` columns of `counts`, score double and predicted int."""
-    kept = counts.select(*keep).schema
-
-    def run(batches):
-        for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS], axis=1) if batch.num_rows else np.zeros((0, len(COUNTS)))
-            score = forest.score(features(rows))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept.names), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*kept.names, "score", "predicted"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), "score double", "predicted int"])
-    return counts.select(*keep, *(c for c in COUNTS if c not in keep)).mapInArrow(run, schema)
+def scores(batch: pa.RecordBatch, forest: Forest) -> np.ndarray:
+    """Scores of a batch's texts."""
+    return forest.score(features(np.array([text_counts(t) for t in texts_of(batch)], np.int64).reshape(-1, len(COUNTS))))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -112,31 +103,29 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     Null and empty texts have all statistics 0 and are scored as such. Repeated rows are scored alike. An empty table
     gives no rows; without labels every score is 0.5.
     """
-    counts = materialize(spark, with_counts(spark, docs))
-    forest = fit(*training_rows(counts, labels, only_learn=True))
-    scored = score_counts(counts, forest, ("doc_id",))
+    small_batches(spark)
+    forest = fit(*training_rows(spark, docs, labels, only_learn=True))
+
+    def run(batches):
+        for batch in batches:
+            score = scores(batch, forest)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are predicted good, with the columns of `docs`."""
-    narrow = materialize(spark, with_counts(spark, docs.select("doc_id", "text")))
-    forest = fit(*training_rows(narrow, labels, only_learn=True))
-    names = docs.columns
-    clash = [c for c in (*(f"_s_{c}" for c in COUNTS), "score", "predicted") if c in names]
-    if clash:
-        raise ValueError(f"columns {clash} are in the way")
-    kept = docs.schema
+    small_batches(spark)
+    forest = fit(*training_rows(spark, docs, labels, only_learn=True))
 
     def run(batches):
-        from .common import texts_of
-        from .docstats import text_counts
-
         for batch in batches:
-            rows = np.array([text_counts(t) for t in texts_of(batch)], np.int64).reshape(-1, len(COUNTS))
-            yield batch.filter(pa.array(forest.score(features(rows)) >= THRESHOLD))
+            yield batch.filter(pa.array(scores(batch, forest) >= THRESHOLD))
 
-    return docs.mapInArrow(run, kept)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

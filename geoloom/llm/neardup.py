@@ -206,9 +206,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose document is the first of its group, with the columns of `docs`; repeated rows once."""
-    kept = near_duplicates(spark, docs, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    """The rows of `docs` whose document is the first of its group, with the columns of `docs`.
+
+    Rows that repeat a doc_id stay once; of rows without a doc_id those of unlike texts stay.
+    """
+    gone = near_duplicates(spark, docs, **options).where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    return left.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
 
 
 def op3_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

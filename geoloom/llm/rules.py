@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import read
 from .docstats import FEATURES, feature_columns, with_counts
 from .labelled import training_rows
 
@@ -136,8 +136,8 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have no words and fail the base. Repeated rows are judged alike. An empty table gives no
     rows; without labels only the base counts.
     """
-    counts = materialize(spark, with_counts(spark, docs))
-    rules = learn(*training_rows(counts, labels, only_learn=False))
+    counts = with_counts(spark, docs)
+    rules = learn(*training_rows(spark, docs, labels, only_learn=False))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counts.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
