@@ -117,16 +117,16 @@ class FingerprintIndex:
         return self.spark.read.schema("fp long, span long, key long, s0 int, s1 int").parquet(path)
 
     def append(self, rows: DataFrame) -> None:
-        """Add a batch of postings as a run and note which of its fingerprints repeat, in it or in an older run."""
+        """Add a batch of postings as a run and note which of its fingerprints repeat, in it or in an older run, with the least and greatest span hash."""
         path = self._write(rows)
-        counts = self._read(path).groupBy("fp").agg(F.count("*").alias("n"))
+        found = self._read(path).groupBy("fp").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
         if self.runs:
-            older = self._read(self.runs[0][1]).select("fp")
-            for _, other in self.runs[1:]:
-                older = older.union(self._read(other).select("fp"))
-            older = older.distinct().withColumn("old", F.lit(True))
-            counts = counts.join(older.hint("merge"), "fp", "left").where("n > 1 or old")
-        self.repeated.append(materialize(self.spark, counts.where("n > 1" if not self.runs else "true").select("fp")))
+            older = self._union([p for _, p in self.runs]).groupBy("fp").agg(F.min("span").alias("old_low"), F.max("span").alias("old_high"))
+            found = found.join(older.hint("merge"), "fp", "left").where("n > 1 or old_low is not null")
+            found = found.select("fp", F.least("low", "old_low").alias("low"), F.greatest("high", "old_high").alias("high"))
+        else:
+            found = found.where("n > 1").select("fp", "low", "high")
+        self.repeated.append(materialize(self.spark, found))
         self.runs.append((0, path))
         self._compact()
 
@@ -144,12 +144,11 @@ class FingerprintIndex:
         return out
 
     def repeats(self) -> DataFrame:
-        """All postings whose fingerprint repeats."""
+        """All postings whose fingerprint repeats, with `alike`: whether all of the fingerprint's spans are equal."""
         found = self.repeated[0]
         for r in self.repeated[1:]:
             found = found.union(r)
-        if len(self.repeated) > 1:
-            found = found.distinct()
+        found = found.groupBy("fp").agg((F.min("low") == F.max("high")).alias("alike"))
         return self._union([p for _, p in self.runs]).join(found, "fp")
 
 
@@ -179,10 +178,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     for b in range(batches):
         index.append(postings(keyed.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == b), window, gram))
     found = materialize(spark, index.repeats())
-    spans = materialize(spark, found.groupBy("fp", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "s0", "s1")).alias("at")))
-    whole = found.join(spans.where("n > 1").select("fp", "span"), ["fp", "span"]).select("key", "s0", "s1")
-    differ = spans.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp")
-    opened = spans.join(differ, "fp").groupBy("at.key").agg(F.collect_list(F.struct("fp", "n", "at.s0", "at.s1")).alias("open"))
+    differ = found.where("not alike")
+    spans = materialize(spark, differ.groupBy("fp", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "s0", "s1")).alias("at")))
+    whole = found.where("alike").union(differ.join(spans.where("n > 1").select("fp", "span"), ["fp", "span"]).select(*found.columns)).select("key", "s0", "s1")
+    opened = spans.groupBy("at.key").agg(F.collect_list(F.struct("fp", "n", "at.s0", "at.s1")).alias("open"))
     windows = materialize(spark, _windows(keyed.join(opened.hint("merge"), "key"), window))
     twice = windows.groupBy("fp", "h").agg(F.count("*").alias("times")).where("times > 1").select("fp", "h")
     single = windows.where("n = 1").join(twice, ["fp", "h"]).select("key", F.col("start").alias("s0"), F.col("start").alias("s1"))
