@@ -39,7 +39,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("near-duplicates", near_duplicates), ("substring dedup", substrings), ("mixing", mixture), ("packing", packed)]
 
-#: A forest of trees, registers and best fit have no SQL form; tests/llm/test_pipeline.py has a brute-force version.
+#: A forest of trees, registers and best fit have no SQL form; tests/llm holds each stage's operator against brute force.
 ORACLE_SQL = None
 
 
