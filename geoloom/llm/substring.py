@@ -80,7 +80,7 @@ def _key() -> "F.Column":
 
 
 def postings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """fp, span, key, s0 and s1 of all segments of `docs` (key long, text)."""
+    """fp, span, key, s0, s1 and n of all segments of `docs` (key long, text): n like segments in a row, with windows s0 to s1."""
 
     def run(batches):
         for batch in batches:
@@ -90,12 +90,15 @@ def postings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
                 w = words.of(text.split())
                 fp, s0, s1 = segments(w, window, gram)
                 if len(fp):
-                    parts.append((fp, span_hash(prefix(w), s0, s1 + window), np.full(len(fp), key), s0, s1))
+                    span = span_hash(prefix(w), s0, s1 + window)
+                    head = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (span[1:] != span[:-1])]))
+                    ends = np.append(head[1:], len(fp))  # like segments in a row, as a word said over and over gives, are one posting
+                    parts.append((fp[head], span[head], np.full(len(head), key), s0[head], s1[ends - 1], ends - head))
             if parts:
-                fp, span, key, s0, s1 = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32))], names=["fp", "span", "key", "s0", "s1"])
+                fp, span, key, s0, s1, n = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32)), pa.array(n.astype(np.int32))], names=["fp", "span", "key", "s0", "s1", "n"])
 
-    return docs.select("key", "text").mapInArrow(run, "fp long, span long, key long, s0 int, s1 int")
+    return docs.select("key", "text").mapInArrow(run, "fp long, span long, key long, s0 int, s1 int, n int")
 
 
 class FingerprintIndex:
@@ -114,12 +117,12 @@ class FingerprintIndex:
         return path
 
     def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("fp long, span long, key long, s0 int, s1 int").parquet(path)
+        return self.spark.read.schema("fp long, span long, key long, s0 int, s1 int, n int").parquet(path)
 
     def append(self, rows: DataFrame) -> None:
         """Add a batch of postings as a run and note which of its fingerprints repeat, in it or in an older run, with the least and greatest span hash."""
         path = self._write(rows)
-        found = self._read(path).groupBy("fp").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
+        found = self._read(path).groupBy("fp").agg(F.sum("n").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
         if self.runs:
             older = self._union([p for _, p in self.runs]).groupBy("fp").agg(F.min("span").alias("old_low"), F.max("span").alias("old_high"))
             found = found.join(older.hint("merge"), "fp", "left").where("n > 1 or old_low is not null")
@@ -179,7 +182,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
         index.append(postings(keyed.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == b), window, gram))
     found = materialize(spark, index.repeats())
     differ = found.where("not alike")
-    spans = materialize(spark, differ.groupBy("fp", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "s0", "s1")).alias("at")))
+    spans = materialize(spark, differ.groupBy("fp", "span").agg(F.sum("n").alias("n"), F.min(F.struct("key", "s0", "s1")).alias("at")))
     whole = found.where("alike").union(differ.join(spans.where("n > 1").select("fp", "span"), ["fp", "span"]).select(*found.columns)).select("key", "s0", "s1")
     opened = spans.groupBy("at.key").agg(F.collect_list(F.struct("fp", "n", "at.s0", "at.s1")).alias("open"))
     windows = materialize(spark, _windows(keyed.join(opened.hint("merge"), "key"), window))

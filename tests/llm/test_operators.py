@@ -127,7 +127,7 @@ def test_index_compacts(spark, docs):
         index.append(substring.postings(keyed.where(F.col("doc_id") % 4 == b)))
     assert [level for level, _ in index.runs] == [2]
     every = substring.postings(keyed)
-    assert index.repeats().count() == every.join(every.groupBy("fp").count().where("count > 1"), "fp").count()
+    assert index.repeats().count() == every.join(every.groupBy("fp").agg(F.sum("n").alias("times")).where("times > 1"), "fp").count()
 
 
 def test_substring_of_empty_table(spark, nothing):
