@@ -6,17 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def folded(changes: DataFrame) -> DataFrame:
-    """id, action, version, value, seq of the change that holds in the end, for changes (seq, id, action, version, value).
+def fold(changes: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:
+    """keys, order, action, version and payload of the change that holds in the end.
 
-    In order of seq a change replaces the stored one unless both versions are known and the new one is lower. An
-    object's changes are few, so its fold stays in one row.
+    In `order` a change replaces the stored one unless both versions are known and the new one is lower. An object's
+    changes are few, so its fold stays in one row.
     """
-    empty = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("seq", "long"), ("action", "string"), ("version", "int"), ("value", "long"))])
-    row = F.struct(F.col("seq").cast("long").alias("seq"), "action", F.col("version").cast("int").alias("version"), F.col("value").cast("long").alias("value"))
+    row = F.struct(*order, "action", "version", *payload)
+    empty = F.lit(None).cast(changes.select(row.alias("s")).schema["s"].dataType)
     older = lambda s, c: F.coalesce(c["version"] < s["version"], F.lit(False))
     last = F.aggregate(F.array_sort("all"), empty, lambda s, c: F.when(older(s, c), s).otherwise(c))
-    return changes.groupBy("id").agg(F.collect_list(row).alias("all")).select("id", last.alias("s")).select("id", "s.*")
+    return changes.groupBy(*keys).agg(F.collect_list(row).alias("all")).select(*keys, last.alias("s")).select(*keys, "s.*")
+
+
+def folded(changes: DataFrame) -> DataFrame:
+    """id, seq, action, version, value of the change that holds in the end, for changes (seq, id, action, version, value)."""
+    typed = changes.select("id", F.col("seq").cast("long").alias("seq"), "action", F.col("version").cast("int").alias("version"), F.col("value").cast("long").alias("value"))
+    return fold(typed, ["id"], ["seq"], ["value"])
+
+
+def folded_elements(changes: DataFrame) -> DataFrame:
+    """The same for whole elements, as sources.files.read_changes has them."""
+    return fold(changes, ["osm_type", "id"], ["seq", "ord"], ["lon7", "lat7", "refs", "members", "tags"])
+
+
+def applied_elements(base: DataFrame, state: DataFrame) -> DataFrame:
+    """osm_type, id, lon7, lat7, refs, members, tags and outcome: base elements after the final states; deleted rows stay, without content."""
+    content = ["lon7", "lat7", "refs", "members", "tags"]
+    b = base.select("osm_type", "id", F.struct(*content).alias("old"))
+    s = state.select("osm_type", "id", "action", F.struct(*content).alias("new"))
+    both = b.join(s, ["osm_type", "id"], "full_outer")
+    was = F.col("old").isNotNull()
+    outcome = F.when(F.col("action").isNull(), "unchanged").when(F.col("action") == "delete", F.when(was, "deleted").otherwise("absent")).otherwise(F.when(was, "modified").otherwise("created"))
+    kept = F.when(F.col("action").isNull(), F.col("old")).when(F.col("action") != "delete", F.col("new"))
+    return both.select("osm_type", "id", kept.alias("kept"), outcome.alias("outcome")).select("osm_type", "id", "kept.*", "outcome")
 
 
 def latest(changes: DataFrame) -> DataFrame:

@@ -1,0 +1,114 @@
+import gzip
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from geoloom.functions import classify
+from geoloom.operators import changes
+from geoloom.sources import files
+
+RING = [[0, 0], [0, 1], [1, 1], [1, 0], [0, 0]]
+
+
+def _feature(kind, coordinates, properties=None, **more):
+    return {"type": "Feature", "geometry": {"type": kind, "coordinates": coordinates}, "properties": properties, **more}
+
+
+FEATURES = [
+    _feature("Point", [1.5, 2.5, 9], {"amenity": "cafe", "n": 5, "open": True, "none": None, "list": [1], "obj": {"a": 1}, "text": "[1]"}, id="node/7"),
+    _feature("Polygon", [RING, [[0, 0], [1, 1]]], {"building": "yes", "@id": "w12"}),
+    _feature("LineString", [[0, 0], [1, 1]], {"highway": "primary"}, id=33),
+    _feature("LineString", [[0, 0]], {"highway": "primary"}),
+    _feature("Point", [181, 0], None, id="33"),
+    _feature("MultiPolygon", [[RING]], {"natural": "water"}, id="relation/-4"),
+    _feature("GeometryCollection", [], {}),
+]
+
+
+def _check_features(rows):
+    got = {(r.osm_type, r.id): r for r in rows}
+    assert len(got) == len(FEATURES) and {(1, 7), (2, 12), (1, 33), (3, -4)} <= set(got)
+    cafe = got[1, 7]
+    assert cafe.coordinates == [[[[1.5, 2.5, 9.0]]]] and {t.k: t.v for t in cafe.tags} == {"amenity": "cafe", "n": "5", "open": "true", "text": "[1]"}
+    assert got[2, 12].coordinates == [[[[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]]]  # turned counter-clockwise, the bad hole left out
+    assert got[1, 33].coordinates == [[[[0, 0], [1, 1]]]] and got[3, -4].geometry_type == "MultiPolygon"
+    unnamed = [r for k, r in got.items() if k[1] < 0 and k != (3, -4)]
+    assert len(unnamed) == 3 and all(r.coordinates is None for r in unnamed)
+
+
+def test_geojson(spark, tmp_path):
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": FEATURES}, indent=1))
+    whole = files.read_geojson(spark, str(tmp_path / "a.geojson"))
+    _check_features(whole.collect())
+    assert {r.id for r in whole.where("coordinates is null").collect()} == {-1, -2, -3}
+    assert {(r.id, r.layer) for r in classify.classified(whole.where("coordinates is not null")).collect()} >= {(12, "building"), (-4, "water")}
+    (tmp_path / "b.geojsonl").write_text("\n".join(map(json.dumps, FEATURES)) + "\n\n")
+    _check_features(files.read_geojson(spark, str(tmp_path / "b.geojsonl"), by_line=True).collect())
+    (tmp_path / "c.geojson").write_text('{"type": "FeatureCollection", "features": []}')
+    assert files.read_geojson(spark, str(tmp_path / "c.geojson")).count() == 0
+    (tmp_path / "d.geojson").write_text('{"type": "Point", "coordinates": [0, 0]}')
+    with pytest.raises(Exception, match="not a GeoJSON"):
+        files.read_geojson(spark, str(tmp_path / "d.geojson")).collect()
+
+
+BASE = "osm_type int, id long, lon7 int, lat7 int, refs array<long>, members array<struct<osm_type: int, ref: long, role: string>>, tags array<struct<k: string, v: string>>"
+
+
+def test_diffs_fold_into_a_base(spark, tmp_path):
+    place = tmp_path / "000" / "000"
+    place.mkdir(parents=True)
+    (place / "101.osc").write_text(
+        """<?xml version="1.0"?><osmChange version="0.6"><bounds><node/></bounds><modify><node id="2" version="2" lon="0.0000025" lat="-0.00000015"><tag k="a" v="1 &amp; 2"/></node></modify>
+        <create><node id="50" version="1" lon="0.000005" lat="0"/></create><delete><way id="11" version="2"><nd ref="2"/></way></delete></osmChange>"""
+    )
+    (place / "102.osc.gz").write_bytes(gzip.compress(
+        b"""<osmChange><create><way id="12" version="1"><nd ref="1"/><nd ref="50"/></way></create><modify><node id="50" version="2" lon="0.0000051" lat="0"/></modify>
+        <modify><relation id="20" version="3" visible="false"><member type="way" ref="11" role="outer"/></relation></modify></osmChange>"""
+    ))
+    read = files.read_changes(spark, str(place / "*"))
+    rows = read.orderBy("seq", "ord").collect()
+    assert [(r.seq, r.ord, r.action, r.osm_type, r.id) for r in rows] == [
+        (101, 0, "modify", 1, 2), (101, 1, "create", 1, 50), (101, 2, "delete", 2, 11), (102, 0, "create", 2, 12), (102, 1, "modify", 1, 50), (102, 2, "delete", 3, 20),
+    ]
+    assert (rows[0].lon7, rows[0].lat7, rows[0].tags[0].v) == (25, -2, "1 & 2") and rows[2].refs is None and rows[3].refs == [1, 50]
+    base = spark.createDataFrame([(1, 1, 10, 0, None, None, []), (1, 2, 20, 0, None, None, []), (1, 3, 30, 0, None, None, []), (2, 10, None, None, [1, 2], None, []), (2, 11, None, None, [2, 3], None, []), (3, 20, None, None, None, [], [])], BASE)
+    done = changes.applied_elements(base, changes.folded_elements(read))
+    assert {r.outcome: r.n for r in done.groupBy("outcome").agg(F.count("*").alias("n")).collect()} == {"created": 2, "modified": 1, "deleted": 2, "unchanged": 3}
+    left = {(r.osm_type, r.id): r for r in done.where("outcome <> 'deleted'").collect()}
+    assert {k: r.lon7 for k, r in left.items() if k[0] == 1} == {(1, 1): 10, (1, 2): 25, (1, 3): 30, (1, 50): 51} and {k for k in left if k[0] > 1} == {(2, 10), (2, 12)}
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "", "<osm/>", "<osmChange><node id='1'/></osmChange>", "<osmChange><create><tag k='a' v='b'/></create></osmChange>", "<osmChange><create><node id='x' lon='0' lat='0'/></create></osmChange>",
+        "<osmChange><create><node id='1' lon='181' lat='0'/></create></osmChange>", "<osmChange><create><node id='1'/></create></osmChange>", "<osmChange><create><way id='1'>", "<!DOCTYPE x [<!ENTITY e 'e'>]><osmChange/>",
+        "<osmChange><create><way id='1'><way id='2'/></way></create></osmChange>", "<osmChange><create><relation id='1'><member type='area' ref='1'/></relation></create></osmChange>",
+    ],
+)
+def test_malformed_diffs(text):
+    diff = files._Diff()
+    with pytest.raises((ValueError, files.expat.ExpatError)):
+        diff.parser.Parse(text.encode(), True)
+
+
+def test_gzip_bounds():
+    data = gzip.compress(b"x" * 3_000_000)
+    assert b"".join(files._pieces(data, 3_000_000)) == b"x" * 3_000_000
+    with pytest.raises(ValueError, match="more than"):
+        list(files._pieces(data, 2_999_999))
+    with pytest.raises(ValueError, match="early"):
+        list(files._pieces(data[:-20], 3_000_000))
+
+
+def test_states(spark, tmp_path):
+    (tmp_path / "102.state.txt").write_text("#comment\nsequenceNumber=102\ntimestamp=2026-10-08T12\\:02\\:00Z\nother=1\n")
+    row = files.read_states(spark, str(tmp_path)).first()
+    assert (row.sequence, row.timestamp) == (102, "2026-10-08T12:02:00Z")
+    texts = spark.createDataFrame([("sequenceNumber=5\ntimestamp=2026-13-08T12:02:00Z",), ("a\n sequenceNumber = 6 \r\n",)], "t string")
+    assert [(r.s.sequence, r.s.timestamp) for r in texts.select(files.state_of(F.col("t")).alias("s")).collect()] == [(5, None), (6, None)]
+    again = spark.createDataFrame([(7, "2026-01-02T03:04:05Z"), (8, None)], "n long, at string").select("n", "at", files.state_of(files.state_text(F.col("n"), F.col("at"))).alias("s"))
+    assert all((r.n, r["at"]) == (r.s.sequence, r.s.timestamp) for r in again.collect())
+    with pytest.raises(Exception, match="sequenceNumber"):
+        texts.limit(1).select(files.state_of(F.lit("timestamp=1")).alias("s")).collect()
