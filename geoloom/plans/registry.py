@@ -14,6 +14,7 @@ from ..operators import entities as E
 from ..operators import geometry as G
 from ..operators import tiles as TI
 from ..operators import ways as W
+from ..sources import files as FI
 from ..sources import tables as S
 
 _QUERIES: dict = {}
@@ -339,6 +340,16 @@ def sequence_path(spark, d):
     return S.read(spark, d, "events").select(F.col("event_id").alias("seq"), T.sequence_path(F.col("event_id") * 7919).alias("path"))
 
 
+@query(
+    r"""SELECT event_id AS seq, 'sequenceNumber=' || event_id || chr(10) || 'timestamp=' || strftime(ts, '%Y-%m-%dT%H\:%M\:%SZ') || chr(10) AS state,
+ event_id AS sequence, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events"""
+)
+def state_round_trip(spark, d):
+    e = S.read(spark, d, "events").select(F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("written"))
+    e = e.withColumn("state", FI.state_text(F.col("seq"), F.col("written"))).withColumn("s", FI.state_of(F.col("state")))
+    return e.select("seq", "state", "s.sequence", F.col("s.timestamp").alias("at"))
+
+
 @query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, string_agg(DISTINCT k, ',' ORDER BY k) AS field_names FROM elements GROUP BY osm_type")
 def metadata_fields(spark, d):
     e = S.elements(spark, d)
