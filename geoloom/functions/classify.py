@@ -97,8 +97,8 @@ def closed_way_is_area(key: Column, value: Column, area: Column) -> Column:
     return F.when(area == "yes", True).when(area == "no", False).otherwise(rule.otherwise(True))
 
 
-def classified(elements: DataFrame, layers: set[str] | None = None) -> DataFrame:
-    """One row per element and layer: osm_type, id, layer, rank, class_key, class_value, class, min_zoom, importance."""
-    rows = elements.select("osm_type", "id", F.explode(class_rows(F.col("tags"), layers)).alias("r")).select("osm_type", "id", "r.*")
+def classified(elements: DataFrame, layers: set[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per element and layer: osm_type, id, the columns to keep, layer, rank, class_key, class_value, class, min_zoom, importance."""
+    rows = elements.select("osm_type", "id", *keep, F.explode(class_rows(F.col("tags"), layers)).alias("r")).select("osm_type", "id", *keep, "r.*")
     rows = rows.withColumn("min_zoom", min_zoom(F.col("layer"), F.col("class")))
     return rows.withColumn("importance", importance(F.col("layer"), F.col("min_zoom")))

@@ -9,12 +9,16 @@ from ..functions import classify as C
 from ..functions import mercator as M
 from ..functions import style, tagfilter
 from ..functions import text as T
+from ..operators import areas as A
 from ..operators import changes as CH
 from ..operators import entities as E
 from ..operators import geometry as G
+from ..operators import render as R
 from ..operators import tiles as TI
 from ..operators import ways as W
 from ..sources import files as FI
+from ..sources import pbf as PBF
+from ..sources import pmtiles as PM
 from ..sources import tables as S
 
 _QUERIES: dict = {}
@@ -269,9 +273,7 @@ _PIECES = _with(S.NODES_SQL, S.ELEMENTS_SQL, _CLASSES, f"p AS (SELECT r.id, laye
 
 
 def _pieces(spark, d):
-    n = S.nodes(spark, d)
-    rows = C.classified(n.select(F.lit(1).alias("osm_type"), "id", "tags")).join(n.select("id", "lon7", "lat7"), "id")
-    return TI.point_pieces(rows, 4, 14)
+    return TI.point_pieces(C.classified(S.nodes(spark, d).withColumn("osm_type", F.lit(1)), keep=("lon7", "lat7")), 4, 14)
 
 
 @query(_PIECES + "SELECT layer, min(z)::INT AS min_zoom, max(z)::INT AS max_zoom, count(*) AS pieces FROM p GROUP BY layer")
@@ -372,6 +374,95 @@ def nearest_poi(spark, d):
     return n.join(asked, F.col("id") != F.col("q")).groupBy("q").agg(F.min(F.struct(far.alias("far"), "id")).alias("m")).select(F.col("q").alias("id"), F.col("m.id").alias("nearest"))
 
 
+@query(
+    _with(S.NODES_SQL, S.ELEMENTS_SQL, S.REFS_SQL, "w AS (SELECT way_id, count(*) AS n_refs, string_agg(node_id::VARCHAR, ',' ORDER BY pos) AS refs FROM refs GROUP BY way_id)",
+          "r AS (SELECT o_custkey AS rid, string_agg(o_orderkey || ':' || CASE o_orderstatus WHEN 'O' THEN 'outer' WHEN 'F' THEN 'inner' ELSE '' END, ',' ORDER BY o_orderkey) AS members FROM orders GROUP BY o_custkey)")
+    + """SELECT e.osm_type, e.id, n.lon7::INT AS lon7, n.lat7::INT AS lat7, CASE osm_type WHEN 3 THEN 'multipolygon' ELSE e.v END AS first_value, CASE osm_type WHEN 2 THEN coalesce(w.refs, '') END AS refs, CASE osm_type WHEN 3 THEN coalesce(r.members, '') END AS members
+ FROM elements e LEFT JOIN nodes n ON osm_type = 1 AND n.id = e.id LEFT JOIN w ON osm_type = 2 AND way_id = e.id LEFT JOIN r ON osm_type = 3 AND rid = e.id"""
+)
+def pbf_elements(spark, d):
+    """All elements written as PBF part files and read back by byte ranges."""
+    folder = S.scratch(spark)
+    PBF.write(S.map_elements(spark, d), folder, spark.sparkContext.defaultParallelism).write.format("noop").mode("overwrite").save()
+    members = F.array_join(F.transform("members", lambda m: F.concat(m["ref"].cast("string"), F.lit(":"), m["role"])), ",")
+    return PBF.read(spark, folder).select("osm_type", "id", "lon7", "lat7", F.get("tags", F.lit(0))["v"].alias("first_value"), F.array_join("refs", ",").alias("refs"), members.alias("members"))
+
+
+def _corners(x, y, w, h) -> list:
+    return [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+
+
+def _shapes(spark, d):
+    """Sides of two neighbouring squares and of a hole in the first, by part; of every fifth one side is missing, of every seventh the hole sticks out."""
+    p = S.read(spark, d, "part").select("p_partkey")
+    x, y, size = F.col("p_partkey") * 7919 % 3000000 * 100, F.col("p_partkey") * 104729 % 1700000 * 100, (F.col("p_partkey") % 50 + 1) * 4000
+    out = F.when(F.col("p_partkey") % 7 == 3, (size / 2).cast("long")).otherwise(F.lit(0))
+    sides = []
+    for at, (role, ring) in enumerate((("outer", _corners(x, y, size, size)), ("outer", _corners(x + size, y, size, size)), ("inner", _corners(x + (size / 4).cast("long"), y + (size / 4).cast("long") + out, (size / 2).cast("long"), (size / 2).cast("long"))))):
+        for i, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1])):
+            sides.append(F.struct(F.lit(at * 4 + i).alias("ord"), F.lit(role).alias("role"), a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")))
+    rows = p.select(F.col("p_partkey").alias("relation_id"), F.inline(F.array(*sides)))
+    return rows.where("not (ord = 4 and relation_id % 5 = 2)")
+
+
+@query(
+    """SELECT p_partkey AS relation_id, CASE WHEN p_partkey % 7 = 3 THEN 'self_intersection' WHEN p_partkey % 5 = 2 THEN 'open_ring' ELSE 'ok' END AS status, 2::BIGINT AS duplicate_segments,
+ CASE WHEN p_partkey % 7 = 3 OR p_partkey % 5 = 2 THEN 0 ELSE 2 END::BIGINT AS n_rings, CASE WHEN p_partkey % 7 = 3 OR p_partkey % 5 = 2 THEN 0 ELSE (7 * s * s) // 2 END::BIGINT AS area2 FROM (SELECT p_partkey, (p_partkey % 50 + 1) * 4000 AS s FROM part)"""
+)
+def area_assembly(spark, d):
+    made = A.assemble(_shapes(spark, d))
+    rings = F.flatten("polygons")
+    total = F.aggregate(F.transform(rings, lambda r: G.ring_area2(r)), F.lit(0).cast("decimal(38,0)"), lambda s, v: (s + v).cast("decimal(38,0)"))
+    return made.select("relation_id", "status", "duplicate_segments", F.size(rings).cast("long").alias("n_rings"), total.cast("long").alias("area2"))
+
+
+def _point_features(spark, d):
+    n = S.nodes(spark, d).withColumn("osm_type", F.lit(1))
+    shape = F.array(F.array(F.array(F.struct("lon7", "lat7"))))
+    return C.classified(n, keep=("lon7", "lat7")).select("osm_type", "id", "layer", "min_zoom", "importance", F.lit(1).alias("kind"), shape.alias("shape"), F.create_map(F.lit("class"), F.col("class")).alias("attrs"))
+
+
+_GRID = """px AS (SELECT id, c, z::INT AS z, (lon7 / 1e7 + 180) / 360 * pow(2, z) * 4096 AS wx, (0.5 - ln((1 + sin(radians(lat7 / 1e7))) / (1 - sin(radians(lat7 / 1e7)))) / (4 * pi())) * pow(2, z) * 4096 AS wy
+  FROM nodes, range(10, 15) t(z)),
+pt AS (SELECT px.id, z, layer, class, x::INT AS x, y::INT AS y, wx - x * 4096 AS fx, wy - y * 4096 AS fy FROM px JOIN rows_ r ON r.osm_type = 1 AND r.id = px.id AND z >= min_zoom,
+  LATERAL (SELECT unnest(range(greatest(floor((wx - 64) / 4096), 0)::BIGINT, least(floor((wx + 64) / 4096), pow(2, z) - 1)::BIGINT + 1)) AS x), LATERAL (SELECT unnest(range(greatest(floor((wy - 64) / 4096), 0)::BIGINT, least(floor((wy + 64) / 4096), pow(2, z) - 1)::BIGINT + 1)) AS y))"""
+
+
+@query(_with(S.NODES_SQL, S.ELEMENTS_SQL, _CLASSES, _GRID) + "SELECT z, x, y, layer, id * 10 + 1 AS id, class, round(fx)::BIGINT AS px, round(fy)::BIGINT AS py FROM pt")
+def tile_points(spark, d):
+    """Points rendered, encoded as vector tiles and decoded again."""
+    tiles = R.assemble(R.render(_point_features(spark, d), 10, 14))
+    at = F.col("parts")[0][0][0]
+    return R.decoded(tiles).select("z", "x", "y", "layer", "id", F.col("attrs")["class"].alias("class"), at["x"].alias("px"), at["y"].alias("py"))
+
+
+@query(_with(S.NODES_SQL, S.ELEMENTS_SQL, _CLASSES, _GRID) + "SELECT z, x, y, count(*) AS features FROM pt GROUP BY ALL")
+def tile_archive(spark, d):
+    """Tiles written to archives by ranges of tile ids and read back by leaf directories."""
+    folder = S.scratch(spark)
+    PM.write(R.assemble(R.render(_point_features(spark, d), 10, 14)), folder, archives=4, metadata={"name": "points"}).write.format("noop").mode("overwrite").save()
+    return R.decoded(PM.read(spark, folder)).groupBy("z", "x", "y").agg(F.count("*").alias("features"))
+
+
+_RECT = """sq AS (SELECT id, lon7 / 1e7 AS w, lat7 / 1e7 AS s, (lon7 + (id % 50 + 1) * 20000) / 1e7 AS e, (lat7 + (id % 50 + 1) * 20000) / 1e7 AS n FROM nodes),
+sw AS (SELECT id, z::INT AS z, (w + 180) / 360 * pow(2, z) * 4096 AS x0, (e + 180) / 360 * pow(2, z) * 4096 AS x1, (0.5 - ln((1 + sin(radians(n))) / (1 - sin(radians(n)))) / (4 * pi())) * pow(2, z) * 4096 AS y0,
+  (0.5 - ln((1 + sin(radians(s))) / (1 - sin(radians(s)))) / (4 * pi())) * pow(2, z) * 4096 AS y1 FROM sq, range(10, 13) t(z)),
+st AS (SELECT id, z, x::INT AS x, y::INT AS y, round(greatest(x0 - x * 4096, -64)) AS a, round(least(x1 - x * 4096, 4160)) AS b, round(greatest(y0 - y * 4096, -64)) AS c, round(least(y1 - y * 4096, 4160)) AS d FROM sw,
+  LATERAL (SELECT unnest(range(greatest(floor((x0 - 64) / 4096), 0)::BIGINT, least(floor((x1 + 64) / 4096), pow(2, z) - 1)::BIGINT + 1)) AS x), LATERAL (SELECT unnest(range(greatest(floor((y0 - 64) / 4096), 0)::BIGINT, least(floor((y1 + 64) / 4096), pow(2, z) - 1)::BIGINT + 1)) AS y))"""
+
+
+@query(_with(S.NODES_SQL, _RECT) + "SELECT id, z, x, y, (2 * (b - a) * (d - c))::BIGINT AS area2 FROM st WHERE b > a AND d > c")
+def tile_polygons(spark, d):
+    """Squares cut to tiles with their buffer; twice the area of what each tile shows."""
+    size = (F.col("id") % 50 + 1) * 20000
+    at = lambda x, y: F.struct((F.col("lon7") + x * size).alias("lon7"), (F.col("lat7") + y * size).alias("lat7"))
+    ring = F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1), at(0, 0))
+    squares = S.nodes(spark, d).select(F.lit(1).alias("osm_type"), "id", F.lit("building").alias("layer"), F.lit(0).alias("min_zoom"), F.lit(1).alias("importance"), F.lit(3).alias("kind"), F.array(F.array(ring)).alias("shape"), F.create_map().cast("map<string,string>").alias("attrs"))
+    shown = R.decoded(R.assemble(R.render(squares, 10, 12)))
+    total = F.aggregate(F.flatten("parts"), F.lit(0).cast("decimal(38,0)"), lambda s, r: (s + G.ring_area2(r)).cast("decimal(38,0)"))
+    return shown.select(((F.col("id") - 1) / 10).cast("long").alias("id"), "z", "x", "y", total.cast("long").alias("area2"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layer_counts(spark, sf_dir)
 

@@ -10,6 +10,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; only where that is not set (local tests) a temporary one."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='geoloom-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def tag(k: str, v: Column | str) -> Column:
     return F.struct(F.lit(k).alias("k"), (F.lit(v) if isinstance(v, str) else v).alias("v"))
 
@@ -66,6 +75,17 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("relation_id"), pos.alias("pos"), F.col("o_orderkey").alias("ref"), role.alias("role"))
 
 
+def map_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """osm_type, id, lon7, lat7, tags, refs, members: whole elements, as a map file holds them."""
+    refs = way_refs(spark, sf_dir).groupBy(F.col("way_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", "node_id"))).alias("refs"))
+    own = members(spark, sf_dir).groupBy(F.col("relation_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", "ref", "role"))).alias("members"))
+    n = nodes(spark, sf_dir).withColumn("osm_type", F.lit(1)).withColumn("lon7", F.col("lon7").cast("int")).withColumn("lat7", F.col("lat7").cast("int"))
+    w = way_tags(spark, sf_dir).join(refs, "id", "left").withColumn("osm_type", F.lit(2)).withColumn("refs", F.transform("refs", lambda r: r["node_id"]))
+    member = lambda m: F.struct(F.lit(2).alias("osm_type"), m["ref"].alias("ref"), m["role"].alias("role"))
+    r = relation_tags(spark, sf_dir).join(own, "id", "left").withColumn("osm_type", F.lit(3)).withColumn("members", F.transform("members", member))
+    return n.unionByName(w, allowMissingColumns=True).unionByName(r, allowMissingColumns=True)
+
+
 def relation_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
     land = F.element_at(F.array(*[F.lit(x) for x in LAND]), (F.col("c_custkey") % 4 + 1).cast("int"))
