@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,28 @@ def apply_stats(done: DataFrame) -> DataFrame:
     return done.agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in ("created", "modified", "deleted", "unchanged")])
 
 
-def in_file_order(rows: DataFrame) -> DataFrame:
+def file_key() -> list[Column]:
     """Type, negative ids first, then by absolute id."""
-    return rows.orderBy("osm_type", F.col("id") >= 0, F.abs("id"))
+    return [F.col("osm_type"), F.col("id") >= 0, F.abs("id")]
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(*file_key())
+
+
+def file_places(rows: DataFrame, folder: str) -> DataFrame:
+    """`rows` with place, from 1 in file order: numbered within ranges of the order, after the counts of the ranges before.
+
+    The ranges are written to `folder` first, as a range partitioning computed twice may cut elsewhere.
+    """
+    spark = rows.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(ranges, *file_key()).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
+    dealt = spark.read.parquet(folder)
+    before, starts = 0, []
+    for r in dealt.groupBy("_range").count().orderBy("_range").collect():  # a row for each range
+        starts.append((r["_range"], before))
+        before += r["count"]
+    starts = F.broadcast(spark.createDataFrame(starts, "_range int, _before long"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*file_key()))
+    return dealt.withColumn("_inside", inside).join(starts, "_range").withColumn("place", F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")

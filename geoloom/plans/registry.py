@@ -261,12 +261,19 @@ def apply_stats(spark, d):
     return CH.apply_stats(_applied(spark, d))
 
 
+def _file_places(spark, elements):
+    return CH.file_places(elements.select("osm_type", (F.col("id") - 500).alias("id")), S.scratch(spark))
+
+
 @query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, id - 500 AS id, row_number() OVER (ORDER BY osm_type, id - 500 >= 0, abs(id - 500)) AS place FROM elements WHERE id < 1000")
 def file_order(spark, d):
-    from pyspark.sql import Window
+    """The low ids only, as its SQL has it; file_order_all has all elements."""
+    return _file_places(spark, S.elements(spark, d).where("id < 1000"))
+
 
-    e = S.elements(spark, d).where("id < 1000").select("osm_type", (F.col("id") - 500).alias("id"))
-    return e.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("osm_type", F.col("id") >= 0, F.abs("id"))).cast("long"))
+@query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, id - 500 AS id, row_number() OVER (ORDER BY osm_type, id - 500 >= 0, abs(id - 500)) AS place FROM elements")
+def file_order_all(spark, d):
+    return _file_places(spark, S.elements(spark, d))
 
 
 _PIECES = _with(S.NODES_SQL, S.ELEMENTS_SQL, _CLASSES, f"p AS (SELECT r.id, layer, importance, z, {_TILE.format(z='z')} FROM rows_ r JOIN nodes n ON r.id = n.id AND r.osm_type = 1, range(4, 15) t(z) WHERE z >= min_zoom)")

@@ -153,3 +153,15 @@ def test_replication_stream(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
         replication.follow(stream, state, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert {(r.id, r.action, r.value) for r in replication.read_state(spark, state).collect()} == {(1, "modify", 11), (2, "delete", None)}
+
+
+def test_file_order_takes_all_elements_in_many_tasks(spark, tmp_path):
+    got = registry.queries()["file_order_all"](spark, SF).toPandas()
+    every = registry.queries()["element_counts"](spark, SF).toPandas()
+    assert sorted(got.place) == list(range(1, every.n.sum() + 1)) and got.id.max() >= 500
+    rows = spark.range(-300, 300).selectExpr("cast(abs(id) % 3 + 1 as int) as osm_type", "id")
+    done = changes.file_places(rows, str(tmp_path / "ranges"))
+    want = sorted(((abs(i) % 3 + 1, i) for i in range(-300, 300)), key=lambda e: (e[0], e[1] >= 0, abs(e[1])))
+    assert [(r.osm_type, r.id) for r in done.orderBy("place").collect()] == want
+    assert len(list((tmp_path / "ranges").glob("part-*"))) > 1
+    assert changes.file_places(rows.limit(0), str(tmp_path / "none")).count() == 0
