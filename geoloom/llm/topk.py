@@ -21,14 +21,23 @@ BLOCK_ROWS = 8192
 QUERY_ROWS = 512
 SCALE = 1024
 K = 10
-#: Components beyond this (after scaling) take no part: sums over them may not fit a long.
-LARGEST = 1 << 24
+#: Whole numbers below this are held as int64, larger ones as Python's.
+NARROW = 1 << 62
+LONG = 1 << 63
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """array<long> of floor(scale * x), or null if the vector is null, empty or has a null, non-finite or huge component."""
-    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) <= LARGEST)
-    return F.when((F.size(vector) > 0) & F.forall(vector, ok), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    """array<double> of floor(scale * x), which a double holds exactly, or null if the vector is null, empty or has a null or non-finite component.
+
+    A double component that is finite only before scaling is an error in the search; a float one can't be.
+    """
+    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)  # beyond, doubles are whole numbers
+
+    return F.when((F.size(vector) > 0) & F.forall(vector, ok), F.transform(vector, whole))
 
 
 def add_slices(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
@@ -56,9 +65,14 @@ def add_slices(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
 def slices_of(values: np.ndarray) -> tuple[list[np.ndarray], int]:
     """Bit slices of an integer column as packed uint64 bitmaps, and what was subtracted to make it non-negative."""
     low = int(values.min())
-    shifted = (values - low).astype(np.uint64)
     pad = -len(values) % 64
-    return [np.packbits(np.pad(((shifted >> np.uint64(i)) & np.uint64(1)).astype(np.uint8), (0, pad)), bitorder="little").view(np.uint64) for i in range(int(shifted.max()).bit_length())], low
+    bits = (int(values.max()) - low).bit_length()
+    if values.dtype == object:
+        limbs = [((values - low >> at) & 0xFFFFFFFF).astype(np.uint64) for at in range(0, bits, 32)]
+    else:
+        shifted = (values - low).astype(np.uint64)
+        limbs = [shifted >> np.uint64(at) for at in range(0, bits, 32)]
+    return [np.packbits(np.pad(((limbs[i // 32] >> np.uint64(i % 32)) & np.uint64(1)).astype(np.uint8), (0, pad)), bitorder="little").view(np.uint64) for i in range(bits)], low
 
 
 class Block:
@@ -70,6 +84,7 @@ class Block:
         self.matrix = matrix[order]
         self.columns = [slices_of(self.matrix[:, j]) for j in range(matrix.shape[1])]
         self.words = -(-len(ids) // 64)
+        self.largest = _largest(self.matrix)
 
     def scores(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices of sum_j q_j * (v_j - low_j), shifted by a constant of the query to stay non-negative.
@@ -115,21 +130,37 @@ class Block:
         rows = np.flatnonzero(np.unpackbits(sure.view(np.uint8), bitorder="little"))
         if len(rows) < k:
             rows = np.concatenate([rows, np.flatnonzero(np.unpackbits(ties.view(np.uint8), bitorder="little"))[: k - len(rows)]])
-        return rows, self.matrix[rows] @ query
+        if self.matrix.dtype == query.dtype != object and self.largest * _largest(query) * len(query) < LONG:
+            return rows, self.matrix[rows] @ query
+        return rows, self.matrix[rows].astype(object) @ query.astype(object)  # sums that may not fit a long
+
 
+def _largest(values: np.ndarray) -> int:
+    return max(int(values.max()), -int(values.min())) if values.size else 0
 
-def _dense(vectors: list) -> np.ndarray:
-    width = max(map(len, vectors))
-    out = np.zeros((len(vectors), width), np.int64)
+
+def _dense(vectors: list, width: int) -> np.ndarray:
+    """Whole numbers by row, zeros after short vectors: int64, or Python integers where any is not narrow."""
+    out = np.zeros((len(vectors), width), np.asarray(vectors[0]).dtype)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
-    return out
+    narrow = (out > -NARROW) & (out < NARROW)
+    return out.astype(np.int64) if narrow.all() else np.frompyfunc(int, 1, 1)(out)
+
+
+def _wide_key(score: int) -> bytes | None:
+    """Bytes that sort as the scores that no long holds do: a number's length, then its digits, all inverted below zero."""
+    if -LONG <= score < LONG:
+        return None
+    n = (abs(score).bit_length() + 7) // 8
+    key = n.to_bytes(2, "big") + abs(score).to_bytes(n, "big")
+    return b"\x01" + key if score > 0 else b"\x00" + bytes(255 - x for x in key)
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of `queries` its k best rows of `vectors` (both vec_id, v array<long>).
+    """(query_id, rank, vec_id, score): for each row of `queries` its k best rows of `vectors` (both vec_id, v array of whole numbers as double or long).
 
-    A vector shorter than another counts as followed by zeros. Rows with a null id or vector take no part. Of repeated
+    Scores are exact and ranked exactly at any size; one that no long holds is null in `score`. A vector shorter than another counts as followed by zeros. Rows with a null id or vector take no part. Of repeated
     ids each row is a candidate.
     """
     vectors = materialize(spark, vectors.where("vec_id is not null and v is not null").select("vec_id", "v"))
@@ -145,15 +176,18 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            both = _dense([*left["v"], *right["v"]])
-            block = Block(right["vec_id"].to_numpy(np.int64), both[len(left) :])
-            for i, query_id in enumerate(left["vec_id"].tolist()):
-                found, scores = block.top(query_id, both[i], k)
-                out += [(query_id, v, s) for v, s in zip(block.ids[found].tolist(), scores.tolist())]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = asked.groupBy("block", "q_block").cogroup(rows.groupBy("block", "q_block")).applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+            width = max(map(len, [*left["v"], *right["v"]]))
+            block = Block(right["vec_id"].to_numpy(np.int64), _dense(list(right["v"]), width))
+            for query_id, query in zip(left["vec_id"].tolist(), left["v"]):
+                found, scores = block.top(query_id, _dense([query], width)[0], k)
+                out += [(query_id, v, s, _wide_key(s)) for v, s in zip(block.ids[found].tolist(), scores.tolist())]
+        frame = pd.DataFrame(out, columns=["query_id", "vec_id", "score", "wide"], dtype=object)
+        frame["score"] = frame["score"].where(frame["wide"].isna(), None)
+        return frame
+
+    found = asked.groupBy("block", "q_block").cogroup(rows.groupBy("block", "q_block")).applyInPandas(search, "query_id long, vec_id long, score long, wide binary")
+    above = F.when(F.col("wide").isNull(), 0).otherwise(F.when(F.substring("wide", 1, 1) == F.lit(b"\x01"), 1).otherwise(-1))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(above.desc(), F.col("score").desc(), F.col("wide").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -217,6 +217,23 @@ def test_top_k(spark):
     assert topk.top_k(spark, df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in r.normal(size=4) * 10.0 ** r.choice([0, 5, 9, 18, 38], size=4)]) for i in range(150)]
+    rows += [(200, [3e38] * 4), (201, [-3e38] * 4), (202, [16385.0, 0.0, 0.0, 0.0]), (300, [1e-3, 2.0, -1.0, 0.5]), (301, [float("inf")] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    v = {i: [int(np.floor(1024 * float(np.float32(x)))) for x in e] for i, e in rows if np.isfinite(e).all()}
+    got = topk.top_k(spark, df, df.where("vec_id % 10 = 0 or vec_id > 199"), 160).toPandas()
+    assert set(got.query_id) == {i for i in v if i % 10 == 0 or i > 199}
+    for q in set(got.query_id):
+        want = sorted((-sum(a * b for a, b in zip(v[q], o)), i) for i, o in v.items() if i != q)
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == [i for _, i in want]
+    exact = [(r.query_id, r.vec_id, r.score) for r in topk.top_k(spark, df, df.where("vec_id in (202, 300)"), 160).collect()]
+    for q, i, s in exact:
+        t = sum(a * b for a, b in zip(v[q], v[i]))
+        assert s == (t if -(1 << 63) <= t < 1 << 63 else None)
+
+
 def brute_counts(t):
     w = (t or "").encode().split()
     tri = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
