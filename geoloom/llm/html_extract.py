@@ -22,7 +22,12 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPLIT = re.compile(r"[^a-z]+")
 
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title", "head", "datalist"}
+#: Elements without text of the page. Those of the first kind hold no markup: only their own end tag ends them.
+RAW_TEXT = {"script", "style", "noscript", "iframe", "textarea", "title"}
+RAW = RAW_TEXT | {"template", "svg", "math", "object", "canvas", "select", "datalist"}
+#: Any other start tag ends a head that is still open.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"}
+_SCRIPT_PARTS = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -54,6 +59,36 @@ _INDEX = {n: i for i, n in enumerate(_NAMES)}
 _DROP_TAGS = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label", "header"}
 
 
+@lru_cache(maxsize=None)
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I)
+
+
+def _after_raw_text(page: str, name: str, at: int) -> int:
+    """Where the page goes on after the end tag of the raw-text element whose content starts at `at`; its end if there is none.
+
+    A script in a script's comment keeps its own end tag, as HTML has it, if another one follows.
+    """
+    first = _end_tag(name).search(page, at)
+    if first is None:
+        return len(page)
+    if name == "script":
+        commented, inner, pos = False, False, at
+        while m := _SCRIPT_PARTS.search(page, pos):
+            pos = m.end()
+            if m[0] == "<!--":
+                commented, pos = True, m.start() + 2  # its dashes may be those of the comment's end
+            elif m[0] == "-->":
+                commented = inner = False
+            elif not m[1]:
+                inner = commented
+            elif inner:
+                inner = False
+            else:
+                return _end_tag(name).match(page, m.start()).end()
+    return first.end()
+
+
 @lru_cache(maxsize=4096)
 def _of_element(tag: str, attrs: str) -> frozenset:
     """Names of the features that an element gives to all blocks inside."""
@@ -90,6 +125,7 @@ def blocks_of(page: str) -> list[tuple[str, frozenset, str, float, int]]:
     parts: list[str] = []
     linked = links = 0
     raw_until = None
+    in_head = False
     at = 0
 
     def flush():
@@ -103,25 +139,30 @@ def blocks_of(page: str) -> list[tuple[str, frozenset, str, float, int]]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if raw_until is None and m.start() > at:
             piece = page[at : m.start()]
-            parts.append(piece)
-            if links:
-                linked += len(piece)
+            in_head = in_head and not piece.strip()
+            if not in_head:
+                parts.append(piece)
+                if links:
+                    linked += len(piece)
         at = m.end()
         tag = m[2]
         if tag is None:
-            if raw_until is None and m[0].startswith("<![CDATA["):
+            if raw_until is None and not in_head and m[0].startswith("<![CDATA["):
                 parts.append(html.escape(m[0][9:-3], quote=False))
             continue
         tag = tag.lower()
         if raw_until is not None:
-            if m[1] and tag == raw_until or raw_until == "head" and not m[1] and tag == "body":
+            if m[1] and tag == raw_until:
                 raw_until = None
-                if m[1]:
-                    continue
-            else:
+            elif not m[1] and tag in RAW_TEXT and not m[3].endswith("/"):
+                at = _after_raw_text(page, tag, at)
+            continue
+        if in_head:
+            in_head = tag not in ("head", "body", "html", "br") if m[1] else tag in IN_HEAD
+            if in_head and tag not in RAW:
                 continue
         if m[1]:  # an end tag
             if tag in BLOCK:
@@ -134,9 +175,13 @@ def blocks_of(page: str) -> list[tuple[str, frozenset, str, float, int]]:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                raw_until = tag
-            if tag in BLOCK:
-                flush()
+                if tag in RAW_TEXT:
+                    at = _after_raw_text(page, tag, at)
+                else:
+                    raw_until = tag
+            continue
+        if tag == "head":
+            in_head = True
             continue
         if tag == "br":
             parts.append(" ")

@@ -332,6 +332,33 @@ def test_html(spark):
     assert {r.page_id: r.text for r in got if r.page_id in (2, 3)} == {2: "", 3: ""}
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><script>for(i=0;i<n;i++)f(i)</script>{}",
+        "<body><script>s = '<!--'</script>{}",
+        "<body><script>s = \"it's <b\"</SCRIPT >{}<script>'</script>",
+        "<body><style>a:before{content:'<b'}</style>{}",
+        "<body><script><!-- document.write('<script src=x></script>') //--></script>{}",
+        "<body><script><!--> a</script>{}",
+        "<body><svg><style>b<c</style></svg>{}",
+        "<html><head><meta charset=utf-8><title>z</title>{}",
+        "<html><head><script>if (a<b) x</script>{}",
+        "<head><link rel=x>\n<style>a</style>{}</html>",
+    ],
+)
+def test_html_after_raw_elements_and_open_heads(page):
+    article = "<article><h1>Big words</h1><p>A line of the page's text.</article>"
+    assert [b[0] for b in html_extract.blocks_of(page.replace("{}", article))] == ["Big words", "A line of the page's text."]
+
+
+def test_html_keeps_text_of_an_open_head_and_drops_an_open_script():
+    texts = lambda p: [b[0] for b in html_extract.blocks_of(p)]
+    assert texts("<head><title>z</title> Words <b>here</b><p>and there") == ["Words here", "and there"]
+    assert texts("<p>Words<script>a<b") == ["Words"]
+    assert texts("<p>Words<script></scripts><p>x</script>more") == ["Wordsmore"]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
