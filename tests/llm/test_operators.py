@@ -203,6 +203,19 @@ def test_sharding(spark, docs, nothing):
     assert sharding.shard_documents(spark, nothing).count() == 0
 
 
+def test_sharding_keeps_groups_together(spark):
+    spread = lambda df: df.groupby("text_crc32").shard.nunique()
+    hot = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"t{i}", "", "", 0) for i in range(1920)], DOC)
+    got = sharding.shard_documents(spark, hot).toPandas()
+    assert set(got.groupby("shard").size()) == {120} and spread(got).max() <= 6
+    linked = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"t{i % 400}", "", "", 0) for i in range(2400)], DOC)
+    got = sharding.shard_documents(spark, linked).toPandas()
+    assert set(got.groupby("shard").size()) == {150} and spread(got).max() <= 7 and (spread(got) > 1).sum() <= 31
+    pairs = spark.createDataFrame([(i, f"t{i % 8000}", "", "", 0) for i in range(16000)], DOC)  # small groups only
+    got = sharding.shard_documents(spark, pairs).toPandas()
+    assert set(got.groupby("shard").size()) == {1000} and (spread(got) > 1).sum() <= 31
+
+
 def test_top_k(spark):
     r = np.random.default_rng(5)
     rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(300)] + [(400 + i, [0.5] * 6) for i in range(40)]
