@@ -176,11 +176,20 @@ def feature_bbox(spark, d):
 
 @query(_with(S.NODES_SQL) + "SELECT a.id AS box_id, count(*) AS hits FROM nodes a JOIN nodes b ON a.c = 0 AND b.lon7 BETWEEN a.lon7 AND a.lon7 + 100000000 AND b.lat7 BETWEEN a.lat7 AND a.lat7 + 50000000 GROUP BY 1")
 def bbox_overlap(spark, d):
+    """Boxes of a tenth of the ids, as its SQL has it; bbox_overlap_all has all boxes."""
+    return _overlaps(S.nodes(spark, d), "id % 10 = 0")
+
+
+@query(_with(S.NODES_SQL) + "SELECT a.id AS box_id, count(*) AS hits FROM nodes a JOIN nodes b ON b.lon7 BETWEEN a.lon7 AND a.lon7 + 100000000 AND b.lat7 BETWEEN a.lat7 AND a.lat7 + 50000000 GROUP BY 1")
+def bbox_overlap_all(spark, d):
+    return _overlaps(S.nodes(spark, d), "true")
+
+
+def _overlaps(n, asked):
     """Boxes meet points by grid cell, then exactly."""
-    n = S.nodes(spark, d)
     side = 50000000
     cell = lambda c: F.floor(c / side)
-    boxes = n.where("id % 10 = 0").select(F.col("id").alias("box_id"), F.col("lon7").alias("w"), F.col("lat7").alias("s"), (F.col("lon7") + 100000000).alias("e"), (F.col("lat7") + 50000000).alias("n"))
+    boxes = n.where(asked).select(F.col("id").alias("box_id"), F.col("lon7").alias("w"), F.col("lat7").alias("s"), (F.col("lon7") + 100000000).alias("e"), (F.col("lat7") + 50000000).alias("n"))
     boxes = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("w")), cell(F.col("e"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("s")), cell(F.col("n")))))
     points = n.select("lon7", "lat7", cell(F.col("lon7")).alias("cx"), cell(F.col("lat7")).alias("cy"))
     return boxes.join(points, ["cx", "cy"]).where("lon7 between w and e and lat7 between s and n").groupBy("box_id").agg(F.count("*").alias("hits"))
@@ -256,6 +265,22 @@ def apply_changes(spark, d):
     return _applied(spark, d)
 
 
+def _applied_all(spark, d):
+    base = S.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("value"))
+    return CH.applied(base, CH.folded(S.changes(spark, d)))
+
+
+@query()
+def apply_changes_all(spark, d):
+    """All changes, those without a version too, onto all customers; a fold in order of seq has no SQL here."""
+    return _applied_all(spark, d)
+
+
+@query()
+def apply_stats_all(spark, d):
+    return CH.apply_stats(_applied_all(spark, d))
+
+
 @query(_APPLY + "SELECT count(*) FILTER (WHERE outcome = 'created') AS created, count(*) FILTER (WHERE outcome = 'modified') AS modified, count(*) FILTER (WHERE outcome = 'deleted') AS deleted, count(*) FILTER (WHERE outcome = 'unchanged') AS unchanged FROM done")
 def apply_stats(spark, d):
     return CH.apply_stats(_applied(spark, d))
@@ -374,9 +399,19 @@ def simplified_ways(spark, d):
 
 @query(_with(S.NODES_SQL) + "SELECT a.id, min_by(b.id, (abs(a.lon7 - b.lon7) + abs(a.lat7 - b.lat7)) * 1000000 + b.id) AS nearest FROM nodes a JOIN nodes b ON a.id % 100 = 0 AND b.id <> a.id GROUP BY a.id")
 def nearest_poi(spark, d):
+    """Half of the stated clicks, as its SQL has it; nearest_poi_all has all of them."""
+    return _nearest(S.nodes(spark, d), "id % 100 = 0")
+
+
+@query(_with(S.NODES_SQL) + "SELECT a.id, min_by(b.id, (abs(a.lon7 - b.lon7) + abs(a.lat7 - b.lat7)) * 1000000 + b.id) AS nearest FROM nodes a JOIN nodes b ON a.id % 50 = 0 AND b.id <> a.id GROUP BY a.id")
+def nearest_poi_all(spark, d):
+    return _nearest(S.nodes(spark, d), "id % 50 = 0")
+
+
+def _nearest(n, clicks):
     """A stated set of clicks against all places; the least distance is combined before the shuffle."""
-    n = S.nodes(spark, d).select("id", "lon7", "lat7")
-    asked = E.checked_broadcast(n.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("lon7").alias("qx"), F.col("lat7").alias("qy")))
+    n = n.select("id", "lon7", "lat7")
+    asked = E.checked_broadcast(n.where(clicks).select(F.col("id").alias("q"), F.col("lon7").alias("qx"), F.col("lat7").alias("qy")))
     far = F.abs(F.col("lon7") - F.col("qx")) + F.abs(F.col("lat7") - F.col("qy"))
     return n.join(asked, F.col("id") != F.col("q")).groupBy("q").agg(F.min(F.struct(far.alias("far"), "id")).alias("m")).select(F.col("q").alias("id"), F.col("m.id").alias("nearest"))
 

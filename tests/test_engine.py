@@ -165,3 +165,34 @@ def test_file_order_takes_all_elements_in_many_tasks(spark, tmp_path):
     assert [(r.osm_type, r.id) for r in done.orderBy("place").collect()] == want
     assert len(list((tmp_path / "ranges").glob("part-*"))) > 1
     assert changes.file_places(rows.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_whole_queries_take_all_rows(spark):
+    from geoloom.sources import tables
+
+    q = registry.queries()
+    n = tables.nodes(spark, SF).select("id", "lon7", "lat7").toPandas()
+    got = q["bbox_overlap_all"](spark, SF).toPandas().set_index("box_id").hits.to_dict()
+    assert got == {r.id: int((n.lon7.between(r.lon7, r.lon7 + 100000000) & n.lat7.between(r.lat7, r.lat7 + 50000000)).sum()) for r in n.itertuples()}
+    asked = q["nearest_poi_all"](spark, SF).toPandas()
+    assert set(asked.id) == set(n.id[n.id % 50 == 0])
+
+
+def test_apply_all_changes_against_brute_force(spark):
+    from geoloom.sources import tables
+
+    state = {}
+    for c in tables.changes(spark, SF).orderBy("seq").collect():
+        old = state.get(c.id)
+        if old is None or old.version is None or c.version is None or c.version >= old.version:
+            state[c.id] = c
+    assert any(c.version is None for c in state.values())
+    base = {r.c_custkey for r in tables.read(spark, SF, "customer").collect()}
+    want = {i: (i, "unchanged") for i in base}
+    for i, c in state.items():
+        gone = c.action == "delete"
+        want[i] = (None if gone else c.value, ("deleted" if gone else "modified") if i in base else "absent" if gone else "created")
+    got = registry.queries()["apply_changes_all"](spark, SF).collect()
+    assert len(got) == len(want) and {r.id: (r.value, r.outcome) for r in got} == want
+    stats = registry.queries()["apply_stats_all"](spark, SF).first().asDict()
+    assert stats == {k: sum(o == k for _, o in want.values()) for k in ("created", "modified", "deleted", "unchanged")}
