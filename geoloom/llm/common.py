@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -19,25 +22,48 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """`names`, each with underscores put before it until it is unlike all of `taken`, in any case."""
+    taken, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (local tests) a temporary folder is used.
+    Only a local session without that setting gets a temporary folder; on a cluster its lack is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='geoloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/geoloom-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession):
+    """Frames made inside leave no shuffle files when a job of theirs is done."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: the lineage ends there, and every copy survives lost executors."""
     path = shared_dir(spark)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that are done with
+    with shuffles_go(spark):
+        df.select("*").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

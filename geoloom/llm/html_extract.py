@@ -18,13 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read, small_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Where something other than text begins, and what a comment, a declaration or a bogus tag is. No pattern goes back over what it has read, so a page takes time in proportion to its length.
+_MARK = re.compile(r"<(?=[!?/a-zA-Z])")
+_COMMENT_END = re.compile(r"--!?>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)>")
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
 _SPLIT = re.compile(r"[^a-z]+")
 
 #: Elements without text of the page. Those of the first kind hold no markup: only their own end tag ends them.
 RAW_TEXT = {"script", "style", "noscript", "iframe", "textarea", "title"}
-RAW = RAW_TEXT | {"template", "svg", "math", "object", "canvas", "select", "datalist"}
+RAW = RAW_TEXT | {"template", "canvas", "select", "datalist", "annotation", "desc", "metadata"}
+#: Levels of open elements that an optional end tag is looked for in.
+DEEPEST = 512
 #: Any other start tag ends a head that is still open.
 IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"}
 _SCRIPT_PARTS = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)
@@ -64,32 +69,76 @@ def _end_tag(name: str) -> re.Pattern:
     return re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I)
 
 
-def _after_raw_text(page: str, name: str, at: int) -> int:
-    """Where the page goes on after the end tag of the raw-text element whose content starts at `at`; its end if there is none.
-
-    A script in a script's comment keeps its own end tag, as HTML has it, if another one follows.
-    """
-    first = _end_tag(name).search(page, at)
-    if first is None:
-        return len(page)
-    if name == "script":
-        commented, inner, pos = False, False, at
-        while m := _SCRIPT_PARTS.search(page, pos):
-            pos = m.end()
-            if m[0] == "<!--":
-                commented, pos = True, m.start() + 2  # its dashes may be those of the comment's end
-            elif m[0] == "-->":
-                commented = inner = False
-            elif not m[1]:
-                inner = commented
-            elif inner:
-                inner = False
-            else:
-                return _end_tag(name).match(page, m.start()).end()
-    return first.end()
+def _next_mark(page: str, at: int) -> tuple[int, int, re.Match | None]:
+    """(start, end, tag) of the next markup from `at` on: a tag, or a comment, declaration, CDATA section or bogus tag as None."""
+    m = _MARK.search(page, at)
+    if m is None:
+        return len(page), len(page), None
+    start = m.start()
+    if page.startswith("<!--", start):
+        if page.startswith((">", "->"), start + 4):
+            return start, page.index(">", start) + 1, None
+        end = _COMMENT_END.search(page, start + 4)
+        return start, end.end() if end else len(page), None
+    if page.startswith("<![CDATA[", start):
+        end = page.find("]]>", start)
+        return start, end + 3 if end >= 0 else len(page), None
+    tag = _TAG.match(page, start)
+    if tag:
+        return start, tag.end(), tag
+    if page[start + 1] in "!?/" and not page[start + 2 : start + 3].isalpha() or page[start + 1] in "!?":
+        end = page.find(">", start)
+        return start, end + 1 if end >= 0 else len(page), None
+    return start, len(page), None  # a tag that the page's end cuts
+
+
+class _RawText:
+    """Where a page goes on after raw-text elements."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.endless: set[str] = set()  # elements that no end tag is left for
+        self.plain = False  # a script's comment reached the page's end before, so scripts end at their first end tag
+
+    def closed(self, name: str, at: int) -> re.Match | None:
+        if name in self.endless:
+            return None
+        m = _end_tag(name).search(self.page, at)
+        if m is None:
+            self.endless.add(name)
+        return m
+
+    def after(self, name: str, at: int) -> int:
+        """The place after the end tag of the raw-text element whose content starts at `at`; the page's end if there is none.
+
+        A script in a script's comment keeps its own end tag, as HTML has it, if another one follows.
+        """
+        first = self.closed(name, at)
+        if first is None:
+            return len(self.page)
+        if name == "script" and not self.plain:
+            commented, inner, pos = False, False, at
+            while m := _SCRIPT_PARTS.search(self.page, pos):
+                pos = m.end()
+                if m[0] == "<!--":
+                    commented, pos = True, m.start() + 2  # its dashes may be those of the comment's end
+                elif m[0] == "-->":
+                    commented = inner = False
+                elif not m[1]:
+                    inner = commented
+                elif inner:
+                    inner = False
+                else:
+                    return _end_tag(name).match(self.page, m.start()).end()
+            self.plain = True
+        return first.end()
 
 
 @lru_cache(maxsize=4096)
+def _of_short(tag: str, attrs: str) -> frozenset:
+    return _of_element(tag, attrs)
+
+
 def _of_element(tag: str, attrs: str) -> frozenset:
     """Names of the features that an element gives to all blocks inside."""
     out = {f"tag_{tag}"} if tag in _TAGS else set()
@@ -118,47 +167,65 @@ def _of_element(tag: str, attrs: str) -> frozenset:
 def blocks_of(page: str) -> list[tuple[str, frozenset, str, float, int]]:
     """(text, ancestor features, innermost block tag, share of linked characters, depth) of a page's leaf blocks, in page order.
 
-    Scripts, styles, comments and the head give none. Character references are decoded and white space is one space.
+    Scripts, styles, comments and the head give none. Character references are decoded and white space is one space. A tag that the page's end cuts, and what a comment without an end holds, are no text, as in HTML.
     """
     out = []
-    stack: list[tuple[str, frozenset]] = []  # tag, features so far
+    stack: list[tuple[str, frozenset, str]] = []  # tag, features so far, innermost block
+    opened: dict[str, int] = {}  # open elements by tag
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
     raw_until = None
     in_head = False
+    raw = _RawText(page)
     at = 0
 
     def flush():
         nonlocal linked
         if parts:
             text = "".join(parts)
-            text = " ".join((html.unescape(text) if "&" in text else text).replace("\x00", "").split())
+            size = len(text)
+            text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                own = next((t for t, _ in reversed(stack) if t in BLOCK), "body")
-                out.append((text, stack[-1][1] if stack else frozenset(), own, linked / max(1, sum(map(len, parts))), len(stack)))
+                out.append((text, stack[-1][1] if stack else frozenset(), stack[-1][2] if stack else "body", linked / size, len(stack)))
             parts.clear()
         linked = 0
 
-    while m := _TOKEN.search(page, at):
-        if raw_until is None and m.start() > at:
-            piece = page[at : m.start()]
+    def close_from(i: int):
+        for t, _, _ in stack[i:]:
+            opened[t] -= 1
+        del stack[i:]
+
+    def close(ends: set, stop: set):
+        """Close the innermost open element of `ends` unless one of `stop` is inside of it."""
+        if any(opened.get(t) for t in ends):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
+                if stack[i][0] in ends:
+                    close_from(i)
+                    return
+                if stack[i][0] in stop:
+                    return
+
+    while at < len(page):
+        start, end, m = _next_mark(page, at)
+        if raw_until is None and start > at:
+            piece = page[at:start]
             in_head = in_head and not piece.strip()
             if not in_head:
                 parts.append(piece)
-                if links:
+                if opened.get("a"):
                     linked += len(piece)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if raw_until is None and not in_head and m[0].startswith("<![CDATA["):
-                parts.append(html.escape(m[0][9:-3], quote=False))
+        at = end
+        if m is None:
+            if raw_until is None and not in_head and page.startswith("<![CDATA[", start):
+                inside = page[start + 9 : end]
+                parts.append(html.escape(inside.removesuffix("]]>"), quote=False))
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if raw_until is not None:
             if m[1] and tag == raw_until:
                 raw_until = None
             elif not m[1] and tag in RAW_TEXT and not m[3].endswith("/"):
-                at = _after_raw_text(page, tag, at)
+                at = raw.after(tag, at)
             continue
         if in_head:
             in_head = tag not in ("head", "body", "html", "br") if m[1] else tag in IN_HEAD
@@ -167,17 +234,17 @@ def blocks_of(page: str) -> list[tuple[str, frozenset, str, float, int]]:
         if m[1]:  # an end tag
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close_from(i)
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
                 if tag in RAW_TEXT:
-                    at = _after_raw_text(page, tag, at)
-                else:
+                    at = raw.after(tag, at)
+                elif raw.closed(tag, at):
                     raw_until = tag
             continue
         if tag == "head":
@@ -189,30 +256,16 @@ def blocks_of(page: str) -> list[tuple[str, frozenset, str, float, int]]:
         if tag in BLOCK:
             flush()
             if tag in _CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
+                close({"p"}, BLOCK)
             elif tag in _ENDS:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in _ENDS[tag]:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _STOP_AT[tag]:
-                        break
+                close(_ENDS[tag], _STOP_AT[tag])
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
-        own = _of_element(tag, m[3].strip())
-        stack.append((tag, stack[-1][1] | own if stack and own else (stack[-1][1] if stack else own)))
-        links += tag == "a"
-    if raw_until is None:
-        tail = page[at:]
-        lone = tail.rfind("<")  # a tag that the page's end cuts
-        parts.append(tail[:lone] if lone >= 0 and re.match(r"</?[a-zA-Z!]", tail[lone:]) else tail)
+        attrs = m[3].strip()
+        own = _of_short(tag, attrs) if len(attrs) < 500 else _of_element(tag, attrs)
+        above, block = stack[-1][1:] if stack else (frozenset(), "body")
+        stack.append((tag, above | own if own - above else above, tag if tag in BLOCK else block))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 

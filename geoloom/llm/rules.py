@@ -84,37 +84,43 @@ def grow(x: np.ndarray, bad: np.ndarray, longest: int = 4, cuts: int = 64) -> Ru
     return tuple(rule)
 
 
-def prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
-    """Of the rule's beginnings, the shortest of the best (bad - good) / covered."""
-    best, out = -2.0, rule
+def prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> list[Rule]:
+    """The rule's beginnings, the best (bad - good) / covered first, of equals the shortest."""
+    worth = []
     for k in range(1, len(rule) + 1):
         c = covered(rule[:k], x)
         p, n = int((c & bad).sum()), int((c & ~bad).sum())
-        worth = (p - n) / (p + n) if p + n else -1.0
-        if worth > best + 1e-12:
-            best, out = worth, rule[:k]
-    return out
+        worth.append((-round((p - n) / (p + n), 12) if p + n else 1.0, k))
+    return [rule[:k] for _, k in sorted(worth)]
 
 
 def learn(x: np.ndarray, y: np.ndarray, precision: float = 0.9, support: int = 5, most: int = 24) -> list[Rule]:
-    """Rules for label 0, in order. No rules without rows of both labels."""
+    """Rules for label 0, in order: at most `most`, each precise on the rows that the ones before leave. No rules without rows of both labels.
+
+    Of a grown rule's beginnings the best on the pruning rows that is precise enough is taken. Where none is, the bad
+    rows that the rule covers are set aside, and the covering goes on with the others.
+    """
     bad = y == 0
     rules: list[Rule] = []
-    left = np.ones(len(x), bool)
-    while len(rules) < most and (left & bad).sum() >= support and (left & ~bad).any():
-        rows = np.flatnonzero(left)
-        held = np.arange(len(rows)) % 3 == 2
+    left, aside = np.ones(len(x), bool), np.zeros(len(x), bool)
+    while len(rules) < most and (left & bad & ~aside).sum() >= support and (left & ~bad).any():
+        rows = np.flatnonzero(left & ~aside)
+        held = np.zeros(len(rows), bool)
+        for label in (True, False):  # every third row of each label
+            held[np.flatnonzero(bad[rows] == label)[2::3]] = True
         g, q = rows[~held], rows[held]
         rule = grow(x[g], bad[g])
         if not rule:
             break
-        rule = prune(rule, x[q], bad[q])
-        c = covered(rule, x) & left
-        p = int((c & bad).sum())
-        if p < support or p < precision * c.sum():
-            break
-        rules.append(rule)
-        left &= ~c
+        for cut in prune(rule, x[q], bad[q]):
+            c = covered(cut, x) & left
+            p = int((c & bad).sum())
+            if p >= support and p >= precision * c.sum():
+                rules.append(cut)
+                left &= ~c
+                break
+        else:
+            aside |= covered(rule, x) & bad
     return rules
 
 

@@ -219,9 +219,9 @@ def test_sharding_keeps_groups_together(spark):
 def test_top_k(spark):
     r = np.random.default_rng(5)
     rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(300)] + [(400 + i, [0.5] * 6) for i in range(40)]
-    rows += [(500, None), (501, [None, 1.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (504, []), (505, [1.0, 2.0]), (0, rows[0][1])]
+    rows += [(500, None), (501, [None, 1.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (504, []), (600, []), (505, [1.0, 2.0]), (0, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
-    v = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in e]) for i, e in rows if e and all(x is not None and np.isfinite(x) for x in e)]
+    v = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in e]) for i, e in rows if e is not None and all(x is not None and np.isfinite(x) for x in e)]
     got = topk.top_k(spark, df, df.where("vec_id % 100 = 0").distinct(), 10).toPandas()
     for q, e in {i: e for i, e in v if i % 100 == 0}.items():
         want = sorted((-sum(a * b for a, b in zip(e, o)), i) for i, o in v if i != q)[:10]
