@@ -15,7 +15,8 @@ def _print_of(edges: DataFrame) -> tuple:
 def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(a long, b long) undirected to (id, component): every node of an edge with the smallest id it reaches.
 
-    Each step is a grouped minimum and a join on a node; edges end as stars around the smallest ids.
+    Each step is a grouped minimum and a join on a node; edges end as stars around the smallest ids. Rounds grow with
+    the logarithm of the nodes; more than `most_rounds` of them is an error.
     """
     edges = materialize(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = _print_of(edges)

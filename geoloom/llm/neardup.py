@@ -5,11 +5,16 @@ the count of leading zeros and MANTISSA bits after the leading one; an empty buc
 sequence. Bands of compressed registers make candidates. Documents with equal shingle sets are one class from the
 start, and only its first document is banded.
 
-Every band bucket links its members to its smallest id only; the components of these links are clusters that hold all
-candidate pairs. The documents of a cluster meet in tasks of bounded size (a large cluster is cut into chunks and each
-pair of chunks meets once). There a pair is dropped if it is in one component already, if sizes rule it out, or if the
-collision-corrected estimate is too low; what is left is confirmed on the full sets. Tasks return a spanning forest,
-never all pairs.
+Every band bucket links its members to its smallest id only (a task's own members first, so that a hot bucket reaches
+the shuffle as a row for each batch); the components of these links are clusters that hold all candidate pairs. The
+documents of a cluster meet in one task. There a pair is dropped if it is in one component already, if sizes rule it
+out, or if the collision-corrected estimate is too low; what is left is confirmed on the full sets. Tasks return a
+spanning forest, never all pairs.
+
+A cluster too large for a task is cut into chunks, which are linked apart. Then one document for each bucket and
+component found so far meets those of the same buckets, until nothing joins. What is left are buckets that still hold
+several components; their chunks meet in pairs, but never two chunks of one component. So a group of near copies costs
+work in proportion to its size, and no candidate pair is left out.
 """
 
 from __future__ import annotations
@@ -21,15 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mix64, read, small_batches, texts_of
+from .common import WordHashes, fresh, materialize, mix64, read, small_batches, texts_of
 from .components import components
 
 P = 9
 MANTISSA = 10
 BAND_ROWS = 7
 BANDS = 73
-#: Shingles that meet in one task at most (but for one document with more).
+#: Shingles and registers that meet in one task (but for one document with more).
 TASK_SHINGLES = 4_000_000
+#: Most rounds of meetings of large clusters' components; what they leave is linked after them all the same.
+ROUNDS = 8
 
 _M = 1 << P
 _rng = np.random.default_rng(20240611)
@@ -88,10 +95,13 @@ def accidental(a: float, b: float) -> float:
     return float((pa_ * pb).sum()) / (1 << MANTISSA)
 
 
-def link_forest(ids: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """For each document the smallest row number of its component, over pairs of unlike sides (or all, if one side)."""
+def link_forest(ids: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, side: np.ndarray, percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """For each document the smallest row number of its component, over pairs of unlike sides (or all, if one side). Rows of one `known` component start as one."""
     m = len(ids)
     comp = np.arange(m)
+    if known is not None:
+        _, first, code = np.unique(known, return_index=True, return_inverse=True)
+        comp = first[code]
     n = np.array([len(s) for s in sets])
     one_side = (side == side[0]).all()
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
@@ -146,58 +156,148 @@ def _sketches(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """cluster, id, chunks, hashes and registers of docs with (cluster, chunks, set_key) joined on; rows of another set are left out."""
+    """cluster, id, chunks, set_key, n, hashes and registers of docs with (cluster, chunks, set_key) joined on; rows of another set are left out."""
 
     def run(batches):
         for batch in batches:
             words = WordHashes()
-            take, hashes, regs = [], [], []
+            take, hashes, regs, n = [], [], [], []
             for i, (text, key) in enumerate(zip(texts_of(batch), batch.column("set_key").to_pylist())):
                 s = shingle_set(text, words, width)
                 if xxhash.xxh3_128_digest(s.tobytes()) == key:
                     take.append(i)
+                    n.append(len(s))
                     hashes.append(s.tobytes())
                     regs.append(registers(s).tobytes())
-            own = batch.select(["cluster", "doc_id", "chunks"]).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(hashes, pa.binary()), pa.array(regs, pa.binary())], names=["cluster", "id", "chunks", "hashes", "regs"])
+            own = batch.select(["cluster", "doc_id", "chunks", "set_key"]).take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(regs, pa.binary())], names=["cluster", "id", "chunks", "set_key", "n", "hashes", "regs"])
 
-    return docs.mapInArrow(run, "cluster long, id long, chunks int, hashes binary, regs binary")
+    return docs.mapInArrow(run, "cluster long, id long, chunks int, set_key binary, n long, hashes binary, regs binary")
+
+
+def _bucket_rows(classes: DataFrame) -> DataFrame:
+    """key, id and hub for each band of `classes` (id, bands): hub is the first id of the band's bucket in this batch, null for that id itself."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS).astype(np.int64)
+            ids = batch.column("id").to_numpy()
+            keys = ((np.arange(BANDS, dtype=np.int64) << 32) + bands + (1 << 31)).ravel()
+            row = np.repeat(np.arange(len(ids)), BANDS)
+            _, first, code = np.unique(keys, return_index=True, return_inverse=True)
+            hub = ids[row[first]][code]
+            is_hub = np.zeros(len(keys), bool)
+            is_hub[first] = True
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[row]), pa.array(hub, mask=is_hub | (hub == ids[row]))], names=["key", "id", "hub"])
+
+    return classes.select("id", "bands").mapInArrow(run, "key long, id long, hub long")
+
+
+def _star(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join each bucket's members, of bucket rows (key, id, hub)."""
+    apart = rows.where("hub is null").select("key", "id").repartition("key")
+    hubs = apart.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
+    return apart.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+
+
+def _chunks(size: str, task_shingles: int) -> "F.Column":
+    """Chunks for a sum of sizes: one, or so many that two of them fit a task."""
+    n = F.ceil(F.sum(size) * 2 / F.lit(task_shingles))
+    return F.when(n <= 2, 1).otherwise(n).cast("int")
 
 
 def _confirm(percent: int):
     def confirm(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("id").sort_values("id")
+        rows = rows.drop_duplicates(["id", "set_key"]).sort_values("id")
         ids = rows["id"].to_numpy(np.int64)
-        comp = link_forest(ids, [np.frombuffer(b, np.uint64) for b in rows["hashes"]], np.stack([np.frombuffer(b, np.uint16) for b in rows["regs"]]), rows["chunk"].to_numpy(), percent)
+        known = rows["component"].to_numpy(np.int64)
+        comp = link_forest(ids, [np.frombuffer(b, np.uint64) for b in rows["hashes"]], np.stack([np.frombuffer(b, np.uint16) for b in rows["regs"]]), rows["part"].to_numpy(), percent, known)
         away = comp != np.arange(len(ids))
         return pd.DataFrame({"a": ids[away], "b": ids[comp[away]]})
 
     return confirm
 
 
+_LINKS = "a long, b long"
+
+
+def _link_large(spark: SparkSession, sets: DataFrame, buckets: DataFrame, percent: int, task_shingles: int) -> DataFrame:
+    """Links (a, b) among the documents of clusters of several chunks: `sets` (see _sets) and their `buckets` (key, id), both written."""
+    weigh = sets.groupBy("id").agg(F.sum(F.col("n") + _M).alias("weight"))
+    dealt = sets.withColumn("part", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("component", F.col("id"))
+    links = materialize(spark, dealt.groupBy("cluster", "part").applyInPandas(_confirm(percent), _LINKS))
+
+    def several() -> DataFrame:
+        """key, id and component in the buckets that hold several components."""
+        named = buckets.join(components(spark, links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        named = materialize(spark, named)
+        keys = named.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
+        return materialize(spark, named.join(keys, "key", "left_semi"))
+
+    def clustered(rows: DataFrame) -> DataFrame:
+        """cluster, id, component and weight of the ids of bucket rows."""
+        ids = rows.groupBy("id").agg(F.min("component").alias("component"))
+        return materialize(spark, components(spark, _star(rows.withColumn("hub", F.lit(None).cast("long")))).withColumnRenamed("component", "cluster").join(ids, "id").join(weigh, "id"))
+
+    for _ in range(ROUNDS):
+        rows = several()
+        if rows.isEmpty():
+            return links
+        one_each = rows.groupBy("key", "component").agg(F.min("id").alias("id"))
+        met = clustered(one_each)
+        met = met.join(met.groupBy("cluster").agg(_chunks("weight", task_shingles).alias("parts")), "cluster")
+        met = met.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).select("cluster", "id", "part", "component")
+        more = materialize(spark, sets.select("id", "set_key", "hashes", "regs").join(met, "id").groupBy("cluster", "part").applyInPandas(_confirm(percent), _LINKS))
+        if more.isEmpty():
+            break
+        links = materialize(spark, links.union(more))
+
+    # the buckets that are left, whole: components that fill a chunk have chunks of their own
+    met = clustered(several())
+    sizes = met.groupBy("cluster", "component").agg(F.sum("weight").alias("weight"), _chunks("weight", task_shingles).alias("parts"))
+    own = sizes.where("parts > 1").select("cluster", "component", "parts", F.col("component").alias("of"))
+    mixed = sizes.where("parts = 1").groupBy("cluster").agg(_chunks("weight", task_shingles).alias("mixed"))
+    met = met.join(own, ["cluster", "component"], "left").join(mixed, "cluster", "left")
+    chunk = F.struct("of", F.pmod(F.xxhash64("id"), F.coalesce("parts", "mixed")).alias("number"))
+    met = materialize(spark, met.select("cluster", "id", "component", chunk.alias("chunk")))
+    chunks = met.select("cluster", "chunk").distinct()
+    # chunks, not rows: two for each 1/2 task of shingles
+    pairs = chunks.join(chunks.withColumnRenamed("chunk", "other"), "cluster").where("chunk <= other and (chunk.of is null or other.of is null or chunk.of <> other.of)")
+    sides = materialize(spark, pairs.withColumn("side", F.explode(F.array_distinct(F.array("chunk", "other")))))
+    met = met.join(sides.select("cluster", F.col("side").alias("chunk"), F.col("chunk").alias("low"), F.col("other").alias("high")), ["cluster", "chunk"])
+    met = met.select("cluster", "low", "high", "id", "component", F.when(F.col("chunk") == F.col("low"), 0).otherwise(1).alias("part"))
+    return links.union(sets.select("id", "set_key", "hashes", "regs").join(met, "id").groupBy("cluster", "low", "high").applyInPandas(_confirm(percent), _LINKS))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of `docs` (doc_id, text, others).
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of `width`-word shingles. A null
     or empty text has no shingles and is linked with nothing. component_id is the smallest doc_id reachable, kept says
-    whether it is the own one. Rows that repeat a doc_id are one document; a null doc_id has a null component.
+    whether it is the own one. Rows that repeat a doc_id are one document with the links of all its texts; a null doc_id has a null component. Links
+    that don't settle in the rounds of `components` are an error, never a partial result.
     """
     small_batches(spark)
     own = materialize(spark, _sketches(spark, docs, width))
     first = own.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "bands")).alias("f"))
     classes = materialize(spark, first.select("set_key", F.col("f.doc_id").cast("long").alias("id"), "f.n", "f.bands"))
-    banded = classes.select("id", F.posexplode("bands").alias("band", "h")).select("id", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("h").cast("long") + (1 << 31)).alias("key")).repartition("key")
-    hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
-    star = banded.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    clusters = components(spark, star)
-    members = clusters.withColumnRenamed("component", "cluster").join(classes.select("id", "n", "set_key"), "id")
-    chunks = members.groupBy("cluster").agg(F.ceil(F.sum("n") * 2 / F.lit(task_shingles)).cast("int").alias("chunks"))
-    chunks = chunks.withColumn("chunks", F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")))
+    rows = _bucket_rows(classes)
+    near = rows.where("hub is not null").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    clusters = components(spark, _star(rows).union(near))
+    members = clusters.withColumnRenamed("component", "cluster").join(classes.select("id", (F.col("n") + _M).alias("weight"), "set_key"), "id")
+    chunks = members.groupBy("cluster").agg(_chunks("weight", task_shingles).alias("chunks"))
     members = materialize(spark, members.join(chunks, "cluster").select(F.col("id").alias("doc_id"), "cluster", "chunks", "set_key"))
     sets = _sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.hint("merge"), "doc_id"), width)  # alike at every size: no switch to a broadcast
-    sets = sets.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = sets.groupBy("cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    links = met.applyInPandas(_confirm(percent), "a long, b long")
+    large = members.where("chunks > 1").select(F.col("doc_id").alias("id"))
+    if not large.isEmpty():
+        sets = materialize(spark, sets.dropDuplicates(["id", "set_key"]))
+    small = sets.where("chunks = 1").select("cluster", "id", "set_key", "hashes", "regs", F.lit(0).alias("part"), F.col("id").alias("component"))
+    links = small.groupBy("cluster").applyInPandas(_confirm(percent), _LINKS)
+    if not large.isEmpty():
+        buckets = materialize(spark, _bucket_rows(classes.join(large, "id", "left_semi")).select("key", "id"))
+        links = links.union(_link_large(spark, sets.where("chunks > 1"), buckets, percent, task_shingles))
     linked = components(spark, links)
     named = classes.select("set_key", "id").join(linked, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = own.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(named, "set_key", "left")
@@ -211,8 +311,9 @@ def keep_first(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     Rows that repeat a doc_id stay once; of rows without a doc_id those of unlike texts stay.
     """
     gone = near_duplicates(spark, docs, **options).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    return left.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    (mark,) = fresh(docs.columns, "_text")
+    left = docs.join(gone, "doc_id", "left_anti").withColumn(mark, F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return left.dropDuplicates(["doc_id", mark]).select(*docs.columns)
 
 
 def op3_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,11 +132,17 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html, record_type and refers_to: of equal payloads the smallest page_id is the response.
 
     A null html is an empty payload. Of repeated rows with one page_id all are responses. Null page_ids come last.
+    Payloads are compared by SHA-1 in rows of an id and a digest; the pages themselves are joined by id and digest, so
+    a payload that many pages have doesn't meet in one task.
     """
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    first = own.select("_sha", "page_id").groupBy("_sha").agg(F.min("page_id").alias("_first"))
-    revisit = ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return own.join(first.hint("merge"), "_sha").select("page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
+    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    keys = own.select(F.unhex(F.sha1(F.col("html").cast("binary"))).alias("sha"), "page_id").distinct()
+    first = keys.groupBy("sha").agg(F.min("page_id").alias("first"))
+    later = keys.join(first.hint("merge"), "sha").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "sha", "first")
+    own = own.withColumn("_sha", F.unhex(F.sha1(F.col("html").cast("binary")))).alias("o")
+    joined = own.join(later.alias("l").hint("merge"), (F.col("o._sha") == F.col("l.sha")) & F.col("o.page_id").eqNullSafe(F.col("l.page_id")), "left")
+    revisit = F.col("l.first").isNotNull()
+    return joined.select("o.page_id", "o.url", "o.html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("l.first").alias("refers_to"))
 
 
 def write_archives(spark: SparkSession, records: DataFrame, folder: str, file_rows: int = FILE_ROWS) -> DataFrame:
@@ -146,9 +152,9 @@ def write_archives(spark: SparkSession, records: DataFrame, folder: str, file_ro
     returned table, written once, names the files that count.
     """
     small_batches(spark)
+    _filesystem(folder)  # an unknown scheme is an error before any work
 
     def run(batches):
-        from pyarrow import fs
         from pyspark import TaskContext
 
         task = TaskContext.get()

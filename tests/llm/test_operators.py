@@ -65,7 +65,7 @@ def brute_components(rows, width, percent):
     return sets, comp
 
 
-@pytest.mark.parametrize("task_shingles", [neardup.TASK_SHINGLES, 60])
+@pytest.mark.parametrize("task_shingles", [neardup.TASK_SHINGLES, 4000])
 def test_near_duplicates(spark, docs, task_shingles):
     sets, comp = brute_components(corpus(), 4, 80)
     got = neardup.near_duplicates(spark, docs, 4, 80, task_shingles).collect()
