@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import gbt, mixing, neardup, packing, substring
-from geoloom.llm.common import materialize, read
+from geoloom.llm.common import fresh, materialize, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that occur elsewhere too; a document that loses nothing keeps its text as it is."""
-    cleaned = substring.remove_repeats(spark, docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    new = fresh(docs.columns, *substring.NEW)
+    cleaned = substring.remove_repeats(spark, docs, new=tuple(new))
+    text = F.when(F.col(new[1]) > 0, F.col(new[2])).otherwise(F.col("text"))
     columns = {"text": text, "n_chars": F.length(text).cast("long")}
     return cleaned.select(*(columns[c].alias(c) if c in columns else c for c in docs.columns))
 

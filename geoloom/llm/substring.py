@@ -4,28 +4,32 @@ A window is W consecutive words. Windows of a document are cut into segments: ru
 K-word hash at one place, which depends on the words alone, so equal windows have equal smallest hashes. A posting is
 (fingerprint = that hash, hash of all words the segment spans, document, first and last window).
 
-The index keeps sorted immutable runs of postings. A new batch is written as a run, its fingerprints are merge-joined
-with those of the runs before it, and runs of one size are compacted. Postings with a repeated fingerprint are
-verified: segments with equal span hashes repeat as a whole; of the spans that differ under one fingerprint, one each
-is opened into its windows, which are compared by hash.
+A run of the index is a batch's postings as its tasks wrote them, and their summary: one row for each fingerprint, in
+a table bucketed and sorted by it. A new batch's summary is merge-joined with those of the runs before it, which needs
+no shuffle of them and has no hot keys, and runs of one size are compacted into one. Postings with a repeated
+fingerprint are verified: segments with equal span hashes repeat as a whole; of the spans that differ under one
+fingerprint, one each is opened into its windows, which are compared by hash. Equal means equal 64-bit hashes under an
+equal 64-bit fingerprint; a document is 96 bits of hashes of its id and text.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mix64, read, shared_dir, small_batches, texts_of
+from .common import WordHashes, fresh, materialize, mix64, read, shared_dir, shuffles_go, small_batches, texts_of
 
 WINDOW = 35
 GRAM = 8
 BATCHES = 2
-FANOUT = 4
+FANOUT = 2
+NEW = ("n_words", "n_removed", "kept_text")
 
 _rng = np.random.default_rng(77)
 _GRAM = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -75,138 +79,182 @@ def segments(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.
     return grams[place[first]], first, last
 
 
-def _key() -> "F.Column":
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+def _keyed(docs: DataFrame, key: str = "key", sub: str = "sub") -> DataFrame:
+    """`docs` (doc_id, text, others) with the 96 bits that stand for a document."""
+    return docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text"))).withColumn(sub, F.hash(F.col("text"), F.col("doc_id")))
+
+
+_POSTING = "fp long, span long, key long, sub int, s0 int, s1 int, n int"
 
 
 def postings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """fp, span, key, s0, s1 and n of all segments of `docs` (key long, text): n like segments in a row, with windows s0 to s1."""
+    """fp, span, key, sub, s0, s1 and n of all segments of `docs` (key long, sub int, text): n like segments in a row, with windows s0 to s1."""
 
     def run(batches):
         for batch in batches:
             words = WordHashes()
             parts = []
-            for key, text in zip(batch.column("key").to_pylist(), texts_of(batch)):
+            for key, sub, text in zip(batch.column("key").to_pylist(), batch.column("sub").to_pylist(), texts_of(batch)):
                 w = words.of(text.split())
                 fp, s0, s1 = segments(w, window, gram)
                 if len(fp):
                     span = span_hash(prefix(w), s0, s1 + window)
                     head = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (span[1:] != span[:-1])]))
                     ends = np.append(head[1:], len(fp))  # like segments in a row, as a word said over and over gives, are one posting
-                    parts.append((fp[head], span[head], np.full(len(head), key), s0[head], s1[ends - 1], ends - head))
+                    parts.append((fp[head], span[head], np.full(len(head), key), np.full(len(head), sub, np.int32), s0[head], s1[ends - 1], ends - head))
             if parts:
-                fp, span, key, s0, s1, n = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32)), pa.array(n.astype(np.int32))], names=["fp", "span", "key", "s0", "s1", "n"])
+                fp, span, key, sub, s0, s1, n = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key), pa.array(sub), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32)), pa.array(n.astype(np.int32))], names=["fp", "span", "key", "sub", "s0", "s1", "n"])
+
+    return docs.select("key", "sub", "text").mapInArrow(run, _POSTING)
 
-    return docs.select("key", "text").mapInArrow(run, "fp long, span long, key long, s0 int, s1 int, n int")
+
+@dataclass(frozen=True)
+class Run:
+    level: int
+    summary: str  # folder of the summary: fp, n, low and high span hash
+    postings: tuple[str, ...]  # folders
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of postings in a shared folder, with the fingerprints found repeated so far."""
+    """Immutable runs in a shared folder, with the fingerprints found repeated so far.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
+    `buckets` of a summary: the session's shuffle partitions unless given. A manifest is written after each append;
+    `open` reads the last one, so that later batches meet the runs of earlier sessions.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.folder = folder or shared_dir(spark)
-        self.runs: list[tuple[int, str]] = []  # (level, path), oldest first
-        self.repeated: list[DataFrame] = []
-
-    def _write(self, rows: DataFrame) -> str:
-        path = f"{self.folder}/run-{uuid.uuid4().hex}"
-        rows.repartition("fp", "key").sortWithinPartitions("fp", "key", "s0").write.parquet(path)
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files that are done with
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[Run] = []  # oldest first
+        self.repeated: list[str] = []  # folders of fp, low, high
+        self.version = 0
+        self.tables: dict[str, str] = {}  # catalog names of the summaries that this session has read
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, fanout: int = FANOUT) -> FingerprintIndex:
+        last = spark.read.json(f"{folder}/manifest").orderBy(F.col("version").desc()).first()  # a row for each append
+        index = cls(spark, folder, fanout, last["buckets"])
+        index.runs = [Run(r["level"], r["summary"], tuple(r["postings"])) for r in last["runs"]]
+        index.repeated = list(last["repeated"])
+        index.version = last["version"]
+        return index
+
+    def _path(self, kind: str) -> str:
+        return f"{self.folder}/{kind}-{uuid.uuid4().hex}"
+
+    def _summary(self, path: str) -> DataFrame:
+        if path not in self.tables:
+            name = f"geoloom_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} (fp BIGINT, n BIGINT, low BIGINT, high BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            self.tables[path] = name
+        return self.spark.table(self.tables[path])
+
+    def _write_summary(self, rows: DataFrame) -> str:
+        path, name = self._path("summary"), f"geoloom_{uuid.uuid4().hex}"
+        with shuffles_go(self.spark):
+            rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).saveAsTable(name)
+        self.tables[path] = name
         return path
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("fp long, span long, key long, s0 int, s1 int, n int").parquet(path)
-
     def append(self, rows: DataFrame) -> None:
         """Add a batch of postings as a run and note which of its fingerprints repeat, in it or in an older run, with the least and greatest span hash."""
-        path = self._write(rows)
-        found = self._read(path).groupBy("fp").agg(F.sum("n").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
-        if self.runs:
-            older = self._union([p for _, p in self.runs]).groupBy("fp").agg(F.min("span").alias("old_low"), F.max("span").alias("old_high"))
-            found = found.join(older.hint("merge"), "fp", "left").where("n > 1 or old_low is not null")
-            found = found.select("fp", F.least("low", "old_low").alias("low"), F.greatest("high", "old_high").alias("high"))
-        else:
-            found = found.where("n > 1").select("fp", "low", "high")
-        self.repeated.append(materialize(self.spark, found))
-        self.runs.append((0, path))
+        posts = self._path("postings")
+        rows.write.parquet(posts)
+        path = self._write_summary(self._read([posts]).groupBy("fp").agg(F.sum("n").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")))
+        found = self._summary(path).withColumn("older", F.lit(False))
+        for run in self.runs:
+            old = self._summary(run.summary).select("fp", F.col("low").alias("old_low"), F.col("high").alias("old_high"))
+            found = found.join(old.hint("merge"), "fp", "left")
+            found = found.select("fp", "n", F.least("low", "old_low").alias("low"), F.greatest("high", "old_high").alias("high"), (F.col("older") | F.col("old_low").isNotNull()).alias("older"))
+        self.repeated.append(self._path("repeated"))
+        found.where("n > 1 or older").select("fp", "low", "high").write.parquet(self.repeated[-1])
+        self.runs.append(Run(0, path, (posts,)))
         self._compact()
+        self.version += 1
+        runs = [(r.level, r.summary, list(r.postings)) for r in self.runs]
+        manifest = self.spark.createDataFrame([(self.version, self.buckets, runs, self.repeated)], "version int, buckets int, runs array<struct<level:int,summary:string,postings:array<string>>>, repeated array<string>")
+        manifest.coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
 
     def _compact(self) -> None:
         """While `fanout` runs have one level, merge them into one run of the next."""
-        while len(self.runs) >= self.fanout and len({level for level, _ in self.runs[-self.fanout :]}) == 1:
-            level, merged = self.runs[-1][0], self.runs[-self.fanout :]
-            path = self._write(self._union([p for _, p in merged]))
-            self.runs[-self.fanout :] = [(level + 1, path)]
+        while len(self.runs) >= self.fanout and len({r.level for r in self.runs[-self.fanout :]}) == 1:
+            merged = self.runs[-self.fanout :]
+            rows = reduce(DataFrame.union, [self._summary(r.summary) for r in merged])
+            path = self._write_summary(rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
+            self.runs[-self.fanout :] = [Run(merged[-1].level + 1, path, tuple(p for r in merged for p in r.postings))]
 
-    def _union(self, paths: list[str]) -> DataFrame:
-        out = self._read(paths[0])
-        for p in paths[1:]:
-            out = out.union(self._read(p))
-        return out
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(_POSTING).parquet(*paths)
 
     def repeats(self) -> DataFrame:
         """All postings whose fingerprint repeats, with `alike`: whether all of the fingerprint's spans are equal."""
-        found = self.repeated[0]
-        for r in self.repeated[1:]:
-            found = found.union(r)
+        found = self.spark.read.schema("fp long, low long, high long").parquet(*self.repeated)
         found = found.groupBy("fp").agg((F.min("low") == F.max("high")).alias("alike"))
-        return self._union([p for _, p in self.runs]).join(found, "fp")
+        return self._read([p for r in self.runs for p in r.postings]).join(found.hint("merge"), "fp")
+
+    def close(self) -> None:
+        """Take the summaries from the catalog; their files stay."""
+        for name in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables.clear()
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """fp, h, key, start and n for each window of the segments `open` (fp, n, s0, s1) of `docs`."""
+    """fp, h, key, sub, start and n for each window of the segments `open` (fp, n, s0, s1) of `docs`."""
 
     def run(batches):
         for batch in batches:
             words = WordHashes()
-            for key, text, opened in zip(batch.column("key").to_pylist(), texts_of(batch), batch.column("open").to_pylist()):
+            for key, sub, text, opened in zip(batch.column("key").to_pylist(), batch.column("sub").to_pylist(), texts_of(batch), batch.column("open").to_pylist()):
                 sums = prefix(words.of(text.split()))
                 s0 = np.array([o["s0"] for o in opened])
                 size = np.array([o["s1"] for o in opened]) - s0 + 1
                 start = np.repeat(s0 - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
                 h = span_hash(sums, start, start + window).view(np.int64)
                 fp, n = (np.repeat(np.array([o[k] for o in opened], np.int64), size) for k in ("fp", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(h), pa.array(np.full(len(h), key)), pa.array(start.astype(np.int32)), pa.array(n)], names=["fp", "h", "key", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(h), pa.array(np.full(len(h), key)), pa.array(np.full(len(h), sub, np.int32)), pa.array(start.astype(np.int32)), pa.array(n)], names=["fp", "h", "key", "sub", "start", "n"])
 
-    return docs.select("key", "text", "open").mapInArrow(run, "fp long, h long, key long, start int, n long")
+    return docs.select("key", "sub", "text", "open").mapInArrow(run, "fp long, h long, key long, sub int, start int, n long")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """key and spans, array<struct<s0, s1>>: the windows of each document (by key) that start elsewhere too."""
+    """key, sub and spans, array<struct<s0, s1>>: the windows of each document (see _keyed) that start elsewhere too."""
     small_batches(spark)
-    keyed = docs.select("doc_id", "text").withColumn("key", _key()).select("key", "text")
+    keyed = _keyed(docs.select("doc_id", "text")).select("key", "sub", "text")
     index = FingerprintIndex(spark)
     for b in range(batches):
         index.append(postings(keyed.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == b), window, gram))
     found = materialize(spark, index.repeats())
+    index.close()
     differ = found.where("not alike")
-    spans = materialize(spark, differ.groupBy("fp", "span").agg(F.sum("n").alias("n"), F.min(F.struct("key", "s0", "s1")).alias("at")))
-    whole = found.where("alike").union(differ.join(spans.where("n > 1").select("fp", "span"), ["fp", "span"]).select(*found.columns)).select("key", "s0", "s1")
-    opened = spans.groupBy("at.key").agg(F.collect_list(F.struct("fp", "n", "at.s0", "at.s1")).alias("open"))
-    windows = materialize(spark, _windows(keyed.join(opened.hint("merge"), "key"), window))
+    spans = materialize(spark, differ.groupBy("fp", "span").agg(F.sum("n").alias("n"), F.min(F.struct("key", "sub", "s0", "s1")).alias("at")))
+    whole = found.where("alike").union(differ.join(spans.where("n > 1").select("fp", "span"), ["fp", "span"]).select(*found.columns)).select("key", "sub", "s0", "s1")
+    opened = spans.groupBy("at.key", "at.sub").agg(F.collect_list(F.struct("fp", "n", "at.s0", "at.s1")).alias("open"))
+    windows = materialize(spark, _windows(keyed.join(opened.hint("merge"), ["key", "sub"]), window))
     twice = windows.groupBy("fp", "h").agg(F.count("*").alias("times")).where("times > 1").select("fp", "h")
-    single = windows.where("n = 1").join(twice, ["fp", "h"]).select("key", F.col("start").alias("s0"), F.col("start").alias("s1"))
-    return whole.union(single).groupBy("key").agg(F.collect_set(F.struct("s0", "s1")).alias("spans"))
+    single = windows.where("n = 1").join(twice, ["fp", "h"]).select("key", "sub", F.col("start").alias("s0"), F.col("start").alias("s1"))
+    return whole.union(single).groupBy("key", "sub").agg(F.collect_set(F.struct("s0", "s1")).alias("spans"))
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """`docs` (doc_id, text, others) with n_words, n_removed and kept_text: words of repeated windows are removed.
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, new: tuple = NEW) -> DataFrame:
+    """`docs` (doc_id, text, others) with the columns `new`, n_words, n_removed and kept_text: words of repeated windows are removed.
 
     A window is judged on the input. kept_text joins the words left by one space. Null and empty texts have no words.
-    Repeated rows repeat each other's windows; texts of fewer than `window` words have none. Columns of `docs` with
-    the names of the three new ones are replaced.
+    Repeated rows repeat each other's windows; texts of fewer than `window` words have none. Columns of `docs` under
+    `new` are replaced; others, whatever their names, stay.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_text")
-    spans = materialize(spark, repeated_spans(spark, docs, window, gram, batches))
+    docs = docs.drop(*new)
     names = docs.columns
-    joined = docs.withColumn("_key", _key()).join(spans.withColumnRenamed("key", "_key").hint("merge"), "_key", "left").drop("_key")
+    key, sub, marked = fresh([*names, *new], "_key", "_sub", "_spans")
+    spans = materialize(spark, repeated_spans(spark, docs, window, gram, batches)).toDF(key, sub, marked)
+    joined = _keyed(docs, key, sub).join(spans.hint("merge"), [key, sub], "left")
 
     def run(batches):
         for batch in batches:
             n_words, removed, kept = [], [], []
-            for text, spans in zip(texts_of(batch), batch.column("spans").to_pylist()):
+            for text, spans in zip(texts_of(batch), batch.column(marked).to_pylist()):
                 words = text.split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 if spans:
@@ -220,10 +268,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
                 removed.append(len(words) - len(left))
                 kept.append(b" ".join(left))
             own = batch.select(names)
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, *new])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_words long, n_removed long, kept_text string"])
-    return joined.select(*names, "spans").mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"`{n}` {t}" for n, t in zip(new, ("long", "long", "string")))])
+    return joined.select(*names, marked).mapInArrow(run, schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

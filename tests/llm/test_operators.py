@@ -120,14 +120,23 @@ def test_substring_dedup(spark, docs, batches):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == (len(w), sum(gone), left.decode())
 
 
-def test_index_compacts(spark, docs):
-    index = substring.FingerprintIndex(spark, fanout=2)
-    keyed = docs.withColumn("key", F.col("doc_id"))
+def test_index_compacts_and_opens_again(spark, docs):
+    index = substring.FingerprintIndex(spark, fanout=2, buckets=3)
+    keyed = docs.withColumn("key", F.col("doc_id")).withColumn("sub", F.lit(0))
+    batch = lambda b: substring.postings(keyed.where(F.col("doc_id") % 6 == b))
     for b in range(4):
-        index.append(substring.postings(keyed.where(F.col("doc_id") % 4 == b)))
-    assert [level for level, _ in index.runs] == [2]
-    every = substring.postings(keyed)
-    assert index.repeats().count() == every.join(every.groupBy("fp").agg(F.sum("n").alias("times")).where("times > 1"), "fp").count()
+        index.append(batch(b))
+    assert [r.level for r in index.runs] == [2]
+    index.close()
+    again = substring.FingerprintIndex.open(spark, index.folder, fanout=2)
+    for b in (4, 5):
+        again.append(batch(b))
+    assert [r.level for r in again.runs] == [2, 1]
+    every = substring.postings(keyed).cache()
+    want = every.join(every.groupBy("fp").agg(F.sum("n").alias("times"), (F.min("span") == F.max("span")).alias("alike")).where("times > 1"), "fp")
+    rows = lambda df: sorted(map(tuple, df.select("fp", "span", "key", "s0", "s1", "n", "alike").collect()))
+    assert rows(again.repeats()) == rows(want) and want.count() > 10
+    again.close()
 
 
 def test_substring_of_empty_table(spark, nothing):
