@@ -5,68 +5,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tagfilter import last_non_empty
-
 # Layers in output order, each with its key, known values and zoom rules ({value: zoom}, else default).
-LAYERS: tuple[tuple[str, str, str, dict[str, int], int], ...] = (
-    ("amenity", "amenity", "parking school place_of_worship restaurant fuel hospital pharmacy bank cafe fast_food pub bar police fire_station post_office library university kindergarten marketplace", {}, 13),
-    ("shop", "shop", "supermarket convenience clothes hairdresser car_repair bakery beauty car mobile_phone hardware butcher alcohol furniture electronics department_store mall bicycle books jewelry gift florist pet sports optician", {}, 14),
-    ("tourism", "tourism", "hotel motel attraction museum viewpoint information guest_house camp_site picnic_site theme_park zoo hostel artwork", {"theme_park": 10, "zoo": 10, "hotel": 13, "museum": 13, "attraction": 13}, 14),
-    ("office", "office", "company government insurance lawyer estate_agent financial it ngo accountant architect", {}, 14),
-    ("healthcare", "healthcare", "doctor dentist clinic hospital pharmacy optometrist physiotherapist laboratory rehabilitation", {}, 14),
-    ("craft", "craft", "carpenter electrician plumber painter brewery photographer tailor hvac shoemaker gardener locksmith roofer", {}, 14),
-    ("historic", "historic", "monument memorial castle ruins archaeological_site fort battlefield building", {"castle": 10, "fort": 10}, 13),
-    ("club", "club", "sport social veterans music gaming fishing", {}, 14),
-    ("emergency", "emergency", "ambulance_station fire_station fire_hydrant hospital phone defibrillator assembly_point", {}, 13),
-    ("education", "education", "school university college kindergarten language_school driving_school music_school", {}, 13),
-    ("leisure", "leisure", "park garden playground golf_course sports_centre swimming_pool stadium pitch nature_reserve marina", {"park": 8, "nature_reserve": 8, "golf_course": 10, "stadium": 10}, 12),
-    ("highway", "highway", "motorway motorway_link trunk trunk_link primary primary_link secondary secondary_link tertiary tertiary_link residential unclassified service living_street pedestrian track bus_guideway footway bridleway steps corridor path cycleway",
+LAYERS: tuple[tuple[str, str, tuple[str, ...], dict[str, int], int], ...] = (
+    ("amenity", "amenity", ("parking", "school", "place_of_worship", "restaurant", "fuel", "hospital", "pharmacy", "bank", "cafe", "fast_food", "pub", "bar", "police", "fire_station", "post_office", "library", "university", "kindergarten", "marketplace"), {}, 13),
+    ("shop", "shop", ("supermarket", "convenience", "clothes", "hairdresser", "car_repair", "bakery", "beauty", "car", "mobile_phone", "hardware", "butcher", "alcohol", "furniture", "electronics", "department_store", "mall", "bicycle", "books", "jewelry", "gift", "florist", "pet", "sports", "optician"), {}, 14),
+    ("tourism", "tourism", ("hotel", "motel", "attraction", "museum", "viewpoint", "information", "guest_house", "camp_site", "picnic_site", "theme_park", "zoo", "hostel", "artwork"), {"theme_park": 10, "zoo": 10, "hotel": 13, "museum": 13, "attraction": 13}, 14),
+    ("office", "office", ("company", "government", "insurance", "lawyer", "estate_agent", "financial", "it", "ngo", "accountant", "architect"), {}, 14),
+    ("healthcare", "healthcare", ("doctor", "dentist", "clinic", "hospital", "pharmacy", "optometrist", "physiotherapist", "laboratory", "rehabilitation"), {}, 14),
+    ("craft", "craft", ("carpenter", "electrician", "plumber", "painter", "brewery", "photographer", "tailor", "hvac", "shoemaker", "gardener", "locksmith", "roofer"), {}, 14),
+    ("historic", "historic", ("monument", "memorial", "castle", "ruins", "archaeological_site", "fort", "battlefield", "building"), {"castle": 10, "fort": 10}, 13),
+    ("club", "club", ("sport", "social", "veterans", "music", "gaming", "fishing"), {}, 14),
+    ("emergency", "emergency", ("ambulance_station", "fire_station", "fire_hydrant", "hospital", "phone", "defibrillator", "assembly_point"), {}, 13),
+    ("education", "education", ("school", "university", "college", "kindergarten", "language_school", "driving_school", "music_school"), {}, 13),
+    ("leisure", "leisure", ("park", "garden", "playground", "golf_course", "sports_centre", "swimming_pool", "stadium", "pitch", "nature_reserve", "marina"), {"park": 8, "nature_reserve": 8, "golf_course": 10, "stadium": 10}, 12),
+    ("highway", "highway", ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "residential", "unclassified", "service", "living_street", "pedestrian", "track", "bus_guideway", "footway", "bridleway", "steps", "corridor", "path", "cycleway"),
      {"motorway": 4, "motorway_link": 4, "trunk": 5, "trunk_link": 5, "primary": 7, "primary_link": 7, "secondary": 9, "secondary_link": 9, "tertiary": 11, "tertiary_link": 11, "residential": 12, "unclassified": 12, "living_street": 12, "service": 13, "pedestrian": 13}, 14),
-    ("railway", "railway", "rail subway tram light_rail monorail narrow_gauge preserved disused abandoned platform station", {"rail": 8, "subway": 10, "light_rail": 10}, 12),
-    ("water", "waterway", "river stream canal drain ditch", {"river": 8, "stream": 12, "canal": 12, "lake": 6, "reservoir": 6, "pond": 10, "basin": 10}, 13),
-    ("natural", "natural", "wood scrub grassland heath sand bare_rock wetland glacier beach cliff peak volcano tree coastline", {"coastline": 0, "wood": 6, "glacier": 6}, 10),
-    ("landuse", "landuse", "residential commercial industrial retail farmland forest grass meadow orchard vineyard cemetery military quarry recreation_ground", {}, 7),
-    ("building", "building", "yes house apartments commercial industrial retail garage garages shed hut cabin church cathedral mosque temple synagogue hospital school university kindergarten hotel office", {}, 13),
-    ("boundary", "boundary", "administrative national_park protected_area maritime", {}, 2),
-    ("place", "place", "city town village hamlet suburb neighbourhood isolated_dwelling", {"city": 4, "town": 7, "village": 10}, 12),
+    ("railway", "railway", ("rail", "subway", "tram", "light_rail", "monorail", "narrow_gauge", "preserved", "disused", "abandoned", "platform", "station"), {"rail": 8, "subway": 10, "light_rail": 10}, 12),
+    ("water", "waterway", ("river", "stream", "canal", "drain", "ditch"), {"river": 8, "stream": 12, "canal": 12, "lake": 6, "reservoir": 6, "pond": 10, "basin": 10}, 13),
+    ("natural", "natural", ("wood", "scrub", "grassland", "heath", "sand", "bare_rock", "wetland", "glacier", "beach", "cliff", "peak", "volcano", "tree", "coastline"), {"coastline": 0, "wood": 6, "glacier": 6}, 10),
+    ("landuse", "landuse", ("residential", "commercial", "industrial", "retail", "farmland", "forest", "grass", "meadow", "orchard", "vineyard", "cemetery", "military", "quarry", "recreation_ground"), {}, 7),
+    ("building", "building", ("yes", "house", "apartments", "commercial", "industrial", "retail", "garage", "garages", "shed", "hut", "cabin", "church", "cathedral", "mosque", "temple", "synagogue", "hospital", "school", "university", "kindergarten", "hotel", "office"), {}, 13),
+    ("boundary", "boundary", ("administrative", "national_park", "protected_area", "maritime"), {}, 2),
+    ("place", "place", ("city", "town", "village", "hamlet", "suburb", "neighbourhood", "isolated_dwelling"), {"city": 4, "town": 7, "village": 10}, 12),
 )
-WATER_VALUES = "lake pond reservoir basin river"
+WATER_VALUES = ("lake", "pond", "reservoir", "basin", "river")
 FARMLAND_ALIASES = ("farm", "farmyard")
-#: Keys and values for which a closed way is an area (True) or a line (False); boundaries never are areas, other keys always.
+# Keys and values for which a closed way is an area (True) or a line (False); boundaries never are areas, other keys always.
 AREA_ONLY = {"highway": ("rest_area", "services", "platform"), "railway": ("platform", "station", "turntable", "roundhouse"), "waterway": ("riverbank", "dock", "boatyard", "dam", "fuel")}
 LINE_ONLY = {"natural": ("coastline", "cliff", "ridge", "arete", "tree_row", "valley", "gorge", "earth_bank", "dyke"), "leisure": ("track", "slipway"), "historic": ("citywalls",)}
+# What a layer adds to importance.
 IMPORTANCE_BONUS = {"place": 3, "highway": 2, "railway": 2, "water": 2, "boundary": 1}
 
 
-def _row(layer: str, ordinal: int, key: str, value: Column, known: list[str], when: Column) -> Column:
-    name = F.when(value.isin(known), value).otherwise("other")
-    if layer == "landuse":
-        name = F.when(value.isin(*FARMLAND_ALIASES), "farmland").otherwise(name)
-    return F.when(when, F.struct(F.lit(layer).alias("layer"), F.lit(ordinal).alias("rank"), F.lit(key).alias("class_key"), value.alias("class_value"), name.alias("class")))
+_LAYER_OF = {key: layer for layer, key, *_ in LAYERS} | {"water": "water"}
+_RANK_OF = {layer: i for i, (layer, *_) in enumerate(LAYERS)}
+#: Keys that say something about an element's classes, or whether it is an area.
+CLASS_KEYS = tuple(_LAYER_OF)
+
+
+def layer_set(names: str) -> set[str]:
+    """Layers of a comma-separated list; an unknown name is an error."""
+    out = {n.strip() for n in names.split(",") if n.strip()}
+    unknown = sorted(out - _RANK_OF.keys())
+    if unknown or not out:
+        raise ValueError(f"unknown layers: {', '.join(unknown) or names!r}; known: {', '.join(_RANK_OF)}")
+    return out
+
+
+def class_tags(tags: Column) -> Column:
+    """The tags that classify an element, one for each key: empty values count as absent, of duplicate keys the last holds.
+
+    waterway hides water, and both hide natural=water; building=no is none.
+    """
+    own = F.filter(tags, lambda t: t["k"].isin(*CLASS_KEYS) & (t["v"] != ""))
+    last = F.filter(own, lambda t, i: ~F.exists(F.slice(own, i + 2, F.size(own)), lambda u: u["k"] == t["k"]))
+    has = lambda *keys: F.exists(own, lambda u: u["k"].isin(*keys))
+    hidden = lambda t: ((t["k"] == "water") & has("waterway")) | ((t["k"] == "natural") & (t["v"] == "water") & has("waterway", "water")) | ((t["k"] == "building") & (t["v"] == "no"))
+    return F.filter(F.when(F.size(own) > 1, last).otherwise(own), lambda t: ~hidden(t))
 
 
-def class_rows(tags: Column, layers: set[str] | None = None) -> Column:
-    """array<struct<layer, rank, class_key, class_value, class>> of the layers an element belongs to, in output order.
+def classified(elements: DataFrame, layers: set[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per element and layer: osm_type, id, the columns to keep, layer, rank, class_key, class_value, class, min_zoom, importance.
 
-    Empty values count as absent; of duplicate keys the last non-empty one counts.
+    Elements without a tag of a class go before anything is computed for them.
     """
-    value = {key: last_non_empty(tags, key) for key in {x[1] for x in LAYERS} | {"water"}}
-    rows = []
-    for i, (layer, key, known, _, _) in enumerate(LAYERS):
-        if layers is not None and layer not in layers:
-            continue
-        v, values = value[key], known.split()
-        if layer == "water":
-            water, natural = value["water"], value["natural"]
-            lake = F.struct(F.lit(layer).alias("layer"), F.lit(i).alias("rank"), F.lit("natural").alias("class_key"), natural.alias("class_value"), F.lit("lake").alias("class"))
-            rows.append(F.coalesce(_row(layer, i, "waterway", v, values, v.isNotNull()), _row(layer, i, "water", water, WATER_VALUES.split(), water.isNotNull()), F.when(natural == "water", lake)))
-        elif layer == "natural":
-            rows.append(_row(layer, i, key, v, values, v.isNotNull() & (v != "water")))
-        elif layer == "building":
-            rows.append(_row(layer, i, key, v, values, v.isNotNull() & (v != "no")))
-        else:
-            rows.append(_row(layer, i, key, v, values, v.isNotNull()))
-    return F.filter(F.array(*rows), lambda r: r.isNotNull())
+    if layers is not None and layers - _RANK_OF.keys():
+        raise ValueError(f"unknown layers: {', '.join(sorted(layers - _RANK_OF.keys()))}")
+    rows = elements.where(F.exists("tags", lambda t: t["k"].isin(*CLASS_KEYS))).select("osm_type", "id", *keep, F.explode(class_tags(F.col("tags"))).alias("t"))
+    key, value = F.col("class_key"), F.col("class_value")
+    rows = rows.select("osm_type", "id", *keep, F.col("t.k").alias("class_key"), F.col("t.v").alias("class_value"))
+    lake = (key == "natural") & (value == "water")
+    name = layer = rank = None
+    for k, own in _LAYER_OF.items():
+        known = WATER_VALUES if k == "water" else next(x[2] for x in LAYERS if x[1] == k)
+        here = F.when(value.isin(*known), value).otherwise("other")
+        if k == "landuse":
+            here = F.when(value.isin(*FARMLAND_ALIASES), "farmland").otherwise(here)
+        name = F.when(lake, "lake").when(key == k, here) if name is None else name.when(key == k, here)
+        layer = F.when(lake, "water").when(key == k, own) if layer is None else layer.when(key == k, own)
+        rank = F.when(lake, _RANK_OF["water"]).when(key == k, _RANK_OF[own]) if rank is None else rank.when(key == k, _RANK_OF[own])
+    if layers is not None:  # by key first, so that it goes to the scan
+        keys = [k for k, own in _LAYER_OF.items() if own in layers] + (["natural"] if "water" in layers else [])
+        rows = rows.where(key.isin(*keys))
+    rows = rows.withColumns({"layer": layer, "rank": rank, "class": name})
+    if layers is not None:
+        rows = rows.where(F.col("layer").isin(*layers))
+    rows = rows.withColumn("min_zoom", min_zoom(F.col("layer"), F.col("class")))
+    rows = rows.withColumn("importance", importance(F.col("layer"), F.col("min_zoom")))
+    return rows.select("osm_type", "id", *keep, "layer", "rank", "class_key", "class_value", "class", "min_zoom", "importance")
 
 
 def min_zoom(layer: Column, name: Column) -> Column:
@@ -95,10 +121,3 @@ def closed_way_is_area(key: Column, value: Column, area: Column) -> Column:
     for k, values in LINE_ONLY.items():
         rule = rule.when(key == k, ~value.isin(*values))
     return F.when(area == "yes", True).when(area == "no", False).otherwise(rule.otherwise(True))
-
-
-def classified(elements: DataFrame, layers: set[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per element and layer: osm_type, id, the columns to keep, layer, rank, class_key, class_value, class, min_zoom, importance."""
-    rows = elements.select("osm_type", "id", *keep, F.explode(class_rows(F.col("tags"), layers)).alias("r")).select("osm_type", "id", *keep, "r.*")
-    rows = rows.withColumn("min_zoom", min_zoom(F.col("layer"), F.col("class")))
-    return rows.withColumn("importance", importance(F.col("layer"), F.col("min_zoom")))

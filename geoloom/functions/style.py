@@ -1,8 +1,11 @@
 """Style expressions compiled to Columns.
 
-An expression is JSON: `["op", args...]`. Each part compiles to a typed value and an error flag: an error is neither
-null nor a value, passes through operators, and makes a filter false and a property its default. Attributes are a
-map<string, string> column.
+An expression is JSON: `["op", args...]`. A value has a Column for each kind that it may have, of which one at most is
+not null in a row; a null value has none. An error is a flag beside them: it is neither null nor a value, passes through
+operators, and makes a filter false and a property its default. Attributes are a map<string, string> column.
+
+Filters have a grammar of their own, which takes the older forms (`["==", key, value]`, `["in", key, ...]`, `none`) too;
+`plain_filter` turns them into expressions. In expressions strings are literals.
 """
 
 from __future__ import annotations
@@ -13,222 +16,489 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER, STRING, BOOL, NULL = "number", "string", "bool", "null"
-OPERATORS = {"literal", "zoom", "get", "has", "!has", "==", "!=", "<", "<=", ">", ">=", "!", "all", "any", "none", "in", "!in", "match", "case", "coalesce", "interpolate", "step", "to-string", "to-number"}
+from . import colors
+
+NUMBER, STRING, BOOL, COLOR, NUMBERS, STRINGS = "number", "string", "boolean", "color", "array of numbers", "array of strings"
+TYPES = {NUMBER: "double", STRING: "string", BOOL: "boolean", COLOR: colors.COLOR, NUMBERS: "array<double>", STRINGS: "array<string>"}
+COMPARISONS = ("==", "!=", "<", "<=", ">", ">=")
+OPERATORS = {"literal", "zoom", "get", "has", "!has", *COMPARISONS, "!", "all", "any", "in", "!in", "match", "case", "coalesce", "interpolate", "step", "to-string", "to-number"}
+# Operators of the style specification that are known and not supported.
+UNSUPPORTED = {
+    "array", "boolean", "collator", "format", "image", "number", "number-format", "object", "string", "to-boolean", "to-color", "typeof", "feature-state", "geometry-type", "id", "line-progress", "properties",
+    "accumulated", "heatmap-density", "elevation", "let", "var", "concat", "downcase", "upcase", "is-supported-script", "resolved-locale", "rgb", "rgba", "to-rgba", "e", "ln2", "pi", "ln", "log10", "log2",
+    "sin", "cos", "tan", "asin", "acos", "atan", "min", "max", "round", "abs", "ceil", "floor", "distance", "sqrt", "+", "-", "*", "/", "%", "^", "within", "at", "index-of", "length", "slice", "interpolate-hcl", "interpolate-lab",
+}
 #: Deepest nesting.
 DEPTH = 256
 
 
 class StyleError(ValueError):
-    """An expression that isn't valid or not supported."""
+    """An expression that isn't valid."""
+
+
+class UnsupportedStyle(StyleError):
+    """A form that the style specification knows and this engine doesn't."""
+
+
+_ABSENT = object()
 
 
 @dataclass
 class Value:
-    column: Column
-    kind: str
+    parts: dict[str, Column]
     error: Column
+    constant: object = _ABSENT
+
+    def part(self, kind: str) -> Column:
+        return self.parts[kind] if kind in self.parts else F.lit(None).cast(TYPES[kind])
+
+    def is_null(self) -> Column:
+        return reduce(lambda a, b: a & b, (c.isNull() for c in self.parts.values()), F.lit(True))
+
 
-    def nullable(self, kind: str) -> Column:
-        return self.column if self.kind == kind else F.lit(None).cast({NUMBER: "double", STRING: "string", BOOL: "boolean"}[kind])
 
+def _value(kind: str, column: Column, *of: Value) -> Value:
+    return Value({kind: column}, reduce(lambda a, b: a | b, (v.error for v in of), F.lit(False)))
 
-def _ok(column: Column, kind: str, *parts: Value) -> Value:
-    return Value(column, kind, reduce(lambda a, b: a | b, (p.error for p in parts), F.lit(False)))
 
+def _failed() -> Value:
+    return Value({}, F.lit(True))
 
-def _literal(x) -> Value:
+
+def _check_literal(x, depth: int = 0) -> None:
+    if depth > DEPTH:
+        raise StyleError("the expression is nested too deep")
+    if isinstance(x, list):
+        for y in x:
+            _check_literal(y, depth + 1)
+    elif not (x is None or isinstance(x, (bool, int, float, str))):
+        raise StyleError(f"no literal: {x!r}")
+
+
+def _literal(x, depth: int = 0, as_color: bool = False) -> Value:
+    _check_literal(x, depth)
+    if as_color:
+        if not isinstance(x, str):
+            raise StyleError(f"no colour: {x!r}")
+        try:
+            return Value({COLOR: colors.literal(colors.parse(x))}, F.lit(False), x)
+        except ValueError as e:
+            raise StyleError(str(e)) from None
     if x is None:
-        return Value(F.lit(None).cast("string"), NULL, F.lit(False))
-    if isinstance(x, bool):
-        return Value(F.lit(x), BOOL, F.lit(False))
-    if isinstance(x, (int, float)):
-        return Value(F.lit(float(x)), NUMBER, F.lit(False))
-    if isinstance(x, str):
-        return Value(F.lit(x), STRING, F.lit(False))
-    raise StyleError(f"no literal: {x!r}")
+        parts = {}
+    elif isinstance(x, bool):
+        parts = {BOOL: F.lit(x)}
+    elif isinstance(x, (int, float)):
+        parts = {NUMBER: F.lit(float(x))}
+    elif isinstance(x, str):
+        parts = {STRING: F.lit(x)}
+    elif x and all(isinstance(y, str) for y in x):
+        parts = {STRINGS: F.array(*[F.lit(y) for y in x])}
+    elif all(isinstance(y, (int, float)) and not isinstance(y, bool) for y in x):
+        parts = {NUMBERS: F.array(*[F.lit(float(y)) for y in x]).cast("array<double>")}
+    else:
+        parts = {}  # a mixed array is looked at as a constant only
+    return Value(parts, F.lit(False), x)
 
 
 def _truth(v: Value) -> tuple[Column, Column]:
     """(value, error): anything but a bool is an error."""
-    if v.kind != BOOL:
-        return F.lit(False), F.lit(True)
-    return F.coalesce(v.column, F.lit(False)), v.error | v.column.isNull()
+    held = v.part(BOOL)
+    return F.coalesce(held, F.lit(False)), v.error | held.isNull()
 
 
-def _number_of(v: Value) -> tuple[Column, Column]:
-    """to-number: null and '' are 0, bools 0 or 1, text is trimmed; what isn't a finite number is an error."""
-    if v.kind == NULL:
-        return F.lit(0.0), v.error
-    if v.kind == BOOL:
-        return F.coalesce(v.column.cast("double"), F.lit(0.0)), v.error
-    if v.kind == NUMBER:
-        return F.coalesce(v.column, F.lit(0.0)), v.error
-    text = F.trim(v.column)
-    plain = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
-    out = F.when(v.column.isNull() | (text == ""), F.lit(0.0)).otherwise(plain)
-    bad = out.isNull() | out.isin(float("inf"), float("-inf"))
-    return F.coalesce(out, F.lit(0.0)), v.error | bad
+def _same(a: Value, b: Value) -> Column:
+    out = a.is_null() & b.is_null()
+    for kind in a.parts.keys() & b.parts.keys():
+        x, y = a.parts[kind], b.parts[kind]
+        equal = (x == y) & ~F.isnan(x) if kind == NUMBER else x == y
+        out = out | F.coalesce(equal, F.lit(False))
+    return out
+
+
+def number_text(n: Column) -> Column:
+    """A number in its shortest digits without exponent; whole numbers without a point."""
+    text = F.abs(n).cast("string")
+    mantissa, power = F.split(text, "E")[0], F.coalesce(F.try_element_at(F.split(text, "E"), F.lit(2)).cast("int"), F.lit(0))
+    whole, rest = F.split(mantissa, r"\.")[0], F.regexp_replace(F.coalesce(F.try_element_at(F.split(mantissa, r"\."), F.lit(2)), F.lit("")), "0+$", "")
+    pad = F.greatest(power - F.length(rest), F.lit(0))
+    above = F.concat(whole, F.substring(rest, F.lit(1), power), F.repeat(F.lit("0"), pad))
+    tail = F.substring(rest, power + 1, F.length(rest))
+    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), whole, rest)
+    digits = F.when(power < 0, below).otherwise(F.when(tail == "", above).otherwise(F.concat(above, F.lit("."), tail)))
+    sign = F.when((n < 0) | (n.cast("string") == "-0.0"), "-").otherwise("")
+    return F.when(F.isnan(n), "NaN").when(F.abs(n) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, digits))
+
+
+def _quoted(s: str) -> str:
+    return '"' + s.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t") + '"'
+
+
+def _text_of_constant(x) -> str:
+    if isinstance(x, list):
+        return "[" + ",".join(_quoted(y) if isinstance(y, str) else _text_of_constant(y) for y in x) + "]"
+    if isinstance(x, bool):
+        return str(x).lower()
+    if x is None:
+        return ""
+    if isinstance(x, str):
+        return x
+    text = f"{float(x):.17g}"
+    text = next(t for t in (f"{float(x):.{d}f}" for d in range(0, 340)) if float(t) == float(x)) if "e" in text or "." in text else text
+    return text
 
 
 def _text_of(v: Value) -> Column:
-    if v.kind == NUMBER:
-        whole = (v.column == F.floor(v.column)) & (F.abs(v.column) < 1e15)
-        return F.coalesce(F.when(whole, v.column.cast("long").cast("string")).otherwise(v.column.cast("string")), F.lit(""))
-    return F.coalesce(v.column.cast("string"), F.lit(""))
+    if isinstance(v.constant, list):
+        return F.lit(_text_of_constant(v.constant))
+    joined = lambda items: F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    quoted = lambda s: F.concat(F.lit('"'), F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    forms = {
+        NUMBER: number_text, STRING: lambda c: c, BOOL: lambda c: c.cast("string"), COLOR: lambda c: colors.css(c, number_text),
+        NUMBERS: lambda c: joined(F.transform(c, number_text)), STRINGS: lambda c: joined(F.transform(c, quoted)),
+    }
+    return F.coalesce(*[forms[k](c) for k, c in v.parts.items()], F.lit(""))
 
 
-def _pick(kind: str, arms: list[tuple[Column, Value]], other: Value) -> Value:
-    out, err = other.nullable(kind), other.error
+def _number_of(v: Value) -> tuple[Column, Column]:
+    """to-number of a value: (number, whether it has none). Null and '' are 0, bools 0 or 1, text is trimmed; what isn't a finite number has none."""
+    text = F.trim(v.part(STRING))
+    plain = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    of_text = F.when(text == "", F.lit(0.0)).otherwise(plain)
+    number = v.part(NUMBER)
+    out = F.coalesce(number, v.part(BOOL).cast("double"), of_text, F.when(v.is_null(), F.lit(0.0)))
+    if isinstance(v.constant, list):
+        out = F.lit(None).cast("double")
+    return F.coalesce(out, F.lit(0.0)), out.isNull() | (number.isNull() & F.abs(out).isin(float("inf")))
+
+
+def _choose(arms: list[tuple[Column, Value]], other: Value) -> Value:
+    """The value of the first arm whose condition holds."""
+    kinds = {k for v in [other, *(v for _, v in arms)] for k in v.parts}
+    parts, error = {k: other.part(k) for k in kinds}, other.error
     for when, v in reversed(arms):
-        out, err = F.when(when, v.nullable(kind)).otherwise(out), F.when(when, v.error).otherwise(err)
-    return Value(out, kind, err)
+        parts = {k: F.when(when, v.part(k)).otherwise(c) for k, c in parts.items()}
+        error = F.when(when, v.error).otherwise(error)
+    return Value(parts, error)
 
 
-def _kind(values: list[Value]) -> str:
-    kinds = {v.kind for v in values} - {NULL}
-    if len(kinds) > 1:
-        raise StyleError(f"the outcomes are of kinds {sorted(kinds)}")
-    return kinds.pop() if kinds else STRING
+def _arity(op: str, args: list, n: int) -> None:
+    if len(args) != n:
+        raise StyleError(f"{op} takes {n} arguments")
 
 
-def compile_expr(e, attrs: Column, zoom: Column, depth: int = 0) -> Value:
+def compile_expr(e, attrs: Column, zoom: Column, depth: int = 0, as_color: bool = False) -> Value:
+    """The value of an expression; with `as_color` its literal outcomes are colours."""
     if depth > DEPTH:
         raise StyleError("the expression is nested too deep")
     if not isinstance(e, list):
-        return _literal(e)
+        return _literal(e, depth, as_color)
     if not e or not isinstance(e[0], str):
         raise StyleError("an expression begins with an operator's name")
     op, args = e[0], e[1:]
     if op not in OPERATORS:
-        raise StyleError(f"{op} is not supported")
+        raise UnsupportedStyle(f"{op} is not supported")
     sub = lambda x: compile_expr(x, attrs, zoom, depth + 1)
+    out = lambda x: compile_expr(x, attrs, zoom, depth + 1, as_color)
     if op == "literal":
-        return _literal(args[0])
+        _arity(op, args, 1)
+        return _literal(args[0], depth + 1, as_color)
     if op == "zoom":
-        return _ok(zoom.cast("double"), NUMBER)
+        _arity(op, args, 0)
+        return _value(NUMBER, zoom.cast("double"))
     if op in ("get", "has", "!has"):
-        if len(args) != 1 or not isinstance(args[0], str):
-            raise StyleError(f"{op} takes a key")
+        if len(args) == 2:
+            raise UnsupportedStyle(f"{op} of an object is not supported")
+        _arity(op, args, 1)
+        key = sub(args[0])
+        name = key.part(STRING)
+        error = key.error | name.isNull()
+        found = F.try_element_at(attrs, F.coalesce(name, F.lit("")))
         if op == "get":
-            return _ok(F.try_element_at(attrs, F.lit(args[0])), STRING)
-        there = F.coalesce(F.map_contains_key(attrs, args[0]), F.lit(False))
-        return _ok(there if op == "has" else ~there, BOOL)
-    if op in ("==", "!=") and args and isinstance(args[0], str) and len(args) == 2 and not isinstance(args[1], list):
-        a, b = sub(["get", args[0]]), sub(args[1])  # the older form: a key and a value
-    elif op in ("==", "!=", "<", "<=", ">", ">="):
+            return Value({STRING: F.when(~error, found)}, error)
+        there = F.coalesce(F.array_contains(F.map_keys(attrs), F.coalesce(name, F.lit(""))), F.lit(False))
+        return Value({BOOL: there if op == "has" else ~there}, error)
+    if op in COMPARISONS:
+        if len(args) == 3:
+            raise UnsupportedStyle(f"{op} with a collator is not supported")
+        _arity(op, args, 2)
         a, b = map(sub, args)
-    if op in ("==", "!="):
-        if NULL in (a.kind, b.kind):
-            same = a.column.isNull() & b.column.isNull()
-        elif a.kind == b.kind:
-            same = a.column.eqNullSafe(b.column)
-        else:
-            same = a.column.isNull() & b.column.isNull()
-        return _ok(same if op == "==" else ~same, BOOL, a, b)
-    if op in ("<", "<=", ">", ">="):
-        if a.kind != b.kind or a.kind not in (NUMBER, STRING):
-            return Value(F.lit(False), BOOL, F.lit(True))
-        held = {"<": a.column < b.column, "<=": a.column <= b.column, ">": a.column > b.column, ">=": a.column >= b.column}[op]
-        if a.kind == NUMBER:
-            held = held & ~F.isnan(a.column) & ~F.isnan(b.column)
-        return Value(F.coalesce(held, F.lit(False)), BOOL, a.error | b.error | a.column.isNull() | b.column.isNull())
+        if op in ("==", "!="):
+            same = _same(a, b)
+            return _value(BOOL, same if op == "==" else ~same, a, b)
+        test = lambda x, y: {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+        x, y = a.part(NUMBER), b.part(NUMBER)
+        held = F.coalesce(test(x, y) & ~F.isnan(x) & ~F.isnan(y), test(a.part(STRING), b.part(STRING)))
+        return Value({BOOL: held}, a.error | b.error | held.isNull())
     if op == "!":
+        _arity(op, args, 1)
         v, err = _truth(sub(args[0]))
-        return Value(~v, BOOL, err)
-    if op in ("all", "any", "none"):
-        stop = op != "all"  # the value that ends the evaluation
+        return Value({BOOL: ~v}, err)
+    if op in ("all", "any"):
+        stop = op == "any"  # the value that ends the evaluation
         value, error = F.lit(not stop), F.lit(False)
         for v, err in reversed([_truth(sub(x)) for x in args]):
             value = F.when(err, F.lit(False)).when(v == F.lit(stop), F.lit(stop)).otherwise(value)
             error = F.when(err, True).when(v == F.lit(stop), False).otherwise(error)
-        return Value(~value if op == "none" else value, BOOL, error)
+        return Value({BOOL: value}, error)
     if op in ("in", "!in"):
-        needle = sub(["get", args[0]]) if isinstance(args[0], str) and len(args) > 1 and not isinstance(args[1], list) and len(args) != 2 else sub(args[0])
-        if len(args) == 2 and isinstance(args[1], list) and args[1][0] == "literal":
-            options = args[1][1]
-        elif len(args) == 2:
-            hay = sub(args[1])
-            if needle.kind != STRING or hay.kind != STRING:
-                return Value(F.lit(False), BOOL, F.lit(True))
-            held = F.coalesce(F.contains(hay.column, needle.column), F.lit(False))
-            return Value(held if op == "in" else ~held, BOOL, needle.error | hay.error | hay.column.isNull() | needle.column.isNull())
+        _arity(op, args, 2)
+        needle, hay = sub(args[0]), sub(args[1])
+        if isinstance(hay.constant, list):
+            held = reduce(lambda a, b: a | b, (_same(needle, _literal(x)) for x in hay.constant if not isinstance(x, list)), F.lit(False))
+            bad = F.lit(False)
         else:
-            options = args[1:]
-        same_kind = [x for x in options if _literal(x).kind == needle.kind]
-        held = F.coalesce(needle.column.isin(*same_kind), F.lit(False)) if same_kind else F.lit(False)
-        return _ok(held if op == "in" else ~held, BOOL, needle)
+            member = [F.when(hay.parts[k].isNotNull(), F.coalesce(F.array_contains(hay.parts[k], needle.part(one)), F.lit(False))) for k, one in ((STRINGS, STRING), (NUMBERS, NUMBER)) if k in hay.parts]
+            held = F.coalesce(*member, F.contains(hay.part(STRING), needle.part(STRING)))
+            bad = held.isNull()
+        return Value({BOOL: held if op == "in" else ~held}, needle.error | hay.error | bad)
     if op == "match":
         if len(args) < 4 or len(args) % 2:
             raise StyleError("match takes a value, labels with outcomes, and a default")
-        v, arms, seen, outs = sub(args[0]), [], set(), []
-        for labels, out in zip(args[1:-1:2], args[2:-1:2]):
+        v, arms, seen, kinds = sub(args[0]), [], [], set()
+        for labels, outcome in zip(args[1:-1:2], args[2:-1:2]):
             labels = labels if isinstance(labels, list) else [labels]
-            kinds = {_literal(x).kind for x in labels}
-            if len(kinds) != 1 or not kinds <= {STRING, NUMBER} or seen & set(labels):
-                raise StyleError("labels are strings or numbers, each once")
-            seen |= set(labels)
-            outs.append(sub(out))
-            arms.append((F.coalesce(v.column.isin(*labels), F.lit(False)) if kinds == {v.kind} else F.lit(False), outs[-1]))
-        other = sub(args[-1])
-        got = _pick(_kind([*outs, other]), arms, other)
-        return Value(got.column, got.kind, got.error | v.error)
+            kinds |= {STRING if isinstance(x, str) else NUMBER if isinstance(x, (int, float)) and not isinstance(x, bool) else None for x in labels}
+            if not labels or len(kinds) != 1 or None in kinds or any(x in seen for x in labels) or len(set(labels)) < len(labels):
+                raise StyleError("labels are all strings or all numbers, each once")
+            seen += labels
+            (kind,) = kinds
+            hit = v.part(kind).isin([float(x) if kind == NUMBER else x for x in labels])
+            arms.append((F.coalesce(hit, F.lit(False)), out(outcome)))
+        got = _choose(arms, out(args[-1]))
+        return Value(got.parts, got.error | v.error)
     if op == "case":
         if len(args) < 3 or not len(args) % 2:
             raise StyleError("case takes conditions with outcomes, and a default")
-        outs, conds, other = [sub(x) for x in args[1:-1:2]], [_truth(sub(x)) for x in args[:-1:2]], sub(args[-1])
-        kind = _kind([*outs, other])
-        value, error = other.nullable(kind), other.error
-        for (v, err), out in reversed(list(zip(conds, outs))):
-            value = F.when(err, F.lit(None)).when(v, out.nullable(kind)).otherwise(value)
-            error = F.when(err, True).when(v, out.error).otherwise(error)
-        return Value(value, kind, error)
+        arms = []
+        for condition, outcome in zip(args[:-1:2], args[1:-1:2]):
+            v, err = _truth(sub(condition))
+            arms += [(err, _failed()), (v, out(outcome))]
+        return _choose(arms, out(args[-1]))
     if op == "coalesce":
-        parts = [sub(x) for x in args]
-        kind = _kind(parts)
-        value, error = F.lit(None), F.lit(False)
-        for p in reversed(parts):  # null falls through, an error does not
-            held = p.nullable(kind)
-            value = F.when(p.error, F.lit(None)).when(held.isNotNull(), held).otherwise(value)
-            error = F.when(p.error, True).when(held.isNotNull(), False).otherwise(error)
-        return Value(value, kind, error)
+        if not args:
+            raise StyleError("coalesce takes a value at least")
+        parts = [out(x) for x in args]
+        return _choose([(p.error | ~p.is_null(), p) for p in parts], Value({}, F.lit(False)))  # null falls through, an error does not
     if op == "to-string":
+        _arity(op, args, 1)
         v = sub(args[0])
-        return _ok(_text_of(v), STRING, v)
+        return _value(STRING, _text_of(v), v)
     if op == "to-number":
-        value, error = F.lit(0.0), F.lit(True)
-        for v, err in reversed([_number_of(sub(x)) for x in args]):
-            value, error = F.when(err, value).otherwise(v), F.when(err, error).otherwise(False)
-        return Value(value, NUMBER, error)
+        if not args:
+            raise StyleError("to-number takes a value at least")
+        arms = []
+        for v in map(sub, args):
+            n, none = _number_of(v)
+            arms += [(v.error, _failed()), (~none, _value(NUMBER, n))]
+        return _choose(arms, _failed())
     if op == "step":
-        x, outs, stops = sub(args[0]), [sub(a) for a in args[1::2]], args[2::2]
-        if x.kind != NUMBER or any(a >= b for a, b in zip(stops, stops[1:])) or len(outs) != len(stops) + 1:
-            raise StyleError("step takes a number, a base and rising stops with outcomes")
-        arms = [(x.column >= F.lit(float(s)), out) for s, out in zip(reversed(stops), reversed(outs[1:]))]
-        got = _pick(_kind(outs), arms, outs[0])
-        return Value(got.column, got.kind, got.error | x.error | x.column.isNull())
-    # interpolate
-    curve, x, stops, outs = args[0], sub(args[1]), [float(s) for s in args[2::2]], [sub(a) for a in args[3::2]]
-    base = 1.0 if curve == ["linear"] else float(curve[1]) if curve[:1] == ["exponential"] and len(curve) == 2 else None
-    if base is None or base <= 0 or x.kind != NUMBER or not stops or len(stops) != len(outs) or any(a >= b for a, b in zip(stops, stops[1:])) or any(o.kind != NUMBER for o in outs):
-        raise StyleError("interpolate takes a linear or exponential curve, a number, and rising stops with numbers")
-    value, error = outs[-1].column, outs[-1].error
-    for (s0, o0), (s1, o1) in reversed(list(zip(zip(stops, outs), zip(stops[1:], outs[1:])))):
-        at = (x.column - s0) / (s1 - s0) if base == 1.0 else (F.pow(F.lit(base), x.column - s0) - 1) / (base ** (s1 - s0) - 1)
+        if len(args) < 2 or len(args) % 2:
+            raise StyleError("step takes a number, a base, and stops with outcomes")
+        stops = _stops(args[2::2])
+        x, base, outs = sub(args[0]), out(args[1]), [out(a) for a in args[3::2]]
+        at, bad = _finite(x)
+        got = _choose([(at >= F.lit(s), o) for s, o in reversed(list(zip(stops, outs)))], base)
+        return Value(got.parts, got.error | bad)
+    if len(args) < 4 or len(args) % 2 or not isinstance(args[0], list):
+        raise StyleError("interpolate takes a curve, a number, and stops with outcomes")
+    return _interpolated(args, sub, out)
+
+
+def _stops(given: list) -> list[float]:
+    if any(isinstance(s, bool) or not isinstance(s, (int, float)) for s in given) or any(a >= b for a, b in zip(given, given[1:])):
+        raise StyleError("stops are rising numbers")
+    return [float(s) for s in given]
+
+
+def _finite(x: Value) -> tuple[Column, Column]:
+    """(number, error) of an input that must be a finite number."""
+    n = x.part(NUMBER)
+    good = n.isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
+    return F.when(good, n), x.error | ~good
+
+
+def _interpolated(args: list, sub, out) -> Value:
+    kind = args[0][0] if args[0] else None
+    if kind not in ("linear", "exponential"):
+        raise (UnsupportedStyle if isinstance(kind, str) else StyleError)(f"no curve: {args[0]!r}")
+    base = args[0][1] if kind == "exponential" and len(args[0]) == 2 else 1.0 if args[0] == ["linear"] else None
+    if isinstance(base, bool) or not isinstance(base, (int, float)) or not 0 < base < float("inf"):
+        raise StyleError("a curve is linear or exponential with a base above 0")
+    stops, outs = _stops(args[2::2]), [out(a) for a in args[3::2]]
+    x, bad = _finite(sub(args[1]))
+
+    def as_color(v: Value) -> Column | None:
+        if isinstance(v.constant, str) and COLOR not in v.parts:
+            try:
+                return colors.literal(colors.parse(v.constant))
+            except ValueError:
+                return None
+        made = [v.parts[COLOR]] if COLOR in v.parts else []
+        if STRING in v.parts:
+            made.append(colors.parsed(v.parts[STRING]))
+        return F.coalesce(*made) if made else None
+
+    arms = [(x <= F.lit(stops[0]), outs[0])]
+    for s0, s1, o0, o1 in zip(stops, stops[1:], outs, outs[1:]):
+        if abs(base - 1.0) > 2.220446049250313e-16:
+            at = (F.pow(F.lit(float(base)), x - s0) - 1) / F.lit(_power_less_one(base, s1 - s0))
+            at = F.when(F.isnan(at) | (F.abs(at) == float("inf")), F.pow(F.lit(float(base)), x - s1)).otherwise(at)
+        else:
+            at = (x - s0) / (s1 - s0)
         at = F.greatest(F.least(at, F.lit(1.0)), F.lit(0.0))
-        inside = x.column < s1
-        value, error = F.when(inside, o0.column + (o1.column - o0.column) * at).otherwise(value), F.when(inside, o0.error | o1.error).otherwise(error)
-    value = F.when(x.column <= stops[0], outs[0].column).otherwise(value)
-    return Value(value, NUMBER, error | x.error | x.column.isNull())
+        n0, n1 = o0.part(NUMBER), o1.part(NUMBER)
+        parts = {NUMBER: n0 + (n1 - n0) * at} if NUMBER in o0.parts and NUMBER in o1.parts else {}
+        c0, c1 = as_color(o0), as_color(o1)
+        if c0 is not None and c1 is not None:
+            parts[COLOR] = F.when(c0.isNotNull() & c1.isNotNull(), colors.between(c0, c1, at))
+        mixed = Value(parts, F.lit(False))
+        arms.append((x < F.lit(s1), Value(parts, o0.error | o1.error | mixed.is_null())))
+    got = _choose(arms, outs[-1])
+    return Value(got.parts, got.error | bad)
+
+
+def _power_less_one(base: float, span: float) -> float:
+    try:
+        return float(base) ** span - 1
+    except OverflowError:
+        return float("inf")
+
+
+def plain_filter(e, depth: int = 0):
+    """A filter as an expression: the older forms are rewritten, the rest stays."""
+    if depth > DEPTH:
+        raise StyleError("the filter is nested too deep")
+    if not isinstance(e, list) or not e or not isinstance(e[0], str):
+        return e
+    op, args = e[0], e[1:]
+
+    def key(x) -> str:
+        if not isinstance(x, str):
+            raise StyleError("a filter names a property")
+        if x.startswith("$"):
+            raise UnsupportedStyle(f"the filter key {x} is not supported")
+        return x
+
+    def scalar(x):
+        if isinstance(x, (list, dict)):
+            raise StyleError("values of older filters are strings, numbers, booleans or null")
+        return x
+
+    if op in ("all", "any"):
+        return [op, *(plain_filter(a, depth + 1) for a in args)]
+    if op == "none":
+        return ["!", ["any", *(plain_filter(a, depth + 1) for a in args)]]
+    if op in ("has", "!has") and len(args) == 1 and isinstance(args[0], str):
+        return ["has", key(args[0])] if op == "has" else ["!", ["has", key(args[0])]]
+    if op in ("in", "!in"):
+        if op == "in" and len(args) >= 2 and (not isinstance(args[0], str) or isinstance(args[1], list)):
+            return e
+        name, labels = key(args[0] if args else None), []
+        for x in args[1:]:
+            if not any(x == y and type(x) is type(y) for y in labels):
+                labels.append(scalar(x))
+        numbers = all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in labels)
+        if not labels:
+            test = False
+        elif numbers or all(isinstance(x, str) for x in labels):
+            test = ["match", ["get", name], labels, True, False]
+        else:
+            test = ["in", ["get", name], ["literal", labels]]
+        return test if op == "in" else ["!", test]
+    if op in COMPARISONS and len(args) == 2 and not any(isinstance(a, list) for a in args):
+        return [op, ["get", key(args[0])], scalar(args[1])]
+    return e
+
+
+def _below(e):
+    """The parts of an expression that are evaluated."""
+    if isinstance(e, list) and e and isinstance(e[0], str) and e[0] != "literal":
+        args = e[1:]
+        if e[0] == "match":
+            yield from (args[0], *args[2:-1:2], args[-1])
+        elif e[0] in ("interpolate", "step"):
+            yield from (args[1], *args[3::2]) if e[0] == "interpolate" else (args[0], args[1], *args[3::2])
+        else:
+            yield from args
+
+
+def depends_on(e, operators: tuple[str, ...]) -> bool:
+    return isinstance(e, list) and bool(e) and (e[0] in operators or any(depends_on(x, operators) for x in _below(e)))
+
+
+def depends_on_feature(e) -> bool:
+    return depends_on(e, ("get", "has", "!has"))
+
+
+def depends_on_zoom(e) -> bool:
+    return depends_on(e, ("zoom",))
+
+
+def is_expression(e) -> bool:
+    """Whether JSON is an array headed by an operator's name, be it supported or not."""
+    return isinstance(e, list) and bool(e) and isinstance(e[0], str) and (e[0] in OPERATORS or e[0] in UNSUPPORTED)
 
 
 def filter_column(e, attrs: Column, zoom: Column) -> Column:
-    """Whether a filter holds; errors are no match."""
-    v, err = _truth(compile_expr(e, attrs, zoom))
+    """Whether a filter holds; errors, and anything but true, are no match."""
+    v, err = _truth(compile_expr(plain_filter(e), attrs, zoom))
     return v & ~err
 
 
-def property_column(e, attrs: Column, zoom: Column, default) -> Column:
-    """A property's value; null and errors give the default."""
-    v = compile_expr(e, attrs, zoom)
-    return F.coalesce(F.when(~v.error, v.column), F.lit(default))
+def _typed(v: Value, kind: str) -> Column:
+    """A value as a property of a kind takes it; null where it doesn't."""
+    if kind == NUMBER:
+        n = v.part(NUMBER)
+        return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+    if kind == STRING:
+        scalar = Value({k: c for k, c in v.parts.items() if k not in (NUMBERS, STRINGS)}, v.error)
+        return F.when(~scalar.is_null(), _text_of(scalar))
+    if kind == COLOR:
+        return F.coalesce(v.part(COLOR), colors.parsed(v.parts[STRING])) if STRING in v.parts else v.part(COLOR)
+    if kind == NUMBERS:
+        given = v.part(NUMBERS)
+        return F.when(F.forall(given, lambda n: ~F.isnan(n) & (F.abs(n) < float("inf"))), given)
+    return v.part(kind)
+
+
+def _constant(x, kind: str):
+    """A property's constant, checked."""
+    number = lambda y: isinstance(y, (int, float)) and not isinstance(y, bool)
+    good = {
+        NUMBER: number(x), STRING: isinstance(x, str), BOOL: isinstance(x, bool), COLOR: isinstance(x, str), NUMBERS: isinstance(x, list) and all(map(number, x)),
+        STRINGS: isinstance(x, list) and all(isinstance(y, str) for y in x),
+    }[kind]
+    if not good:
+        raise StyleError(f"expected {kind}, found {x!r}")
+
+
+def _default(x, kind: str) -> Column:
+    if kind == COLOR:
+        return colors.literal(x if isinstance(x, tuple) else colors.parse(x))
+    return F.array(*[F.lit(y) for y in x]).cast(TYPES[kind]) if isinstance(x, (list, tuple)) else F.lit(x).cast(TYPES[kind])
+
+
+def kind_of(default) -> str:
+    if isinstance(default, (list, tuple)):
+        return STRINGS if default and isinstance(default[0], str) else NUMBERS
+    return BOOL if isinstance(default, bool) else NUMBER if isinstance(default, (int, float)) else STRING
+
+
+def property_column(e, attrs: Column, zoom: Column, default, kind: str | None = None, among: tuple[str, ...] = ()) -> Column:
+    """A property's value, of `kind` (that of the default if not given); null, errors and values of another kind give the default.
+
+    Strings take any scalar as text, colours take text that names one, and `among` names the words that are allowed.
+    """
+    kind = kind or kind_of(default)
+    if is_expression(e):
+        v = compile_expr(e, attrs, zoom, as_color=kind == COLOR)
+        made = F.when(~v.error, v.part(STRING) if among else _typed(v, kind))
+    else:
+        _constant(e, kind)
+        if among and e not in among:
+            raise StyleError(f"expected one of {among}, found {e!r}")
+        made = _literal(e, as_color=kind == COLOR).part(kind)
+    if among:
+        made = F.when(made.isin(*among), made)
+    return F.coalesce(made, _default(default, kind))

@@ -99,9 +99,19 @@ def parse(text: str) -> TagFilter:
     return terms[0] if len(terms) == 1 else TagFilter("any", parts=tuple(terms))
 
 
-def retained(tags: Column, keys: list[str]) -> Column:
-    """The tags with one of `keys`, in their order."""
-    return F.filter(tags, lambda t: t["k"].isin(keys))
+# The keys that curated output keeps.
+CURATED_KEYS = (
+    "highway", "building", "waterway", "water", "natural", "landuse", "railway", "amenity", "leisure", "boundary", "place", "shop", "tourism", "office", "healthcare", "craft", "historic", "club", "emergency", "education",
+    "name", "ref", "admin_level", "addr:street", "addr:housenumber", "addr:city", "addr:postcode", "phone", "contact:phone", "website", "contact:website", "opening_hours", "cuisine", "brand", "operator", "description",
+)
+
+
+def retained(tags: Column, keys: list[str] | str) -> Column:
+    """The tags with one of `keys`, in their order; "all" keeps every tag, "curated" those of CURATED_KEYS."""
+    if keys == "all":
+        return tags
+    held = CURATED_KEYS if keys == "curated" else tuple(keys)
+    return F.filter(tags, lambda t: t["k"].isin(*held)) if held else F.slice(tags, 1, 0)
 
 
 def first_value(tags: Column, key: str) -> Column:

@@ -89,13 +89,14 @@ def clip_ring(points: np.ndarray, low: tuple, high: tuple) -> np.ndarray:
     return np.vstack([ring, ring[:1]])
 
 
-def interior_point(ring: np.ndarray) -> tuple[float, float]:
-    """A point inside a ring: the middle of the widest span on scan lines at some heights."""
+def interior_point(*rings: np.ndarray) -> tuple[float, float]:
+    """A point inside a polygon (outer ring, holes): the middle of the widest span on scan lines at some heights."""
+    ring = rings[0]
     y0, y1 = ring[:, 1].min(), ring[:, 1].max()
     best = (-1.0, tuple(ring.mean(axis=0)))
+    a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
     for share in (0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8):
         y = y0 + share * (y1 - y0)
-        a, b = ring[:-1], ring[1:]
         cross = (a[:, 1] > y) != (b[:, 1] > y)
         xs = np.sort(a[cross, 0] + (y - a[cross, 1]) / (b[cross, 1] - a[cross, 1]) * (b[cross, 0] - a[cross, 0]))
         for x0, x1 in zip(xs[::2], xs[1::2]):
@@ -106,6 +107,47 @@ def interior_point(ring: np.ndarray) -> tuple[float, float]:
     return float(best[1][0]), float(best[1][1])
 
 
+def interior_points(shapes: Column) -> Column:
+    """struct<lon7, lat7> inside of shapes (polygons of closed rings of lon7, lat7): in the polygon of the largest outer ring. Null for an empty shape."""
+
+    def run(batch: pd.Series) -> pd.DataFrame:
+        out = []
+        for shape in batch:
+            polygons = [[np.array([(p["lon7"], p["lat7"]) for p in ring], float) for ring in part] for part in (shape if shape is not None else [])]
+            polygons = [p for p in polygons if p and len(p[0]) >= 4]
+            if not polygons:
+                out.append((None, None))
+                continue
+            area = lambda r: abs(float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum()))
+            x, y = interior_point(*max(polygons, key=lambda p: area(p[0] - p[0][0])))
+            out.append((round(x), round(y)))
+        return pd.DataFrame(out, columns=["lon7", "lat7"]).astype("Int64")
+
+    return F.pandas_udf(run, "struct<lon7:long,lat7:long>", functionType=F.PandasUDFType.SCALAR)(shapes)
+
+
+def half_way(points: Column) -> Column:
+    """struct<lon7, lat7> at half the length of a line, array<struct<lon7, lat7>>: a lone point is itself, no points are null."""
+    n = F.size(points)
+    x = lambda p: p["lon7"].cast("double")
+    y = lambda p: p["lat7"].cast("double")
+    steps = F.zip_with(
+        F.slice(points, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))),
+        lambda p, q: F.struct(x(p).alias("x"), y(p).alias("y"), (x(q) - x(p)).alias("dx"), (y(q) - y(p)).alias("dy"), F.sqrt(F.pow(x(q) - x(p), F.lit(2)) + F.pow(y(q) - y(p), F.lit(2))).alias("d")),
+    )
+    half = F.aggregate(steps, F.lit(0.0), lambda a, s: a + s["d"]) / 2
+    first = F.get(points, F.lit(0))
+    start = F.struct(half.alias("left"), x(first).alias("x"), y(first).alias("y"))
+
+    def walk(a: Column, s: Column) -> Column:
+        here = F.when(s["d"] > 0, F.least(a["left"] / s["d"], F.lit(1.0))).otherwise(0.0)
+        moved = F.struct((a["left"] - s["d"]).alias("left"), (s["x"] + s["dx"] * here).alias("x"), (s["y"] + s["dy"] * here).alias("y"))
+        return F.when(a["left"] > 0, moved).otherwise(a)
+
+    at = F.aggregate(steps, start, walk)
+    return F.when(n > 0, F.struct(F.round(at["x"]).cast("long").alias("lon7"), F.round(at["y"]).cast("long").alias("lat7")))
+
+
 def simplified(lines: DataFrame, eps: float) -> DataFrame:
     """id, n_points, n_kept for lines (id, xs array<double>, ys array<double>)."""
 

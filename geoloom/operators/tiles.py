@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import mercator as M
+from ..sources.tables import scratch
 
 # Layers in the order of their numbers, the first part of a feature's sort key.
 SORT_LAYERS = (
@@ -13,10 +17,6 @@ SORT_LAYERS = (
 )
 
 
-def size_class(px: Column) -> Column:
-    return F.greatest(F.least(F.log2(px + 1) * 2048, F.lit(65535.0)), F.lit(0.0)).cast("int")
-
-
 def secondary_key(layer: Column, importance: Column, size: Column) -> Column:
     """Layers ascending, then importance and size descending, in one long."""
     ordinal = F.array_position(F.array(*[F.lit(x) for x in SORT_LAYERS]), layer) - 1
@@ -40,7 +40,9 @@ def expand_box(boxes: DataFrame, z: int, buffer: float = 0.0) -> DataFrame:
 
 
 def layer_stats(pieces: DataFrame) -> DataFrame:
-    return pieces.groupBy("layer").agg(F.min("z").alias("min_zoom"), F.max("z").alias("max_zoom"), F.count("*").alias("pieces"))
+    """layer, min_zoom, max_zoom, pieces; with attrs (tags k, v) also fields, the attribute keys in order."""
+    fields = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("attrs", lambda t: t["k"]))))).alias("fields")] if "attrs" in pieces.columns else []
+    return pieces.groupBy("layer").agg(F.min("z").alias("min_zoom"), F.max("z").alias("max_zoom"), F.count("*").alias("pieces"), *fields)
 
 
 def tile_summary(pieces: DataFrame) -> DataFrame:
@@ -48,6 +50,20 @@ def tile_summary(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("z", "x", "y").agg(F.count("*").alias("n")).groupBy("z").agg(F.count("*").alias("tiles"), F.sum("n").alias("features"))
 
 
+def archive_summary(tiles: DataFrame) -> DataFrame:
+    """z, tiles, features, dropped, bytes of assembled tiles."""
+    return tiles.groupBy("z").agg(F.count("*").alias("tiles"), F.sum("features").alias("features"), F.sum("dropped").alias("dropped"), F.sum(F.octet_length("data")).alias("bytes"))
+
+
+def archive_metadata(stats: DataFrame, name: str, description: str = "", attribution: str = "", generator: str = "geoloom") -> DataFrame:
+    """One row `metadata`: the archive's document in JSON, from layer_stats with fields. Only layers that have features are there, and every field is a String."""
+    fields = F.map_from_arrays("fields", F.transform("fields", lambda _: F.lit("String")))
+    layer = F.struct(F.col("layer").alias("id"), fields.alias("fields"), F.col("min_zoom").alias("minzoom"), F.col("max_zoom").alias("maxzoom"))
+    head = [F.lit(v).alias(n) for n, v in (("name", name), ("description", description), ("attribution", attribution), ("type", "baselayer"), ("format", "pbf"), ("generator", generator))]
+    layers = F.transform(F.array_sort(F.collect_list(F.struct("layer", layer.alias("l")))), lambda x: x["l"])
+    return stats.where("pieces > 0").agg(layers.alias("vector_layers")).select(F.to_json(F.struct(*head, "vector_layers")).alias("metadata"))
+
+
 def best_in_tile(pieces: DataFrame, most: int) -> DataFrame:
     """The `most` pieces of each tile by importance, then id; with `place` from 1."""
     w = Window.partitionBy("z", "x", "y").orderBy(F.col("importance").desc(), "id", "layer")
@@ -60,3 +76,39 @@ def ancestor_lookup(wanted: DataFrame, loaded: DataFrame, levels: int) -> DataFr
     above = up.select("z", "x", "y", "up", (F.col("z") - F.col("up")).alias("az"), F.expr("shiftright(x, up)").alias("ax"), F.expr("shiftright(y, up)").alias("ay"))
     there = loaded.select(F.col("z").alias("az"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lit(True).alias("there")).distinct()
     return above.join(there, ["az", "ax", "ay"], "left").groupBy("z", "x", "y").agg(F.min(F.when(F.col("there"), F.col("up"))).alias("up"))
+
+
+def nearest(asked: DataFrame, places: DataFrame, most: float | None = None) -> DataFrame:
+    """id, nearest: for each row of `asked` (id, lon7, lat7) the nearest other one of `places` by |dx| + |dy|, ties to the smaller id; null if none is within `most`.
+
+    Grids of growing cells are gone through. A click looks at the nine cells around its own, and is done when the best
+    one found is nearer than a cell's side, as nothing outside of them can be nearer then. So dense places are searched
+    in small cells, and only the clicks that are left meet larger ones.
+    """
+    spark = places.sparkSession
+
+    def written(df: DataFrame) -> DataFrame:
+        path = scratch(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    left = written(asked.select(F.col("id").alias("q"), F.col("lon7").alias("qx"), F.col("lat7").alias("qy")))
+    n = places.count()
+    side = max(1, int(math.sqrt(3.6e9 * 1.8e9 / max(1, n)) / 8))
+    widest = int(3.6e9 + 1.8e9) if most is None else max(1, int(most))
+    found = []
+    while not left.isEmpty():
+        at = lambda c: F.floor(F.col(c) / side)  # noqa: E731, B023
+        own = left.withColumn("cx", F.explode(F.sequence(at("qx") - 1, at("qx") + 1))).withColumn("cy", F.explode(F.sequence(at("qy") - 1, at("qy") + 1)))
+        cells = places.select("id", "lon7", "lat7", at("lon7").alias("cx"), at("lat7").alias("cy"))
+        far = F.abs(F.col("lon7") - F.col("qx")) + F.abs(F.col("lat7") - F.col("qy"))
+        best = own.join(cells, ["cx", "cy"]).where("id <> q").groupBy("q").agg(F.min(F.struct(far.alias("far"), "id")).alias("m"))
+        last = side >= widest
+        sure = F.col("m.far") <= (widest if last else side)
+        best = written(left.join(best, "q", "left").withColumn("m", F.when(sure, F.col("m"))))
+        found.append(best.where("true" if last else "m is not null").select(F.col("q").alias("id"), F.col("m.id").alias("nearest")))
+        if last:
+            break
+        left = best.where("m is null").select("q", "qx", "qy")
+        side = min(side * 4, widest)
+    return reduce(DataFrame.unionByName, found) if found else asked.select("id", F.lit(None).cast("long").alias("nearest"))

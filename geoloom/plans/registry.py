@@ -409,11 +409,8 @@ def nearest_poi_all(spark, d):
 
 
 def _nearest(n, clicks):
-    """A stated set of clicks against all places; the least distance is combined before the shuffle."""
     n = n.select("id", "lon7", "lat7")
-    asked = E.checked_broadcast(n.where(clicks).select(F.col("id").alias("q"), F.col("lon7").alias("qx"), F.col("lat7").alias("qy")))
-    far = F.abs(F.col("lon7") - F.col("qx")) + F.abs(F.col("lat7") - F.col("qy"))
-    return n.join(asked, F.col("id") != F.col("q")).groupBy("q").agg(F.min(F.struct(far.alias("far"), "id")).alias("m")).select(F.col("q").alias("id"), F.col("m.id").alias("nearest"))
+    return TI.nearest(n.where(clicks), n)
 
 
 @query(
