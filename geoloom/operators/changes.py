@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 def fold(changes: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:
     """keys, order, action, version and payload of the change that holds in the end.
 
-    In `order` a change replaces the stored one unless both versions are known and the new one is lower. An object's
-    changes are few, so its fold stays in one row.
+    In `order` a change replaces the stored one unless both versions are known and the new one is lower. So what was
+    before an object's last change without a version does not count, and of what follows it (or that change itself, if
+    nothing does) the highest version holds, of equal ones the last. Both are maxima, combined before the shuffle.
     """
-    row = F.struct(*order, "action", "version", *payload)
-    empty = F.lit(None).cast(changes.select(row.alias("s")).schema["s"].dataType)
-    older = lambda s, c: F.coalesce(c["version"] < s["version"], F.lit(False))
-    last = F.aggregate(F.array_sort("all"), empty, lambda s, c: F.when(older(s, c), s).otherwise(c))
-    return changes.groupBy(*keys).agg(F.collect_list(row).alias("all")).select(*keys, last.alias("s")).select(*keys, "s.*")
+    place, row = F.struct(*order), F.struct(*order, "action", "version", *payload)
+    bare = F.col("version").isNull()
+    lasts = changes.where(bare).groupBy(*keys).agg(F.max(place).alias("_from"), F.max_by(row, place).alias("_bare"))
+    versioned = changes.where(~bare).withColumn("_row", row).withColumn("_place", place)
+    # the last change without a version is an object's only row here, so the join keeps the changes as they are
+    after = versioned.join(lasts.select(*[F.col(k).alias(f"_{k}") for k in keys], "_from"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").where(F.col("_from").isNull() | (F.col("_place") > F.col("_from")))
+    best = after.groupBy(*keys).agg(F.max_by("_row", F.struct("version", "_place")).alias("_best"))
+    both = best.join(lasts.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "full_outer")
+    return both.select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys], F.coalesce("_best", "_bare").alias("s")).select(*keys, "s.*")
 
 
 def folded(changes: DataFrame) -> DataFrame:
@@ -61,15 +66,24 @@ def apply_stats(done: DataFrame) -> DataFrame:
     return done.agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in ("created", "modified", "deleted", "unchanged")])
 
 
+def update_stats(done: DataFrame) -> DataFrame:
+    """read, written, created, modified, deleted of applied elements: deletions of what wasn't there count as nothing."""
+    n = lambda *kinds: F.count_if(F.col("outcome").isin(*kinds))
+    return done.agg(
+        n("unchanged", "modified", "deleted").alias("read"), n("unchanged", "modified", "created").alias("written"), n("created").alias("created"), n("modified").alias("modified"), n("deleted").alias("deleted"),
+    )
+
+
+def change_counts(changes: DataFrame) -> DataFrame:
+    """objects and deletions of folded changes."""
+    return changes.agg(F.count("*").alias("objects"), F.count_if(F.col("action") == "delete").alias("deletions"))
+
+
 def file_key() -> list[Column]:
     """Type, negative ids first, then by absolute id."""
     return [F.col("osm_type"), F.col("id") >= 0, F.abs("id")]
 
 
-def in_file_order(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(*file_key())
-
-
 def file_places(rows: DataFrame, folder: str) -> DataFrame:
     """`rows` with place, from 1 in file order: numbered within ranges of the order, after the counts of the ranges before.
 

@@ -57,10 +57,10 @@ def archive_summary(tiles: DataFrame) -> DataFrame:
 
 def archive_metadata(stats: DataFrame, name: str, description: str = "", attribution: str = "", generator: str = "geoloom") -> DataFrame:
     """One row `metadata`: the archive's document in JSON, from layer_stats with fields. Only layers that have features are there, and every field is a String."""
-    fields = F.map_from_arrays("fields", F.transform("fields", lambda _: F.lit("String")))
-    layer = F.struct(F.col("layer").alias("id"), fields.alias("fields"), F.col("min_zoom").alias("minzoom"), F.col("max_zoom").alias("maxzoom"))
+    rows = F.array_sort(F.collect_list(F.struct("layer", "fields", "min_zoom", "max_zoom")))
+    fields = lambda x: F.map_from_arrays(x["fields"], F.transform(x["fields"], lambda _: F.lit("String")))
+    layers = F.transform(rows, lambda x: F.struct(x["layer"].alias("id"), fields(x).alias("fields"), x["min_zoom"].alias("minzoom"), x["max_zoom"].alias("maxzoom")))
     head = [F.lit(v).alias(n) for n, v in (("name", name), ("description", description), ("attribution", attribution), ("type", "baselayer"), ("format", "pbf"), ("generator", generator))]
-    layers = F.transform(F.array_sort(F.collect_list(F.struct("layer", layer.alias("l")))), lambda x: x["l"])
     return stats.where("pieces > 0").agg(layers.alias("vector_layers")).select(F.to_json(F.struct(*head, "vector_layers")).alias("metadata"))
 
 
