@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import jobs
 from ..functions import classify as C
 from ..functions import mercator as M
-from ..functions import style, tagfilter
+from ..functions import colors, style, styledoc, tagfilter
 from ..functions import text as T
 from ..operators import areas as A
 from ..operators import changes as CH
 from ..operators import entities as E
+from ..operators import features as FE
 from ..operators import geometry as G
 from ..operators import render as R
 from ..operators import tiles as TI
@@ -223,7 +225,14 @@ def geojson_rows(spark, d):
     return S.nodes(spark, d).select("id", F.to_json(F.struct(F.lit("Feature").alias("type"), T.osm_name(F.lit(1), F.col("id")).alias("id"), F.struct(name.alias("name")).alias("properties"))).alias("feature"))
 
 
-@query()
+@query(
+    _with(S.NODES_SQL, S.ELEMENTS_SQL, """e AS (SELECT n.id, lower(name) AS folded, name, radians(n.id % 50 * 20000 / 1e7) AS a, radians(n.id % 7 * 3000 / 1e7) AS b, CASE WHEN k IN ('amenity', 'shop', 'tourism', 'leisure') THEN 1 ELSE 0 END AS rich
+  FROM nodes n JOIN elements e ON e.osm_type = 1 AND e.id = n.id)""", "v AS (SELECT *, cos(b) * cos(a) AS x, cos(b) * sin(a) AS y, sin(b) AS z, row_number() OVER (PARTITION BY folded ORDER BY rich DESC, id) AS r FROM e)",
+          """g(folded, r, kept) AS (SELECT DISTINCT folded, 0::BIGINT, []::STRUCT(x DOUBLE, y DOUBLE, z DOUBLE, id BIGINT)[] FROM v UNION ALL
+  SELECT g.folded, v.r, CASE WHEN len(list_filter(g.kept, lambda p: (p.x - v.x) ** 2 + (p.y - v.y) ** 2 + (p.z - v.z) ** 2 < (2 * sin(100.0 / 6371008.8 / 2)) ** 2)) = 0 THEN list_append(g.kept, {'x': v.x, 'y': v.y, 'z': v.z, 'id': v.id}) ELSE g.kept END
+  FROM g JOIN v ON v.folded = g.folded AND v.r = g.r + 1)""", "k AS (SELECT unnest(kept).id AS id FROM g QUALIFY row_number() OVER (PARTITION BY folded ORDER BY r DESC) = 1)").replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT 1 AS osm_type, v.id AS osm_id, v.name, v.id IN (SELECT id FROM k) AS kept FROM v"
+)
 def entity_dedup(spark, d):
     """Places of one name in a small area, of which near ones go."""
     n = S.nodes(spark, d)
@@ -246,7 +255,13 @@ def change_fold_versioned(spark, d):
     return CH.folded(S.changes(spark, d).where("version is not null")).select("id", "action", "version", "value")
 
 
-@query()
+_FOLDED = """last_bare AS (SELECT id, max(seq) AS at FROM changes WHERE version IS NULL GROUP BY id),
+after AS (SELECT c.* FROM changes c LEFT JOIN last_bare b ON b.id = c.id WHERE c.version IS NOT NULL AND (b.at IS NULL OR c.seq > b.at)),
+best AS (SELECT id, arg_max(action, version * 10000000 + seq) AS action, max(version) AS version, arg_max(value, version * 10000000 + seq) AS value FROM after GROUP BY id),
+state AS (SELECT * FROM best UNION ALL SELECT c.id, c.action, c.version, c.value FROM changes c JOIN last_bare b ON b.id = c.id AND b.at = c.seq WHERE c.id NOT IN (SELECT id FROM best))"""
+
+
+@query(_with(S.CHANGES_SQL, _FOLDED) + "SELECT id, action, version, value FROM state")
 def change_fold(spark, d):
     return CH.folded(S.changes(spark, d)).select("id", "action", "version", "value")
 
@@ -265,18 +280,23 @@ def apply_changes(spark, d):
     return _applied(spark, d)
 
 
+_APPLY_ALL = _with(S.CHANGES_SQL, _FOLDED, """done AS (SELECT coalesce(c.id, s.id) AS id, CASE WHEN action IS NULL THEN c.id WHEN action <> 'delete' THEN value END AS value,
+ CASE WHEN action IS NULL THEN 'unchanged' WHEN action = 'delete' THEN CASE WHEN c.id IS NULL THEN 'absent' ELSE 'deleted' END WHEN c.id IS NULL THEN 'created' ELSE 'modified' END AS outcome
+ FROM (SELECT c_custkey AS id FROM customer) c FULL OUTER JOIN state s ON s.id = c.id)""")
+
+
 def _applied_all(spark, d):
     base = S.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("value"))
     return CH.applied(base, CH.folded(S.changes(spark, d)))
 
 
-@query()
+@query(_APPLY_ALL + "SELECT id, value, outcome FROM done")
 def apply_changes_all(spark, d):
-    """All changes, those without a version too, onto all customers; a fold in order of seq has no SQL here."""
+    """All changes, those without a version too, onto all customers."""
     return _applied_all(spark, d)
 
 
-@query()
+@query(_APPLY_ALL + "SELECT count(*) FILTER (WHERE outcome = 'created') AS created, count(*) FILTER (WHERE outcome = 'modified') AS modified, count(*) FILTER (WHERE outcome = 'deleted') AS deleted, count(*) FILTER (WHERE outcome = 'unchanged') AS unchanged FROM done")
 def apply_stats_all(spark, d):
     return CH.apply_stats(_applied_all(spark, d))
 
@@ -502,6 +522,155 @@ def tile_polygons(spark, d):
     return shown.select(((F.col("id") - 1) / 10).cast("long").alias("id"), "z", "x", "y", total.cast("long").alias("area2"))
 
 
+def _map_folder(spark, d):
+    """All elements written as PBF part files."""
+    folder = S.scratch(spark)
+    PBF.write(S.map_elements(spark, d), folder, spark.sparkContext.defaultParallelism).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query(
+    _with(_LOCATED, "m AS (SELECT o_custkey AS rid, count(*) FILTER (WHERE missing > 0) AS broken FROM orders LEFT JOIN located ON way_id = o_orderkey GROUP BY 1)")
+    + """SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM orders) AS ways, (SELECT count(*) FROM customer) AS relations, 0::BIGINT AS invalid_nodes, (SELECT count(*) FROM located WHERE missing > 0) AS incomplete_ways,
+ (SELECT count(*) FROM m) AS area_relations, (SELECT count(*) FROM m WHERE broken > 0) AS incomplete, (SELECT count(*) FROM m WHERE broken = 0) AS tried"""
+)
+def map_inspect(spark, d):
+    """A whole map file inspected: written, read back, located, classified and assembled."""
+    counts, _ = jobs.inspect(spark, _map_folder(spark, d))
+    names = ("nodes", "ways", "relations", "invalid_nodes", "incomplete_ways", "area_relations", "incomplete")
+    return counts.select(*names, (F.col("assembled") + F.col("invalid")).alias("tried"))
+
+
+@query(
+    _with(_LOCATED, S.ELEMENTS_SQL, _CLASSES)
+    + """SELECT r.osm_type, r.id, layer, class, osm_type::INT AS kind, CASE osm_type WHEN 1 THEN 1 ELSE n_refs END::INT AS n_points, CASE osm_type WHEN 1 THEN (SELECT v FROM elements e WHERE e.osm_type = 1 AND e.id = r.id) ELSE class END AS class_value
+ FROM rows_ r LEFT JOIN located ON osm_type = 2 AND way_id = r.id WHERE osm_type = 1 OR (osm_type = 2 AND missing = 0 AND n_refs >= 2)"""
+)
+def map_features(spark, d):
+    """Features of nodes and ways of a whole map file with the class that tiles show; relations are in map_inspect and area_assembly."""
+    f = FE.build(PBF.read(spark, _map_folder(spark, d))).features.where("osm_type < 3")
+    shown = FE.attributes(F.col("tags"), F.col("layer"), F.col("class"))
+    return f.select("osm_type", "id", "layer", "class", "kind", F.size(F.flatten(F.flatten("shape"))).alias("n_points"), shown[0]["v"].alias("class_value"))
+
+
+@query()
+def map_tiles(spark, d):
+    """Tiles of a whole map file, by zoom: features, tiles, bytes and what did not fit."""
+    return jobs.generate_tiles(spark, _map_folder(spark, d), S.scratch(spark), "0-10").summary
+
+
+@query(_with(_LOCATED) + "SELECT 1 AS osm_type, id AS osm_id, true AS located, lon7 AS lon7 FROM nodes UNION ALL SELECT 2, o_orderkey, coalesce(n_refs - missing > 0, false), CASE WHEN n_refs - missing = 1 THEN (SELECT max(n.lon7) FROM refs r JOIN nodes n ON n.id = r.node_id WHERE r.way_id = o_orderkey) END FROM orders LEFT JOIN located ON way_id = o_orderkey")
+def map_entities(spark, d):
+    """Named elements of a whole map file and whether they have a place; the place itself of nodes and of ways that only one node is there of."""
+    elements = PBF.read(spark, _map_folder(spark, d))
+    found = E.with_fields(E.located_elements(elements))
+    known = FE.way_lines(elements.where("osm_type = 2").select("id", "refs"), FE.nodes_of(elements)).select(F.lit(2).alias("osm_type"), F.col("way_id").alias("osm_id"), F.size("points").alias("n"))
+    lone = F.coalesce(F.col("n"), F.lit(1)) == 1
+    return found.join(known, ["osm_type", "osm_id"], "left").select("osm_type", "osm_id", F.col("lon7").isNotNull().alias("located"), F.when(lone, F.col("lon7")).alias("lon7"))
+
+
+def _spiced(spark, d):
+    """Places with what the plain ones lack: phones, websites and operators under several keys, empty ones too, and names that look like formulas."""
+    more = lambda k, v, when: F.when(when, S.tag(k, v))
+    i = F.col("id")
+    text = lambda s: F.concat(F.lit(s), i.cast("string"))
+    extra = F.array(
+        more("phone", F.when(i % 6 == 0, "").otherwise(text("+1 ")), i % 3 == 0), more("contact:phone", text("+2 "), i % 2 == 0), more("url", text("u/"), i % 5 == 0), more("website", text("w/"), i % 10 == 0),
+        more("operator", text("Op "), i % 4 == 1), more("addr:postcode", text("P"), i % 7 == 0), more("note", F.lit("a; b"), i % 11 == 0),
+    )
+    named = F.transform("tags", lambda t: F.when((t["k"] == "name") & (i % 3 == 0), F.struct(t["k"].alias("k"), F.concat(F.lit("="), t["v"]).alias("v"))).otherwise(t))
+    return S.nodes(spark, d).withColumn("tags", F.concat(named, F.filter(extra, lambda t: t.isNotNull())))
+
+
+_SPICED = """spiced AS (SELECT n.id, lon7, lat7, CASE WHEN n.id % 3 = 0 THEN '=' ELSE '' END || name AS name, house || ' ' || street || ', ' || city || CASE WHEN n.id % 7 = 0 THEN ', P' || n.id ELSE '' END AS address, city, street, house,
+  CASE WHEN n.id % 3 = 0 AND n.id % 6 <> 0 THEN '+1 ' || n.id WHEN n.id % 2 = 0 THEN '+2 ' || n.id ELSE '' END AS phone, CASE WHEN n.id % 10 = 0 THEN 'w/' || n.id WHEN n.id % 5 = 0 THEN 'u/' || n.id ELSE '' END AS website,
+  CASE WHEN n.id % 4 = 1 THEN 'Op ' || n.id ELSE '' END AS operator, CASE WHEN n.id % 11 = 0 AND k < 'note' THEN k || '=' || v || '; note=a; b' WHEN n.id % 11 = 0 THEN 'note=a; b; ' || k || '=' || v ELSE k || '=' || v END AS tags,
+  regexp_replace(regexp_replace(printf('%.7f', lon7 / 1e7), '0+$', ''), '[.]$', '') AS lon, regexp_replace(regexp_replace(printf('%.7f', lat7 / 1e7), '0+$', ''), '[.]$', '') AS lat
+  FROM nodes n JOIN elements e ON e.osm_type = 1 AND e.id = n.id)"""
+
+
+@query(_with(S.NODES_SQL, S.ELEMENTS_SQL, _SPICED) + "SELECT CASE WHEN name LIKE '=%' THEN '''' ELSE '' END || name AS name, 'node' AS type, id::VARCHAR AS id, printf('%.7f', lat7 / 1e7) AS lat, printf('%.7f', lon7 / 1e7) AS lon, address, CASE WHEN phone <> '' THEN '''' ELSE '' END || phone AS phone, website, operator, tags FROM spiced")
+def entity_csv(spark, d):
+    return E.csv_rows(E.entities(_spiced(spark, d)))
+
+
+_PARTS = """'"addr_city":"' || city || '","addr_housenumber":"' || house || CASE WHEN id % 7 = 0 THEN '","addr_postcode":"P' || id ELSE '' END || '","addr_street":"' || street || '"'"""
+
+
+@query(_with(S.NODES_SQL, S.ELEMENTS_SQL, _SPICED) + f"""SELECT id AS osm_id, '{{"name":"' || name || '","osm_type":"node","osm_id":' || id || ',"lat":' || lat || ',"lon":' || lon || ',"address":"' || address || '","phone":"' || phone || '","website":"' || website || '","operator":"' || operator || '","tags":"' || tags || '",' || {_PARTS} || '}}' AS line FROM spiced""")
+def entity_json(spark, d):
+    return E.json_rows(E.entities(_spiced(spark, d))).select("osm_id", "line")
+
+
+@query(_with(S.NODES_SQL, S.ELEMENTS_SQL, _SPICED) + f"""SELECT id AS osm_id, '{{"type":"Feature","id":"node/' || id || '","geometry":{{"type":"Point","coordinates":[' || lon || ',' || lat || ']}},"properties":{{"name":"' || name || '","osm_type":"node","osm_id":' || id || ',"address":"' || address || '"'
+ || CASE WHEN phone <> '' THEN ',"phone":"' || phone || '"' ELSE '' END || CASE WHEN website <> '' THEN ',"website":"' || website || '"' ELSE '' END || CASE WHEN operator <> '' THEN ',"operator":"' || operator || '"' ELSE '' END || ',"tags":"' || tags || '",' || {_PARTS} || '}}}}' AS line FROM spiced""")
+def entity_geojson(spark, d):
+    return E.geojson_rows(E.entities(_spiced(spark, d))).select("osm_id", "line")
+
+
+@query(_with(S.NODES_SQL, S.ELEMENTS_SQL, _CLASSES, _GRID, "o AS (SELECT pt.*, r.importance FROM pt JOIN rows_ r ON r.osm_type = 1 AND r.id = pt.id)")
+       + "SELECT z, x, y, layer, id * 10 + 1 AS id, (row_number() OVER (PARTITION BY z, x, y, layer ORDER BY importance, id DESC) - 1)::INT AS ord FROM o")
+def tile_order(spark, d):
+    """The place of each feature in its layer of a tile: the most important one comes last, to be drawn on top."""
+    return R.decoded(R.assemble(R.render(_point_features(spark, d), 10, 14))).select("z", "x", "y", "layer", "id", "ord")
+
+
+@query(_with(S.ELEMENTS_SQL, _CLASSES, "s AS (SELECT layer, min(greatest(min_zoom, 10)) AS a FROM rows_ WHERE osm_type = 1 GROUP BY layer)")
+       + """SELECT '{"name":"places","description":"","attribution":"","type":"baselayer","format":"pbf","generator":"geoloom","vector_layers":[' || string_agg('{"id":"' || layer || '","fields":{"class":"String"},"minzoom":' || a || ',"maxzoom":14}', ',' ORDER BY layer) || ']}' AS metadata FROM s""")
+def archive_metadata(spark, d):
+    return TI.archive_metadata(TI.layer_stats(R.render(_point_features(spark, d), 10, 14)), "places")
+
+
+def _filtered_orders(name: str, expression, sql: str):
+    _QUERIES[name] = lambda spark, d: _styled(spark, d).where(style.filter_column(expression, F.col("attrs"), F.col("zoom"))).select("id")
+    _SQL[name] = _ORDERS + f"SELECT id FROM o WHERE {sql}"
+
+
+_filtered_orders("style_older_in", ["all", ["in", "status", "O"], ["!in", "priority", "1-URGENT"], ["has", "price"]], "s = 'O' AND p <> '1-URGENT'")
+_filtered_orders("style_older_compare", ["any", [">=", "priority", "4"], ["!=", "status", "O"]], "p >= '4' OR s <> 'O'")
+_filtered_orders("style_in_array", ["in", ["get", "status"], ["literal", ["F", 1, True]]], "s = 'F'")
+_filtered_orders("style_not_bool", ["any", ["!", ["==", ["get", "status"], "O"]], ["get", "status"]], "s <> 'O'")
+_property("style_literals", ["case", ["==", "status", "status"], "same", "other"], "", "'same'")
+_property("style_mixed_kinds", ["to-string", ["case", ["==", ["get", "status"], "O"], 1.5, ["==", ["get", "status"], "F"], True, ["get", "status"]]], "", "CASE s WHEN 'O' THEN '1.5' WHEN 'F' THEN 'true' ELSE s END")
+
+
+@query(_ORDERS + """, c AS (SELECT id, zoom, CASE WHEN zoom <= 4 THEN 0 WHEN zoom >= 16 THEN 1 ELSE (zoom - 4) / 12.0::DOUBLE END AS t FROM o)
+SELECT id, printf('#%02x%02x%02x', floor((1 - t) * 255 + 0.5)::INT, floor(t * 128 + 0.5)::INT, 0) AS value FROM c""")
+def style_color(spark, d):
+    e = ["interpolate", ["linear"], ["zoom"], 4, "red", 16, "hsl(120, 100%, 25%)"]
+    return _styled(spark, d).select("id", colors.css(style.property_column(e, F.col("attrs"), F.col("zoom"), colors.BLACK, style.COLOR), style.number_text).alias("value"))
+
+
+@query("""SELECT o_orderkey AS id, regexp_replace('0.' || lpad((o_orderkey + 1)::VARCHAR, 9, '0'), '0+$', '') AS small, regexp_replace(regexp_replace(printf('%d.%02d', (round(o_totalprice * 100)::BIGINT) // 100, (round(o_totalprice * 100)::BIGINT) % 100), '0+$', ''), '[.]$', '') AS plain,
+ (o_orderkey + 1)::VARCHAR || '000000000000' AS large FROM orders""")
+def style_number_text(spark, d):
+    n = (F.col("o_orderkey") + 1).cast("double")
+    return S.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), style.number_text(n / 1e9).alias("small"), style.number_text(F.round(F.col("o_totalprice") * 100) / 100).alias("plain"), style.number_text(n * 1e12).alias("large"))
+
+
+_STYLE = {
+    "version": 8, "name": "roads", "sources": {"map": {"type": "vector", "url": "x"}}, "layers": [
+        {"id": "ground", "type": "background"},
+        {"id": "far", "type": "line", "source": "map", "source-layer": "highway", "maxzoom": 8, "filter": ["in", "class", "motorway", "primary"], "paint": {"line-color": "#f00", "line-opacity": 0.5}},
+        {"id": "near", "type": "line", "source": "map", "source-layer": "highway", "minzoom": 8, "paint": {"line-width": ["match", ["get", "class"], "motorway", 4, 1.5], "line-color": ["case", ["==", ["get", "class"], "footway"], "green", "blue"]}},
+        {"id": "off", "type": "line", "source": "map", "source-layer": "highway", "layout": {"visibility": "none"}},
+        {"id": "land", "type": "fill", "source": "map", "source-layer": "landuse", "filter": ["!=", "class", "quarry"], "paint": {"fill-color": "rgb(10, 20, 30)"}},
+    ],
+}
+
+
+@query(_with(S.ELEMENTS_SQL, _CLASSES, "f AS (SELECT osm_type, id, layer, v, id % 16 AS zoom FROM rows_ JOIN elements USING (osm_type, id))") + """
+SELECT osm_type, id, 'far' AS layer_id, '1' AS width, 'rgba(255,0,0,0.5)' AS color FROM f WHERE layer = 'highway' AND zoom < 8 AND v IN ('motorway', 'primary')
+UNION ALL SELECT osm_type, id, 'near', CASE v WHEN 'motorway' THEN '4' ELSE '1.5' END, CASE v WHEN 'footway' THEN '#008000' ELSE '#0000ff' END FROM f WHERE layer = 'highway' AND zoom >= 8
+UNION ALL SELECT osm_type, id, 'land', NULL, '#0a141e' FROM f WHERE layer = 'landuse' AND v <> 'quarry'""")
+def style_layers(spark, d):
+    """A style document applied to all classified elements at zooms by id."""
+    f = C.classified(S.elements(spark, d)).select("osm_type", "id", "layer", F.create_map(F.lit("class"), F.col("class_value")).alias("attrs"))
+    shown = styledoc.drawn(f, styledoc.parse(_STYLE), F.col("id") % 16)
+    paint = lambda *names: F.coalesce(*[F.col("paint")[n] for n in names])
+    return shown.select("osm_type", "id", "layer_id", paint("line-width").alias("width"), paint("line-color", "fill-color").alias("color"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layer_counts(spark, sf_dir)
 
