@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_mixing": mixing.OP4_SQL, "op6_bit_sliced_topk": topk.OP6_SQL}
+    return {"op3_hyperminhash_neardup": neardup.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op5_substring_dedup": substring.OP5_SQL, "op6_bit_sliced_topk": topk.OP6_SQL, "op9_warc": warc.OP9_SQL}

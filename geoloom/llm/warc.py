@@ -222,3 +222,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = with_revisits(read(spark, sf_dir, "pages"))
     files = write_archives(spark, records, shared_dir(spark))
     return read_archives(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+h AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS s, first FROM p JOIN f USING (html))
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM h
+"""
