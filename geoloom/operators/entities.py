@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.style import number_text
 from ..functions.tagfilter import first_value, last_non_empty
-from ..sources.tables import scratch
+from ..sources.tables import written
 from . import areas as A
 from . import features as B
 from . import geometry as G
@@ -66,7 +66,7 @@ def located_elements(elements: DataFrame, keep: Column | None = None, stored_pla
     ways, relations = wanted.where("osm_type = 2"), wanted.where("osm_type = 3")
     refs = relations.select(F.explode("members").alias("m")).where("m.osm_type = 2").select(F.col("m.ref").alias("id"))
     needed = elements.where("osm_type = 2").join(ways.select("id").union(refs).distinct(), "id", "left_semi")
-    lines = B.way_lines_stored(needed) if stored_places else B.way_lines(needed.select("id", "refs"), nodes)
+    lines = written(B.way_lines_stored(needed) if stored_places else B.way_lines(needed.select("id", "refs"), nodes))
     ends = F.get("refs", F.lit(0)) == F.element_at("refs", -1)
     joined = ways.select("osm_type", "id", "tags", "refs").join(lines.withColumnRenamed("way_id", "id").drop("closed"), "id")
     ring = F.coalesce((F.col("missing") == 0) & ends & (F.size("points") >= 4), F.lit(False))
@@ -243,7 +243,6 @@ def _by_rounds(rows: DataFrame, radius: float) -> DataFrame:
     comes before those of all cells around keeps it, and rows that a kept one is near to go. No step pairs rows with
     others than the kept ones around them. Rounds grow with the longest chain of cells that wait for each other.
     """
-    spark = rows.sparkSession
     chord = 2 * math.sin(min(math.pi, radius / EARTH_RADIUS) / 2)
     side = chord / math.sqrt(3) * (1 - 1e-9)
     lon, lat = F.radians(F.col("lon7") / 1e7), F.radians(F.col("lat7") / 1e7)
@@ -251,11 +250,6 @@ def _by_rounds(rows: DataFrame, radius: float) -> DataFrame:
     rank = F.struct((-F.col("r0")).alias("a"), (-F.col("r1")).alias("b"), (-F.col("r2")).alias("c"), F.col("osm_type").alias("d"), F.col("osm_id").alias("e"), F.col("_u").alias("f"))
     cell = ["folded", "cx", "cy", "cz"]
 
-    def written(df: DataFrame) -> DataFrame:
-        path = scratch(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     def around(df: DataFrame) -> DataFrame:
         near = F.sequence(F.lit(-2), F.lit(2))
         for c in cell[1:]:
@@ -299,9 +293,7 @@ def deduplicated(found: DataFrame, radius: float = 100.0, part_rows: int = PART_
     rows = found.withColumn("r", r).select("osm_type", "osm_id", "name", "lon7", "lat7", T.normalize_name("name").alias("folded"), F.col("r.contact_fields").alias("r0"), F.col("r.completeness").alias("r1"), F.col("r.tag_count").alias("r2"))
     if not math.isfinite(radius) or radius <= 0:
         return rows.select("osm_type", "osm_id", "name", F.lit(True).alias("kept"))
-    spark, path = found.sparkSession, scratch(found.sparkSession)
-    rows.write.parquet(path)  # names are folded in Python once
-    rows = spark.read.schema(rows.schema).parquet(path)
+    rows = written(rows)  # names are folded in Python once
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return group[["osm_type", "osm_id", "name"]].assign(kept=greedy_keep(group, radius))

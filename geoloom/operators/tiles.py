@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import mercator as M
-from ..sources.tables import scratch
+from ..sources.tables import written
 
 # Layers in the order of their numbers, the first part of a feature's sort key.
 SORT_LAYERS = (
@@ -85,13 +85,6 @@ def nearest(asked: DataFrame, places: DataFrame, most: float | None = None) -> D
     one found is nearer than a cell's side, as nothing outside of them can be nearer then. So dense places are searched
     in small cells, and only the clicks that are left meet larger ones.
     """
-    spark = places.sparkSession
-
-    def written(df: DataFrame) -> DataFrame:
-        path = scratch(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     left = written(asked.select(F.col("id").alias("q"), F.col("lon7").alias("qx"), F.col("lat7").alias("qy")))
     n = places.count()
     side = max(1, int(math.sqrt(3.6e9 * 1.8e9 / max(1, n)) / 8))

@@ -548,7 +548,7 @@ def map_inspect(spark, d):
 )
 def map_features(spark, d):
     """Features of nodes and ways of a whole map file with the class that tiles show; relations are in map_inspect and area_assembly."""
-    f = FE.build(PBF.read(spark, _map_folder(spark, d))).features.where("osm_type < 3")
+    f = FE.build(S.written(PBF.read(spark, _map_folder(spark, d)))).features.where("osm_type < 3")
     shown = FE.attributes(F.col("tags"), F.col("layer"), F.col("class"))
     return f.select("osm_type", "id", "layer", "class", "kind", F.size(F.flatten(F.flatten("shape"))).alias("n_points"), shown[0]["v"].alias("class_value"))
 
@@ -556,13 +556,13 @@ def map_features(spark, d):
 @query()
 def map_tiles(spark, d):
     """Tiles of a whole map file, by zoom: features, tiles, bytes and what did not fit."""
-    return jobs.generate_tiles(spark, _map_folder(spark, d), S.scratch(spark), "0-10").summary
+    return jobs.generate_tiles(spark, _map_folder(spark, d), S.scratch(spark), "0-4").summary
 
 
 @query(_with(_LOCATED) + "SELECT 1 AS osm_type, id AS osm_id, true AS located, lon7 AS lon7 FROM nodes UNION ALL SELECT 2, o_orderkey, coalesce(n_refs - missing > 0, false), CASE WHEN n_refs - missing = 1 THEN (SELECT max(n.lon7) FROM refs r JOIN nodes n ON n.id = r.node_id WHERE r.way_id = o_orderkey) END FROM orders LEFT JOIN located ON way_id = o_orderkey")
 def map_entities(spark, d):
     """Named elements of a whole map file and whether they have a place; the place itself of nodes and of ways that only one node is there of."""
-    elements = PBF.read(spark, _map_folder(spark, d))
+    elements = S.written(PBF.read(spark, _map_folder(spark, d)))
     found = E.with_fields(E.located_elements(elements))
     known = FE.way_lines(elements.where("osm_type = 2").select("id", "refs"), FE.nodes_of(elements)).select(F.lit(2).alias("osm_type"), F.col("way_id").alias("osm_id"), F.size("points").alias("n"))
     lone = F.coalesce(F.col("n"), F.lit(1)) == 1

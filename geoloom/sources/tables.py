@@ -22,6 +22,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{(base or 'file://' + tempfile.mkdtemp(prefix='geoloom-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back, so that what made it isn't done again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tag(k: str, v: Column | str) -> Column:
     return F.struct(F.lit(k).alias("k"), (F.lit(v) if isinstance(v, str) else v).alias("v"))
 
