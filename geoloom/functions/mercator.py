@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 MAX_LATITUDE = 85.05112877980659
 EARTH_RADIUS = 6378137.0
+MAX_ZOOM = 22
 
 
 def unit_x(lon: Column) -> Column:
@@ -32,6 +33,12 @@ def meters(lon: Column, lat: Column) -> tuple[Column, Column]:
     return (unit_x(lon) - 0.5) * (2 * math.pi * EARTH_RADIUS), (F.lit(0.5) - unit_y(lat)) * (2 * math.pi * EARTH_RADIUS)
 
 
+def from_meters(x: Column, y: Column) -> tuple[Column, Column]:
+    """Degrees of Web Mercator meters."""
+    around = 2 * math.pi * EARTH_RADIUS
+    return unit_x_to_lon(x / around + 0.5), unit_y_to_lat(F.lit(0.5) - y / around)
+
+
 def cell(unit: Column, z: Column | int) -> Column:
     """Column or row of a unit coordinate at zoom z, clamped to the grid; NaN is 0."""
     n = F.pow(F.lit(2.0), z if isinstance(z, Column) else F.lit(float(z)))
@@ -66,6 +73,55 @@ def parent(v: Column) -> Column:
     return F.floor(v / 2)
 
 
-def fixed(degrees: Column) -> Column:
-    """Degrees as 1e-7 integers, half away from zero."""
-    return F.round(degrees * 1e7).cast("int")
+def children(z: Column, x: Column, y: Column) -> Column:
+    """The four tiles below a tile, array<struct<z, x, y>>, row by row; null below the last zoom."""
+    below = [F.struct((z + 1).alias("z"), (x * 2 + dx).alias("x"), (y * 2 + dy).alias("y")) for dy in (0, 1) for dx in (0, 1)]
+    return F.when(z < MAX_ZOOM, F.array(*below))
+
+
+def on_grid(z: Column, x: Column, y: Column) -> Column:
+    """Whether a tile is one."""
+    n = F.pow(F.lit(2.0), z)
+    return F.coalesce((z >= 0) & (z <= MAX_ZOOM) & (x >= 0) & (x < n) & (y >= 0) & (y < n), F.lit(False))
+
+
+def range_size(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Tiles in an inclusive range; one that is turned over is empty."""
+    side = lambda a, b: F.greatest(b.cast("long") - a.cast("long") + 1, F.lit(0))
+    return side(x0, x1) * side(y0, y1)
+
+
+def in_range(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    return x.between(x0, x1) & y.between(y0, y1)
+
+
+def fixed(degrees: Column, limit: float | None = None) -> Column:
+    """Degrees as 1e-7 integers, half away from zero; null for what isn't finite or is past +-limit."""
+    good = degrees.isNotNull() & ~F.isnan(degrees) & (F.abs(degrees) <= (214.7483647 if limit is None else limit))
+    return F.when(good, F.round(degrees * 1e7).cast("int"))
+
+
+BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
+
+
+def box(prefix: str = "") -> list[Column]:
+    return [F.col(prefix + n) for n in BOX]
+
+
+def box_valid(w: Column, s: Column, e: Column, n: Column) -> Column:
+    """Whether a box isn't turned over; an empty one is."""
+    return F.coalesce((w <= e) & (s <= n), F.lit(False))
+
+
+def box_center(w: Column, s: Column, e: Column, n: Column) -> Column:
+    return F.struct(((w + e) / 2).alias("lon"), ((s + n) / 2).alias("lat"))
+
+
+def boxes_meet(a: list[Column], b: list[Column]) -> Column:
+    """Whether two boxes have a point in common; sides count."""
+    return (a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1])
+
+
+def box_around(a: list[Column], b: list[Column]) -> list[Column]:
+    """The smallest box around two; a null one adds nothing."""
+    return [F.least(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[2], b[2]), F.greatest(a[3], b[3])]

@@ -64,8 +64,20 @@ def osm_name(osm_type: Column, id_: Column) -> Column:
     return F.concat(F.when(osm_type == 1, "node").when(osm_type == 2, "way").otherwise("relation"), F.lit("/"), id_)
 
 
-def zigzag(n: Column) -> Column:
-    return F.shiftleft(n, 1).bitwiseXOR(F.shiftright(n, 31))
+def osm_short(osm_type: Column, id_: Column) -> Column:
+    """n1, w1 or r1."""
+    return F.concat(F.when(osm_type == 1, "n").when(osm_type == 2, "w").otherwise("r"), id_.cast("string"))
+
+
+def next_diff_url(base: Column, seq: Column) -> Column:
+    """Where the diff after a sequence is published."""
+    return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), sequence_path(seq + 1), F.lit(".osc.gz"))
+
+
+def tag_pairs(line: Column) -> Column:
+    """array<struct<k, v>> of a tag line: cut at "; ", then at the first "="; a piece without one is left out."""
+    pieces = F.filter(F.split(line, "; "), lambda p: p.contains("="))
+    return F.transform(pieces, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_replace(p, "^[^=]*=", "").alias("v")))
 
 
 def fold_name(name: str) -> str:

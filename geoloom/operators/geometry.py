@@ -89,6 +89,24 @@ def clip_ring(points: np.ndarray, low: tuple, high: tuple) -> np.ndarray:
     return np.vstack([ring, ring[:1]])
 
 
+def points_in(shape: Column) -> Column:
+    """Points of a shape (polygons of rings); null counts as none."""
+    return F.coalesce(F.aggregate(F.flatten(shape), F.lit(0), lambda n, r: n + F.size(r)), F.lit(0))
+
+
+def shape_box(shape: Column) -> Column:
+    """struct<min_lon7, min_lat7, max_lon7, max_lat7> of a shape; null where it has no points."""
+    p = F.flatten(F.flatten(shape))
+    ends = [f(F.transform(p, lambda q: q[c])).alias(f"{n}_{c}") for f, n in ((F.array_min, "min"), (F.array_max, "max")) for c in ("lon7", "lat7")]  # noqa: B023
+    return F.when(points_in(shape) > 0, F.struct(*ends))
+
+
+def shape_name(kind: Column, shape: Column) -> Column:
+    """GeoJSON's name of a shape: of several parts (or points, or lines) it is a Multi one."""
+    many = F.when(kind == 3, F.size(shape) > 1).when(kind == 2, F.size(F.flatten(shape)) > 1).otherwise(points_in(shape) > 1)
+    return F.concat(F.when(many, "Multi").otherwise(""), F.when(kind == 1, "Point").when(kind == 2, "LineString").otherwise("Polygon"))
+
+
 def interior_point(*rings: np.ndarray) -> tuple[float, float]:
     """A point inside a polygon (outer ring, holes): the middle of the widest span on scan lines at some heights."""
     ring = rings[0]

@@ -671,6 +671,54 @@ def style_layers(spark, d):
     return shown.select("osm_type", "id", "layer_id", paint("line-width").alias("width"), paint("line-color", "fill-color").alias("color"))
 
 
+@query(_with(S.NODES_SQL, f"t AS (SELECT id, {_TILE.format(z=9)} FROM nodes)") + "SELECT id, 10 AS z, x * 2 + dx AS x, y * 2 + dy AS y FROM t, range(2) a(dx), range(2) b(dy)")
+def tile_children(spark, d):
+    t = S.nodes(spark, d).select("id", M.cell(M.unit_x(F.col("lon7") / 1e7), 9).alias("x"), M.cell(M.unit_y(F.col("lat7") / 1e7), 9).alias("y"))
+    return t.select("id", F.inline(M.children(F.lit(9), F.col("x"), F.col("y"))))
+
+
+@query(_with(S.NODES_SQL) + "SELECT id, lon7, lat7, lon7 / 1000 * 1.0::DOUBLE AS thousandth FROM nodes")
+def meters_round_trip(spark, d):
+    """Places as Web Mercator meters and back, on the 1e-7 grid."""
+    n = S.nodes(spark, d)
+    lon, lat = M.from_meters(*M.meters(F.col("lon7") / 1e7, F.col("lat7") / 1e7))
+    return n.select("id", M.fixed(lon).cast("long").alias("lon7"), M.fixed(lat).cast("long").alias("lat7"), (F.col("lon7") / 1000).alias("thousandth"))
+
+
+@query(_with(S.NODES_SQL, "b AS (SELECT id, lon7 AS w, lat7 AS s, lon7 + (id % 9 - 1) * 10000000 AS e, lat7 + 20000000 AS n FROM nodes)")
+       + "SELECT a.id, a.w <= a.e AND a.s <= a.n AS valid, (a.w + a.e) / 2.0::DOUBLE AS center, a.w <= o.e AND a.e >= o.w AND a.s <= o.n AND a.n >= o.s AS meets, least(a.w, o.w) AS west, greatest(a.n, o.n) AS north FROM b a JOIN b o ON o.id = a.id + 1")
+def box_functions(spark, d):
+    x, y = F.col("lon7"), F.col("lat7")
+    b = S.nodes(spark, d).select("id", x.alias("min_lon"), y.alias("min_lat"), (x + (F.col("id") % 9 - 1) * 10000000).alias("max_lon"), (y + 20000000).alias("max_lat"))
+    o = b.select((F.col("id") - 1).alias("id"), *[F.col(n).alias(f"o_{n}") for n in M.BOX])
+    around = M.box_around(M.box(), M.box("o_"))
+    return b.join(o, "id").select("id", M.box_valid(*M.box()).alias("valid"), M.box_center(*M.box())["lon"].alias("center"), M.boxes_meet(M.box(), M.box("o_")).alias("meets"), around[0].alias("west"), around[3].alias("north"))
+
+
+@query("SELECT event_id AS seq, 'https://a.example/day/' || printf('%03d/%03d/%03d', (event_id * 7919 + 1) // 1000000, (event_id * 7919 + 1) // 1000 % 1000, (event_id * 7919 + 1) % 1000) || '.osc.gz' AS url, CASE event_id % 3 WHEN 0 THEN 'r' WHEN 1 THEN 'n' ELSE 'w' END || event_id AS short FROM events")
+def next_diffs(spark, d):
+    seq = F.col("event_id")
+    short = T.osm_short(F.when(seq % 3 == 0, 3).otherwise(seq % 3), seq)
+    return S.read(spark, d, "events").select(seq.alias("seq"), T.next_diff_url(F.lit("https://a.example/day/"), seq * 7919).alias("url"), short.alias("short"))
+
+
+@query(_with(S.NODES_SQL, S.ELEMENTS_SQL, _SPICED) + "SELECT id AS osm_id, string_agg(split_part(p, '=', 1) || '>' || substr(p, strpos(p, '=') + 1), '|' ORDER BY i) AS pairs FROM (SELECT id, unnest(string_split(tags, '; ')) AS p, unnest(range(len(string_split(tags, '; ')))) AS i FROM spiced) WHERE p LIKE '%=%' GROUP BY id")
+def tag_line_pairs(spark, d):
+    e = E.entities(_spiced(spark, d)).select("osm_id", T.tag_pairs(F.col("tag_line")).alias("p"))
+    return e.select("osm_id", F.array_join(F.transform("p", lambda t: F.concat(t["k"], F.lit(">"), t["v"])), "|").alias("pairs"))
+
+
+@query(_with(S.NODES_SQL) + "SELECT id, CASE id % 3 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' ELSE 'MultiPolygon' END AS name, CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 10 END AS n_points, lon7 AS west, lon7 + CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 10 ELSE 30 END AS east FROM nodes")
+def shape_facts(spark, d):
+    at = lambda dx, dy: F.struct((F.col("lon7") + dx).alias("lon7"), (F.col("lat7") + dy).alias("lat7"))
+    ring = lambda x: F.array(at(x, 0), at(x + 10, 0), at(x + 10, 10), at(x, 10), at(x, 0))
+    kind = F.col("id") % 3 + 1
+    shape = F.when(kind == 1, F.array(F.array(F.array(at(0, 0))))).when(kind == 2, F.array(F.array(F.array(at(0, 0), at(10, 5))))).otherwise(F.array(F.array(ring(0)), F.array(ring(20))))
+    n = S.nodes(spark, d).select("id", kind.alias("kind"), shape.alias("shape"))
+    box = G.shape_box(F.col("shape"))
+    return n.select("id", G.shape_name(F.col("kind"), F.col("shape")).alias("name"), G.points_in(F.col("shape")).alias("n_points"), box["min_lon7"].alias("west"), box["max_lon7"].alias("east"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layer_counts(spark, sf_dir)
 
