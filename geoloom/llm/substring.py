@@ -279,15 +279,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-OP5_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-v AS (SELECT u, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
-h AS (SELECT u, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM v),
+_AHEAD = ", ".join(f"lead(word, {k}) OVER o" for k in range(1, WINDOW))
+OP5_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT u, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, len(w) AS n FROM d),
+h AS (SELECT u, i, md5(concat_ws(' ', word, {_AHEAD})) AS h FROM v WINDOW o AS (PARTITION BY u ORDER BY i) QUALIFY i <= n - 34),
 t AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
 g AS (SELECT DISTINCT u, unnest(range(i, i + 35)) AS i FROM h SEMI JOIN t USING (h)),
 x AS (SELECT u, count(*) AS n FROM g GROUP BY u),
-y AS (SELECT u, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d WHERE u IN (SELECT u FROM x)),
-z AS (SELECT u, string_agg(word, ' ' ORDER BY i) AS left_ FROM y ANTI JOIN g USING (u, i) GROUP BY u)
+z AS (SELECT u, string_agg(word, ' ' ORDER BY i) AS left_ FROM v SEMI JOIN x USING (u) ANTI JOIN g USING (u, i) GROUP BY u)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(x.n, 0)::BIGINT AS n_removed, sha256(CASE WHEN x.n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(left_, '') END) AS kept_sha256
 FROM d LEFT JOIN x USING (u) LEFT JOIN z USING (u)
 """
