@@ -39,10 +39,17 @@ IMPORTANCE_BONUS = {"place": 3, "highway": 2, "railway": 2, "water": 2, "boundar
 
 _LAYER_OF = {key: layer for layer, key, *_ in LAYERS} | {"water": "water"}
 _RANK_OF = {layer: i for i, (layer, *_) in enumerate(LAYERS)}
+_VALUES_OF = {key: values for _, key, values, *_ in LAYERS} | {"water": WATER_VALUES}
 #: Keys that say something about an element's classes, or whether it is an area.
 CLASS_KEYS = tuple(_LAYER_OF)
 
 
+def _fixed_map(rows: dict) -> Column:
+    """A literal map: one lookup in generated code where a chain of cases would be copied into each of its uses."""
+    value = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, tuple) else F.lit(v)
+    return F.create_map(*[c for k, v in rows.items() for c in (F.lit(k), value(v))])
+
+
 def layer_set(names: str) -> set[str]:
     """Layers of a comma-separated list; an unknown name is an error."""
     out = {n.strip() for n in names.split(",") if n.strip()}
@@ -75,15 +82,10 @@ def classified(elements: DataFrame, layers: set[str] | None = None, keep: tuple[
     key, value = F.col("class_key"), F.col("class_value")
     rows = rows.select("osm_type", "id", *keep, F.col("t.k").alias("class_key"), F.col("t.v").alias("class_value"))
     lake = (key == "natural") & (value == "water")
-    name = layer = rank = None
-    for k, own in _LAYER_OF.items():
-        known = WATER_VALUES if k == "water" else next(x[2] for x in LAYERS if x[1] == k)
-        here = F.when(value.isin(*known), value).otherwise("other")
-        if k == "landuse":
-            here = F.when(value.isin(*FARMLAND_ALIASES), "farmland").otherwise(here)
-        name = F.when(lake, "lake").when(key == k, here) if name is None else name.when(key == k, here)
-        layer = F.when(lake, "water").when(key == k, own) if layer is None else layer.when(key == k, own)
-        rank = F.when(lake, _RANK_OF["water"]).when(key == k, _RANK_OF[own]) if rank is None else rank.when(key == k, _RANK_OF[own])
+    layer = F.when(lake, "water").otherwise(F.element_at(_fixed_map(_LAYER_OF), key))
+    rank = F.element_at(_fixed_map(_RANK_OF), layer)
+    name = F.when(lake, "lake").when((key == "landuse") & value.isin(*FARMLAND_ALIASES), "farmland")
+    name = name.when(F.array_contains(F.element_at(_fixed_map(_VALUES_OF), key), value), value).otherwise("other")
     if layers is not None:  # by key first, so that it goes to the scan
         keys = [k for k, own in _LAYER_OF.items() if own in layers] + (["natural"] if "water" in layers else [])
         rows = rows.where(key.isin(*keys))
@@ -97,20 +99,13 @@ def classified(elements: DataFrame, layers: set[str] | None = None, keep: tuple[
 
 def min_zoom(layer: Column, name: Column) -> Column:
     """The smallest zoom at which a class is drawn."""
-    out = None
-    for key, _, _, zooms, default in LAYERS:
-        inner = F.lit(default)
-        for z in sorted(set(zooms.values())):
-            inner = F.when(name.isin([v for v, at in zooms.items() if at == z]), z).otherwise(inner)
-        out = F.when(layer == key, inner) if out is None else out.when(layer == key, inner)
-    return out
+    own = {f"{layer}/{value}": zoom for layer, _, _, zooms, _ in LAYERS for value, zoom in zooms.items()}
+    usual = {layer: default for layer, _, _, _, default in LAYERS}
+    return F.coalesce(F.element_at(_fixed_map(own), F.concat(layer, F.lit("/"), name)), F.element_at(_fixed_map(usual), layer))
 
 
 def importance(layer: Column, zoom: Column) -> Column:
-    bonus = F.lit(0)
-    for key, b in IMPORTANCE_BONUS.items():
-        bonus = F.when(layer == key, b).otherwise(bonus)
-    return (F.lit(32) - zoom) * 4 + bonus
+    return (F.lit(32) - zoom) * 4 + F.coalesce(F.element_at(_fixed_map(IMPORTANCE_BONUS), layer), F.lit(0))
 
 
 def closed_way_is_area(key: Column, value: Column, area: Column) -> Column:
