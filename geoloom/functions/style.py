@@ -118,16 +118,19 @@ def _same(a: Value, b: Value) -> Column:
 
 def number_text(n: Column) -> Column:
     """A number in its shortest digits without exponent; whole numbers without a point."""
-    text = F.abs(n).cast("string")
-    mantissa, power = F.split(text, "E")[0], F.coalesce(F.try_element_at(F.split(text, "E"), F.lit(2)).cast("int"), F.lit(0))
-    whole, rest = F.split(mantissa, r"\.")[0], F.regexp_replace(F.coalesce(F.try_element_at(F.split(mantissa, r"\."), F.lit(2)), F.lit("")), "0+$", "")
-    pad = F.greatest(power - F.length(rest), F.lit(0))
-    above = F.concat(whole, F.substring(rest, F.lit(1), power), F.repeat(F.lit("0"), pad))
-    tail = F.substring(rest, power + 1, F.length(rest))
-    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), whole, rest)
-    digits = F.when(power < 0, below).otherwise(F.when(tail == "", above).otherwise(F.concat(above, F.lit("."), tail)))
-    sign = F.when((n < 0) | (n.cast("string") == "-0.0"), "-").otherwise("")
-    return F.when(F.isnan(n), "NaN").when(F.abs(n) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, digits))
+    text = n.cast("string")
+    plain = F.regexp_replace(F.replace(text, F.lit("Infinity"), F.lit("inf")), r"(?:(\.[0-9]*[1-9])|\.)0*$", "$1")
+    power = F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int")
+    digits = F.regexp_replace(text, r"^-|E.*$|\.0(?=E)|\.", "")
+    above = F.regexp_replace(F.concat(F.rpad(digits, power + 1, "0"), F.lit("."), F.substring(digits, power + 2, F.length(digits))), r"\.$", "")
+    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    moved = F.concat(F.regexp_extract(text, "^-", 0), F.when(power < 0, below).otherwise(above))
+    return F.when(text.contains("E"), moved).otherwise(plain)
+
+
+def bound(value: Column, form) -> Column:
+    """`form` of a value that is computed once, however often `form` names it."""
+    return F.get(F.transform(F.array(value), form), F.lit(0))
 
 
 def _quoted(s: str) -> str:

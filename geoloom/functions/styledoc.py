@@ -85,6 +85,10 @@ class Layer:
             out = F.when(how == "uppercase", F.upper(out)).when(how == "lowercase", F.lower(out)).otherwise(out)
         return out
 
+    def varies(self, name: str) -> bool:
+        """Whether a property's value is computed; if not, the optimizer folds it into a literal."""
+        return any(S.is_expression(self.properties.get(n)) for n in (name, _OPACITY_OF.get(name), "text-transform"))
+
     def depends_on_feature(self) -> bool:
         return any(S.is_expression(e) and S.depends_on_feature(e) for e in self.properties.values())
 
@@ -249,7 +253,9 @@ def drawn(features: DataFrame, style: Style, zoom: Column) -> DataFrame:
         paint = []
         for name, (_, kind, _, _) in PROPERTIES[x.type].items():
             if name not in _OPACITY_OF.values():
-                paint += [F.lit(name), S._text_of(S.Value({kind: x.resolved(name, attrs, zoom)}, F.lit(False)))]
+                text = lambda v: S._text_of(S.Value({kind: v}, F.lit(False)))  # noqa: E731, B023
+                value = x.resolved(name, attrs, zoom)
+                paint += [F.lit(name), S.bound(value, text) if x.varies(name) else text(value)]
         row = F.struct(F.lit(x.id).alias("layer_id"), F.lit(rank).alias("layer_rank"), F.lit(x.type).alias("layer_type"), F.create_map(*paint).alias("paint"))
         rows.append(F.when((F.col("layer") == x.source_layer) & x.active(zoom) & S.filter_column(x.filter, attrs, zoom), row))
     if not rows:
