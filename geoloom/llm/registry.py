@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gbt, html_extract, mixing, neardup, packing, rules, sharding, substring, topk, warc
+from . import gbt, html_extract, langid, mixing, neardup, packing, rules, sharding, substring, topk, variants, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,17 @@ def queries() -> dict:
         "op8_quality_classifier": gbt.op8_quality_classifier,
         "op9_warc": warc.op9_warc,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_language_id": langid.op11_language_id,
+        "op12_spelling_variants": variants.op12_spelling_variants,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_hyperminhash_neardup": neardup.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op5_substring_dedup": substring.OP5_SQL, "op6_bit_sliced_topk": topk.OP6_SQL, "op9_warc": warc.OP9_SQL}
+    return {
+        "op3_hyperminhash_neardup": neardup.OP3_SQL,
+        "op4_mixing": mixing.OP4_SQL,
+        "op5_substring_dedup": substring.OP5_SQL,
+        "op6_bit_sliced_topk": topk.OP6_SQL,
+        "op9_warc": warc.OP9_SQL,
+        "op12_spelling_variants": variants.OP12_SQL,
+    }
