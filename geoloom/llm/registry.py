@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gbt, html_extract, langid, mixing, neardup, packing, rules, sharding, substring, topk, variants, warc
+from . import collocations, gbt, html_extract, langid, mixing, neardup, packing, rules, sharding, substring, topk, variants, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_best_fit_packing": packing.op10_best_fit_packing,
         "op11_language_id": langid.op11_language_id,
         "op12_spelling_variants": variants.op12_spelling_variants,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict:
         "op6_bit_sliced_topk": topk.OP6_SQL,
         "op9_warc": warc.OP9_SQL,
         "op12_spelling_variants": variants.OP12_SQL,
+        "op13_collocations": collocations.OP13_SQL,
     }
