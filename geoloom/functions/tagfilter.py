@@ -1,11 +1,12 @@
 """Tag filters: a small text language compiled to a Column over tags array<struct<k, v>>.
 
 Terms separated by white space are OR-ed: `k=v`, `k=*` or `k` (key exists), `k!=v`, `!k`, `k!=*`. Keys and values may be
-quoted; a quoted "*" is the literal. A negated term is true where the key is absent.
+quoted; a quoted "*" is the literal. A bare key ends at `=` or `!`, a bare value only at white space. A negated term is true where the key is absent.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -50,50 +51,53 @@ class TagFilter:
         return TagFilter("not", parts=(self,))
 
 
-def _word(text: str, at: int) -> tuple[str, bool, int]:
-    """(word, whether it was quoted, where it ends)."""
-    if at < len(text) and text[at] == '"':
-        out, i = [], at + 1
-        while i < len(text) and text[i] != '"':
-            i += text[i] == "\\" and i + 1 < len(text) and text[i + 1] in '"\\'
-            out.append(text[i])
-            i += 1
-        if i >= len(text):
-            raise FilterError(len(text[:at].encode()), "the quote isn't closed")
-        return "".join(out), True, i + 1
-    i = at
-    while i < len(text) and not text[i].isspace() and text[i] not in '="' and text[i : i + 2] != "!=":
-        i += 1
-    return text[at:i], False, i
+def _where(text: str, at: int) -> int:
+    return len(text[:at].encode())
+
+
+def _word(text: str, at: int, stops: str = "") -> tuple[str, bool, int]:
+    """(word, whether it was quoted, where it ends); a bare word ends at white space and at one of `stops`. In quotes only a quote can be escaped."""
+    if text[at : at + 1] == '"':
+        quoted = re.compile(r'"((?:\\"|[^"])*)"').match(text, at)
+        if not quoted:
+            raise FilterError(_where(text, at), "the quote isn't closed")
+        return quoted[1].replace('\\"', '"'), True, quoted.end()
+    end = next((i for i in range(at, len(text)) if text[i].isspace() or text[i] in stops), len(text))
+    if '"' in text[at:end]:
+        raise FilterError(_where(text, text.index('"', at)), "a quote inside a bare word")
+    return text[at:end], False, end
+
+
+def _term(text: str, at: int) -> tuple[TagFilter, int]:
+    """The term that starts at `at`, and where it ends."""
+    negated = text[at] == "!"
+    key, _, end = _word(text, at + negated, "=!")
+    if not key:
+        raise FilterError(_where(text, at), "a key is missing")
+    exists, relation = TagFilter("exists", key), next((r for r in ("!=", "=", "!") if text.startswith(r, end)), "")
+    if relation and negated:
+        raise FilterError(_where(text, end), "a negated key takes no value")
+    if relation == "!":
+        raise FilterError(_where(text, end + 1), "= is missing after !")
+    if not relation:
+        return ~exists if negated else exists, end
+    value, quoted, last = _word(text, end + len(relation))
+    if not value and not quoted:
+        raise FilterError(_where(text, last), "a value is missing")
+    term = exists if value == "*" and not quoted else TagFilter("tag", key, value)
+    return ~term if relation == "!=" else term, last
 
 
 def parse(text: str) -> TagFilter:
     terms, at = [], 0
-    where = lambda i: len(text[:i].encode())
-    while True:
-        while at < len(text) and text[at].isspace():
+    while at < len(text):
+        if text[at].isspace():
             at += 1
-        if at >= len(text):
-            break
-        start, negated = at, text[at] == "!"
-        key, _, at = _word(text, at + negated)
-        if not key:
-            raise FilterError(where(start), "a key is missing")
-        exists = TagFilter("exists", key)
-        differs = text[at : at + 2] == "!="
-        if differs or text[at : at + 1] == "=":
-            if negated:
-                raise FilterError(where(at), "a negated key takes no value")
-            value, quoted, end = _word(text, at + 1 + differs)
-            if not value and not quoted:
-                raise FilterError(where(at), "a value is missing")
-            term = exists if value == "*" and not quoted else TagFilter("tag", key, value)
-            at, negated = end, differs
-        else:
-            term = exists
+            continue
+        term, at = _term(text, at)
         if at < len(text) and not text[at].isspace():
-            raise FilterError(where(at), "a space is missing")
-        terms.append(~term if negated else term)
+            raise FilterError(_where(text, at), "a space is missing")
+        terms.append(term)
     if not terms:
         raise FilterError(0, "the filter is empty")
     return terms[0] if len(terms) == 1 else TagFilter("any", parts=tuple(terms))

@@ -20,6 +20,7 @@ from ..operators import tiles as TI
 from ..operators import ways as W
 from ..sources import files as FI
 from ..sources import pbf as PBF
+from ..sources import pbf_source as PS
 from ..sources import pmtiles as PM
 from ..sources import tables as S
 
@@ -245,14 +246,24 @@ def normalized_names(spark, d):
     return S.read(spark, d, "documents").select("doc_id", T.normalize_name(F.concat("lang", F.lit("  "), "source", F.lit(" X"))).alias("folded"))
 
 
-@query(_with(S.CHANGES_SQL) + "SELECT id, arg_max(action, version * 10000000 + seq) AS action, max(version) AS version, arg_max(value, version * 10000000 + seq) AS value FROM changes WHERE version IS NOT NULL GROUP BY id")
+def _with_version(spark, d, version):
+    return S.changes(spark, d).withColumn("version", F.coalesce("version", version))
+
+
+def _latest_sql(version: str) -> str:
+    return _with(S.CHANGES_SQL, f"v AS (SELECT id, seq, action, value, coalesce(version, {version})::INT AS version FROM changes)") + "SELECT id, arg_max(action, version * 10000000 + seq) AS action, max(version) AS version, arg_max(value, version * 10000000 + seq) AS value FROM v GROUP BY id"
+
+
+@query(_latest_sql("0"))
 def change_latest(spark, d):
-    return CH.latest(S.changes(spark, d).where("version is not null")).select("id", "action", "version", "value")
+    """All changes, those without a version as version 0."""
+    return CH.latest(_with_version(spark, d, F.lit(0))).select("id", "action", "version", "value")
 
 
-@query(_with(S.CHANGES_SQL) + "SELECT id, arg_max(action, version * 10000000 + seq) AS action, max(version) AS version, arg_max(value, version * 10000000 + seq) AS value FROM changes WHERE version IS NOT NULL GROUP BY id")
+@query(_latest_sql("seq % 7"))
 def change_fold_versioned(spark, d):
-    return CH.folded(S.changes(spark, d).where("version is not null")).select("id", "action", "version", "value")
+    """The general fold where all changes have a version."""
+    return CH.folded(_with_version(spark, d, (F.col("seq") % 7).cast("int"))).select("id", "action", "version", "value")
 
 
 _FOLDED = """last_bare AS (SELECT id, max(seq) AS at FROM changes WHERE version IS NULL GROUP BY id),
@@ -266,20 +277,6 @@ def change_fold(spark, d):
     return CH.folded(S.changes(spark, d)).select("id", "action", "version", "value")
 
 
-_APPLY = _with(S.CHANGES_SQL, "state AS (SELECT id, arg_max(action, version * 10000000 + seq) AS action, arg_max(value, version * 10000000 + seq) AS new FROM changes WHERE version IS NOT NULL GROUP BY id)", "base AS (SELECT c_custkey AS id, c_custkey AS old FROM customer WHERE c_custkey % 2 = 0)",
-               "done AS (SELECT coalesce(base.id, state.id) AS id, CASE WHEN action IS NULL THEN old WHEN action <> 'delete' THEN new END AS value, CASE WHEN action IS NULL THEN 'unchanged' WHEN action = 'delete' THEN CASE WHEN base.id IS NULL THEN 'absent' ELSE 'deleted' END WHEN base.id IS NULL THEN 'created' ELSE 'modified' END AS outcome FROM base FULL OUTER JOIN state ON base.id = state.id)")
-
-
-def _applied(spark, d):
-    base = S.read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("value"))
-    return CH.applied(base, CH.latest(S.changes(spark, d).where("version is not null")))
-
-
-@query(_APPLY + "SELECT id, value, outcome FROM done")
-def apply_changes(spark, d):
-    return _applied(spark, d)
-
-
 _APPLY_ALL = _with(S.CHANGES_SQL, _FOLDED, """done AS (SELECT coalesce(c.id, s.id) AS id, CASE WHEN action IS NULL THEN c.id WHEN action <> 'delete' THEN value END AS value,
  CASE WHEN action IS NULL THEN 'unchanged' WHEN action = 'delete' THEN CASE WHEN c.id IS NULL THEN 'absent' ELSE 'deleted' END WHEN c.id IS NULL THEN 'created' ELSE 'modified' END AS outcome
  FROM (SELECT c_custkey AS id FROM customer) c FULL OUTER JOIN state s ON s.id = c.id)""")
@@ -296,24 +293,29 @@ def apply_changes_all(spark, d):
     return _applied_all(spark, d)
 
 
+@query(_APPLY_ALL + "SELECT id, value, outcome FROM done")
+def apply_changes(spark, d):
+    """The same under its older name."""
+    return _applied_all(spark, d)
+
+
 @query(_APPLY_ALL + "SELECT count(*) FILTER (WHERE outcome = 'created') AS created, count(*) FILTER (WHERE outcome = 'modified') AS modified, count(*) FILTER (WHERE outcome = 'deleted') AS deleted, count(*) FILTER (WHERE outcome = 'unchanged') AS unchanged FROM done")
 def apply_stats_all(spark, d):
     return CH.apply_stats(_applied_all(spark, d))
 
 
-@query(_APPLY + "SELECT count(*) FILTER (WHERE outcome = 'created') AS created, count(*) FILTER (WHERE outcome = 'modified') AS modified, count(*) FILTER (WHERE outcome = 'deleted') AS deleted, count(*) FILTER (WHERE outcome = 'unchanged') AS unchanged FROM done")
+@query(_SQL["apply_stats_all"])
 def apply_stats(spark, d):
-    return CH.apply_stats(_applied(spark, d))
+    return CH.apply_stats(_applied_all(spark, d))
 
 
 def _file_places(spark, elements):
     return CH.file_places(elements.select("osm_type", (F.col("id") - 500).alias("id")), S.scratch(spark))
 
 
-@query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, id - 500 AS id, row_number() OVER (ORDER BY osm_type, id - 500 >= 0, abs(id - 500)) AS place FROM elements WHERE id < 1000")
+@query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, id - 500 AS id, row_number() OVER (ORDER BY osm_type, id - 500 >= 0, abs(id - 500)) AS place FROM elements")
 def file_order(spark, d):
-    """The low ids only, as its SQL has it; file_order_all has all elements."""
-    return _file_places(spark, S.elements(spark, d).where("id < 1000"))
+    return _file_places(spark, S.elements(spark, d))
 
 
 @query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, id - 500 AS id, row_number() OVER (ORDER BY osm_type, id - 500 >= 0, abs(id - 500)) AS place FROM elements")
@@ -417,10 +419,9 @@ def simplified_ways(spark, d):
     return G.simplified(ways, 20.0)
 
 
-@query(_with(S.NODES_SQL) + "SELECT a.id, min_by(b.id, (abs(a.lon7 - b.lon7) + abs(a.lat7 - b.lat7)) * 1000000 + b.id) AS nearest FROM nodes a JOIN nodes b ON a.id % 100 = 0 AND b.id <> a.id GROUP BY a.id")
+@query(_with(S.NODES_SQL) + "SELECT a.id, min_by(b.id, (abs(a.lon7 - b.lon7) + abs(a.lat7 - b.lat7)) * 1000000 + b.id) AS nearest FROM nodes a JOIN nodes b ON a.id % 50 = 0 AND b.id <> a.id GROUP BY a.id")
 def nearest_poi(spark, d):
-    """Half of the stated clicks, as its SQL has it; nearest_poi_all has all of them."""
-    return _nearest(S.nodes(spark, d), "id % 100 = 0")
+    return _nearest(S.nodes(spark, d), "id % 50 = 0")
 
 
 @query(_with(S.NODES_SQL) + "SELECT a.id, min_by(b.id, (abs(a.lon7 - b.lon7) + abs(a.lat7 - b.lat7)) * 1000000 + b.id) AS nearest FROM nodes a JOIN nodes b ON a.id % 50 = 0 AND b.id <> a.id GROUP BY a.id")
@@ -447,6 +448,49 @@ def pbf_elements(spark, d):
     return PBF.read(spark, folder).select("osm_type", "id", "lon7", "lat7", F.get("tags", F.lit(0))["v"].alias("first_value"), F.array_join("refs", ",").alias("refs"), members.alias("members"))
 
 
+@query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, id FROM elements WHERE osm_type = 2 AND id >= 100")
+def pbf_pushed(spark, d):
+    """Ways from an id on, from a folder that the data source wrote; blobs of nodes, relations and lower ids stay closed."""
+    folder = S.scratch(spark)
+    PS.write_folder(S.map_elements(spark, d), folder, spark.sparkContext.defaultParallelism)
+    return PS.load(spark, folder, "osm_type int, id long").where("osm_type = 2 and id >= 100")
+
+
+@query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, min(id) AS first_id, max(id) AS last_id, count(*)::BIGINT AS elements, true AS indexed FROM elements GROUP BY osm_type")
+def pbf_blocks(spark, d):
+    """What the frames of a map file say of its blobs, by type."""
+    found = PBF.blocks(spark, _map_folder(spark, d)).groupBy("osm_type")
+    return found.agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("elements").alias("elements"), F.every("indexed").alias("indexed"))
+
+
+@query(_with(S.NODES_SQL, S.ELEMENTS_SQL) + "SELECT osm_type, count(*) AS elements, sum(id)::BIGINT AS ids, (SELECT min(lon7) FROM nodes)::BIGINT AS west, (SELECT max(lat7) FROM nodes)::BIGINT AS north FROM elements GROUP BY osm_type")
+def pbf_single_file(spark, d):
+    """All elements as one file that tasks wrote together, with the box of its nodes in the header."""
+    path = f"{S.scratch(spark)}.osm.pbf"
+    box = PBF.write_file(S.map_elements(spark, d), path, spark.sparkContext.defaultParallelism)["box"]
+    known = PBF.read_header(path)["box"]
+    if known != box:
+        raise ValueError(f"the header says {known}, the parts say {box}")
+    return PBF.read(spark, path).groupBy("osm_type").agg(F.count("*").alias("elements"), F.sum("id").alias("ids"), F.lit(box[0]).cast("long").alias("west"), F.lit(box[3]).cast("long").alias("north"))
+
+
+@query(
+    _with(S.REFS_SQL, S.NODES_SQL, "again AS (SELECT id, lon7, CASE WHEN id % 3 = 0 THEN lat7 + 7000 ELSE lat7 END AS lat7 FROM nodes)")
+    + "SELECT way_id, count(*) AS n_refs, count(id) AS n_points, coalesce(sum(lat7 // 1000), 0)::BIGINT AS lat_sum FROM refs LEFT JOIN again ON node_id = id GROUP BY way_id"
+)
+def repeated_nodes(spark, d):
+    """Ways of a map file in which every third node stands twice: the last place of each holds, and no point is doubled."""
+    elements = S.map_elements(spark, d)
+    version = lambda v: F.struct(F.lit(v).alias("version"), F.lit(0).cast("long").alias("timestamp"), F.lit(0).cast("long").alias("changeset"), F.lit(0).alias("uid"), F.lit("").alias("user"))
+    twice = elements.withColumn("meta", version(1)).unionByName(elements.where("osm_type = 1 and id % 3 = 0").withColumn("lat7", F.col("lat7") + 7000).withColumn("meta", version(2)))
+    folder = S.scratch(spark)
+    PBF.write(twice, folder, spark.sparkContext.defaultParallelism).write.format("noop").mode("overwrite").save()
+    read = S.written(PBF.read(spark, folder, position=True))
+    lines = FE.way_lines(read.where("osm_type = 2 and size(refs) > 0").select("id", "refs"), FE.nodes_of(read))
+    lat = F.aggregate("points", F.lit(0).cast("long"), lambda a, p: a + (p["lat7"] / 1000).cast("long"))
+    return lines.select("way_id", "n_refs", F.size("points").cast("long").alias("n_points"), lat.alias("lat_sum"))
+
+
 def _corners(x, y, w, h) -> list:
     return [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
 
