@@ -6,22 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fold(changes: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:
-    """keys, order, action, version and payload of the change that holds in the end.
+def fold(changes: DataFrame, keys: list[str], order: list[str], payload: list[str], bare: str | None = None) -> DataFrame:
+    """keys, order, action, version and payload of the change that holds in the end; `bare` names a column for the place of the last change without a version.
 
     In `order` a change replaces the stored one unless both versions are known and the new one is lower. So what was
     before an object's last change without a version does not count, and of what follows it (or that change itself, if
     nothing does) the highest version holds, of equal ones the last. Both are maxima, combined before the shuffle.
     """
     place, row = F.struct(*order), F.struct(*order, "action", "version", *payload)
-    bare = F.col("version").isNull()
-    lasts = changes.where(bare).groupBy(*keys).agg(F.max(place).alias("_from"), F.max_by(row, place).alias("_bare"))
-    versioned = changes.where(~bare).withColumn("_row", row).withColumn("_place", place)
+    unversioned = F.col("version").isNull()
+    lasts = changes.where(unversioned).groupBy(*keys).agg(F.max(place).alias("_from"), F.max_by(row, place).alias("_bare"))
+    versioned = changes.where(~unversioned).withColumn("_row", row).withColumn("_place", place)
     # the last change without a version is an object's only row here, so the join keeps the changes as they are
     after = versioned.join(lasts.select(*[F.col(k).alias(f"_{k}") for k in keys], "_from"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").where(F.col("_from").isNull() | (F.col("_place") > F.col("_from")))
     best = after.groupBy(*keys).agg(F.max_by("_row", F.struct("version", "_place")).alias("_best"))
     both = best.join(lasts.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "full_outer")
-    return both.select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys], F.coalesce("_best", "_bare").alias("s")).select(*keys, "s.*")
+    return both.select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys], F.coalesce("_best", "_bare").alias("s"), "_from").select(*keys, "s.*", *([F.col("_from").alias(bare)] if bare else []))
 
 
 def folded(changes: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from ..sources import pbf as PBF
 from ..sources import pbf_source as PS
 from ..sources import pmtiles as PM
 from ..sources import tables as S
+from ..streaming import snapshots as SN
 
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -309,6 +310,37 @@ def apply_stats(spark, d):
     return CH.apply_stats(_applied_all(spark, d))
 
 
+def _in_batches(spark, d, n: int = 6):
+    """(snapshot folder, what each batch did) of all customers as nodes, changed by all events in `n` batches."""
+    path, found = S.scratch(spark), S.changes(spark, d)
+    base = S.read(spark, d, "customer").select(F.lit(1).alias("osm_type"), F.col("c_custkey").alias("id"), F.col("c_custkey").cast("int").alias("lon7"), F.lit(0).alias("lat7"), *[F.lit(None).alias(c) for c in ("refs", "members", "tags")])
+    SN.start(base, path, bits=5)
+    edits = found.select("seq", F.lit(0).alias("ord"), "action", F.lit(1).alias("osm_type"), "id", F.col("version").cast("long").alias("version"), F.col("value").cast("int").alias("lon7"), F.lit(0).alias("lat7"), *[F.lit(None).cast(t).alias(c) for c, t in (("refs", "array<long>"), ("members", "array<struct<osm_type: int, ref: long, role: string>>"), ("tags", "array<struct<k: string, v: string>>"))])
+    edits, last = S.written(edits), _last(found)
+    return path, [SN.apply_batch(spark, path, k, edits.where(F.floor(F.col("seq") * n / (last + 1)) == k), fanout=2) for k in range(n)]
+
+
+def _last(changes) -> int:
+    return changes.agg(F.max("seq")).first()[0] or 0
+
+
+@query(_APPLY_ALL + "SELECT id, value FROM done WHERE outcome NOT IN ('deleted', 'absent')")
+def snapshot_state(spark, d):
+    """A snapshot in blocks after all changes came in batches, read with what is not yet merged into the blocks."""
+    return SN.current(spark, _in_batches(spark, d)[0]).select("id", F.col("lon7").cast("long").alias("value"))
+
+
+@query(_with(S.CHANGES_SQL, "b AS (SELECT *, floor(seq * 6 / ((SELECT max(seq) FROM changes) + 1))::INT AS batch FROM changes)") + "SELECT batch, count(DISTINCT id) AS changed, count(DISTINCT id >> 5) AS touched, true AS bounded FROM b GROUP BY batch")
+def snapshot_batches(spark, d):
+    """Objects and blocks that each batch changed; bounded: no block was written that no batch since the last merge touched."""
+    done, since, out = _in_batches(spark, d)[1], 0, []
+    for a in done:
+        since += a.touched
+        out.append((a.batch, a.changed, a.touched, a.written <= since and a.kept + a.written == a.blocks))
+        since = 0 if a.written else since
+    return spark.createDataFrame(out, "batch int, changed long, touched long, bounded boolean")
+
+
 def _file_places(spark, elements):
     return CH.file_places(elements.select("osm_type", (F.col("id") - 500).alias("id")), S.scratch(spark))
 

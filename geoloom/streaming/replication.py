@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from ..operators.changes import applied_elements, folded, folded_elements
+from ..operators.changes import folded
 from ..sources.files import CHANGE, read_diff
 from ..sources.pbf import open_fs
+from . import snapshots
 
 STATE = "id long, seq long, action string, version int, value long"
 
@@ -131,38 +130,22 @@ def diffs(spark: SparkSession, folder: str, start: int, max_diffs: int = 1440) -
     return spark.readStream.format("osm_diffs").option("start", str(start)).option("max_diffs", str(max_diffs)).load(folder)
 
 
-ELEMENT = ["osm_type", "id", "lon7", "lat7", "refs", "members", "tags"]
-
-
 def snapshot(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
     """The elements of the newest whole snapshot (before batch `below`, if given)."""
-    done = [v for v in _versions(spark, path) if below is None or v < below]
-    if not done:
-        raise FileNotFoundError(f"no snapshot in {path}")
-    return spark.read.parquet(f"{path}/batch={done[-1]}")
+    return snapshots.current(spark, path, below)
 
 
-def start_snapshot(elements: DataFrame, path: str) -> None:
+def start_snapshot(elements: DataFrame, path: str, bits: int = snapshots.BITS) -> None:
     """Write the elements that diffs are to be applied to, as the snapshot before the first batch."""
-    elements.select(*ELEMENT).write.parquet(f"{path}/batch=-1")
+    snapshots.start(elements, path, bits)
 
 
 def follow_elements(changes: DataFrame, path: str, checkpoint: str, keep: int = 3, **trigger):
     """Start a query that applies streaming `changes` (see diffs) to the snapshot under `path` (see start_snapshot).
 
-    A batch folds its changes, applies them to the snapshot before it and writes its own with the last sequence, in
-    one commit, so a repeated batch gives the same snapshot. Of older snapshots the last `keep` stay.
+    A batch writes its folded changes beside the snapshot's blocks (see snapshots) and the last sequence into its
+    manifest, in one commit, so a repeated batch gives the same snapshot; without changes the sequence stays.
     """
     spark = changes.sparkSession
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        done = applied_elements(snapshot(spark, path, batch_id), folded_elements(batch))
-        done.where("outcome <> 'deleted' and outcome <> 'absent'").select(*ELEMENT).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        last = batch.agg(F.max("seq")).first()[0]
-        system, root = open_fs(path)
-        with system.open_output_stream(f"{root}/batch={batch_id}/_state.json") as f:
-            f.write(json.dumps({"sequence": last}).encode())
-        for old in [v for v in _versions(spark, path) if v < batch_id][: -keep or None]:
-            system.delete_dir(f"{root}/batch={old}")
-
+    step = lambda batch, batch_id: snapshots.apply_batch(spark, path, batch_id, batch, keep=keep) and None
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -59,6 +59,21 @@ def test_tag_filters(spark):
             tagfilter.parse(bad)
 
 
+def test_filter_texts():
+    t = lambda k, v: tagfilter.TagFilter("tag", k, v)
+    has = lambda k: tagfilter.TagFilter("exists", k)
+    taken = {
+        "website=http://x?a=b": t("website", "http://x?a=b"), "k=a!=b": t("k", "a!=b"), "k==v": t("k", "=v"), r'k="a\\b"': t("k", r"a\\b"), r'k="say \"hi\""': t("k", 'say "hi"'), 'k=""': t("k", ""), '"a b"': has("a b"),
+        "k!=*": ~has("k"), '!"a=b"': ~has("a=b"), "k!==v": ~t("k", "=v"), "k=!v": t("k", "!v"), "  k  ": has("k"), "é=ü": t("é", "ü"), 'k="*"': t("k", "*"), "k=v\tm": t("k", "v") | has("m"),
+    }
+    assert {f: tagfilter.parse(f) for f in taken} == taken
+    refused = {"": 0, "   ": 0, "=v": 0, "k=": 2, "ok key=": 7, 'k="open': 2, "!k=x": 2, "!k!=x": 2, "a!b": 2, "k!": 2, "k!=": 3, 'na"me=x': 2, 'k=a"b': 3, "!": 0, '"k"x': 3, "é=": 3}
+    for f, at in refused.items():
+        with pytest.raises(tagfilter.FilterError) as e:
+            tagfilter.parse(f)
+        assert e.value.offset == at, f
+
+
 def test_classes(spark):
     rows = [(1, 1, tags(("waterway", "weir"), ("natural", "water"))), (1, 2, tags(("amenity", ""), ("amenity", "cafe"), ("amenity", "bank"))), (1, 3, tags(("landuse", "farm"), ("building", "no")))]
     got = classify.classified(spark.createDataFrame(rows, "osm_type int, id int, tags array<struct<k string, v string>>")).orderBy("id").collect()
