@@ -27,20 +27,20 @@ COVERED = 80
 #: Bits of a table of what may be frequent.
 BITS_LOG2 = 26
 #: Words that a task counts, and tokens that it gathers, before it passes them on.
-HELD_WORDS, HELD_TOKENS = 300_000, 4_000_000
+HELD_WORDS, HELD_TOKENS = 300_000, 2_000_000
 #: A prefix with more than one of so many of all occurrences is dealt to several tasks; no more than so many prefixes are.
 HOT_SHARE = 2000
 #: Tasks of a hot prefix for each such share that it has.
 HOT_PARTS = 2
 UNKNOWN = "und"
 
-#: A-Z in lower case; what parts pieces to a line feed, what parts words to a space.
-_TOKENS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: A-Z in lower case; what parts pieces to a full stop, which is in no word.
+_TOKENS = bytes(ord(".") if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def tokens(text: bytes) -> list[bytes]:
-    """The words of a text, line feeds between its pieces."""
-    return [w for w in text.translate(_TOKENS).replace(b"\n", b" \n ").split(b" ") if w]
+    """The words of a text, full stops between its pieces."""
+    return text.translate(_TOKENS).replace(b".", b" . ").split()  # of white space only spaces and tabs are left
 
 
 def _by_lang(docs: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def word_counts(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def rows(held):
         for lang, counts in held.items():
-            counts.pop(b"\n", None)
+            counts.pop(b".", None)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counts), pa.string()), "phrase": _strings(counts), "c": pa.array(list(counts.values()), pa.int64())})
         held.clear()
 
@@ -108,7 +108,7 @@ def bit_table(spark: SparkSession, phrases: DataFrame, bits_log2: int = BITS_LOG
 
 
 def _in(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    h = h >> np.uint64(64 - (len(table) * 64).bit_length() + 1)
+    h = h >> np.uint64(65 - (len(table) * 64).bit_length())
     return (table[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -116,13 +116,14 @@ class _Ids(dict):
     """Numbers of one language's words for as long as a task holds them: 0 for what is not frequent."""
 
     def __init__(self, lang: str, table: np.ndarray):
-        self.lang, self.table, self.words, self.hashes = lang, table, [b""], [0]
-        self[b"\n"] = 0
+        self.seed, self.words, self.hashes = xxhash.xxh32_intdigest(lang), [b""], [0]
+        self.table, self.shift = memoryview(table), 65 - (len(table) * 64).bit_length()
+        self[b"."] = 0
 
     def __missing__(self, word: bytes) -> int:
-        h = _hash(self.lang, word)
-        at = 0
-        if _in(self.table, np.array([h], np.uint64))[0]:
+        h = xxhash.xxh3_64_intdigest(word, self.seed)
+        bit, at = h >> self.shift, 0
+        if self.table[bit >> 6] >> (bit & 63) & 1:
             at = len(self.words)
             self.words.append(word)
             self.hashes.append(h)
@@ -180,11 +181,10 @@ def projected(spark: SparkSession, docs: DataFrame, words, pairs) -> DataFrame:
     def run(batches):
         for lang, ids, at in _numbered(batches, words.value):
             places, codes = _pairs(ids, at)
-            codes, which = np.unique(codes, return_inverse=True)
             hashes = np.array(ids.hashes, np.uint64)
-            good = _in(pairs.value, _joined(hashes[codes >> 32], hashes[codes & 0xFFFFFFFF]))
+            good = _in(pairs.value, _joined(hashes[at[places]], hashes[at[places + 1]]))
             pair = np.full(len(at) + 2, -1)
-            pair[places[good[which]]] = which[good[which]]
+            codes, pair[places[good]] = np.unique(codes[good], return_inverse=True)
             first = np.flatnonzero((pair[:-2] >= 0) & (pair[1:-1] >= 0))
             third = codes[pair[first + 1]] & 0xFFFFFFFF
             fourth = np.where(pair[first + 2] >= 0, codes[pair[first + 2]] & 0xFFFFFFFF, 0)
@@ -230,6 +230,21 @@ def grow(occurrences, least: int):
     yield from close(0)
 
 
+def _kept(batch: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    """A batch of sorted, summed occurrences without the third words that its prefix is too rarely followed by; the first and last of a batch, and hot prefixes' ones, may go on elsewhere and stay."""
+    if batch.num_rows < 3:
+        return batch
+    columns = [batch.column(c) for c in ("lang", "prefix", "part", "third")]
+    columns[2] = columns[2].fill_null(-1)
+    new = np.zeros(batch.num_rows, bool)
+    for c in columns:
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    which = np.cumsum(new)
+    good = np.bincount(which, batch.column("c").to_numpy()) >= least
+    good[[0, -1]] = True
+    return batch.filter(pa.array(good[which] | (columns[2].to_numpy() >= 0)))
+
+
 def grown(pairs: DataFrame, occurrences: DataFrame, least: int = LEAST, hot_share: int = HOT_SHARE) -> DataFrame:
     """(lang, phrase, f) of the frequent phrases of more than two words.
 
@@ -244,7 +259,7 @@ def grown(pairs: DataFrame, occurrences: DataFrame, least: int = LEAST, hot_shar
     summed = dealt.repartition(*keys).groupBy(*keys, "third", "fourth").agg(F.sum("c").alias("c"))
 
     def run(batches):
-        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in (*keys, "third", "fourth", "c"))))
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in _kept(batch, least).columns)))
         out = []
         for (lang, prefix, part), some in groupby(rows, lambda r: r[:3]):
             follow = (([r[3]] if r[4] is None else [r[3], r[4]], r[5]) for r in some)
@@ -255,7 +270,7 @@ def grown(pairs: DataFrame, occurrences: DataFrame, least: int = LEAST, hot_shar
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["lang", "phrase", "c"])
 
-    found = summed.sortWithinPartitions(*keys, "third", "fourth").mapInArrow(run, "lang string, phrase string, c long")
+    found = summed.select(*keys, "third", "fourth", "c").sortWithinPartitions(*keys, "third", "fourth").mapInArrow(run, "lang string, phrase string, c long")
     return found.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
 
 
