@@ -21,6 +21,7 @@ from ..operators import ways as W
 from ..sources import files as FI
 from ..sources import pbf as PBF
 from ..sources import pbf_source as PS
+from ..sources import pbf_update as PU
 from ..sources import pmtiles as PM
 from ..sources import tables as S
 from ..streaming import snapshots as SN
@@ -579,6 +580,39 @@ def tile_archive(spark, d):
     return R.decoded(PM.read(spark, folder)).groupBy("z", "x", "y").agg(F.count("*").alias("features"))
 
 
+@query(_SQL["tile_archive"])
+def tile_archive_single(spark, d):
+    """The same tiles as one archive that tasks wrote together."""
+    path = f"{S.scratch(spark)}.pmtiles"
+    PM.write_archive(S.written(R.assemble(R.render(_point_features(spark, d), 10, 14))), path, metadata={"name": "points"})
+    return R.decoded(PM.read(spark, path)).groupBy("z", "x", "y").agg(F.count("*").alias("features"))
+
+
+@query(_with(S.NODES_SQL, S.ELEMENTS_SQL, _CLASSES, _GRID, f"asked AS (SELECT DISTINCT {_TILE.format(z=14)} FROM nodes WHERE id % 50 = 0)")
+       + "SELECT pt.z, pt.x, pt.y, count(*) AS features FROM pt JOIN asked a ON pt.z = 14 AND pt.x = a.x AND pt.y = a.y GROUP BY ALL")
+def tile_lookup(spark, d):
+    """The zoom 14 tiles of every fiftieth node, looked up in an archive by the directories that name them."""
+    path = f"{S.scratch(spark)}.pmtiles"
+    PM.write_archive(S.written(R.assemble(R.render(_point_features(spark, d), 10, 14))), path)
+    n = S.nodes(spark, d).where("id % 50 = 0")
+    asked = n.select(F.lit(14).alias("z"), M.cell(M.unit_x(F.col("lon7") / 1e7), 14).alias("x"), M.cell(M.unit_y(F.col("lat7") / 1e7), 14).alias("y"))
+    return R.decoded(PM.lookup(spark, path, asked)).groupBy("z", "x", "y").agg(F.count("*").alias("features"))
+
+
+@query(
+    _with(S.CHANGES_SQL, _FOLDED, """done AS (SELECT coalesce(c.id, s.id) AS id, CASE WHEN action IS NULL THEN c.id WHEN action <> 'delete' THEN value END AS value
+ FROM (SELECT c_custkey AS id FROM customer) c FULL OUTER JOIN state s ON s.id = c.id WHERE action IS NULL OR action <> 'delete')""") + "SELECT 1 AS osm_type, id, value::BIGINT AS value FROM done"
+)
+def pbf_updated(spark, d):
+    """All changes applied to a map file of all customers by the blobs they touch; the others are copied."""
+    base, target = S.scratch(spark), S.scratch(spark)
+    n = S.read(spark, d, "customer").select(F.lit(1).alias("osm_type"), F.col("c_custkey").alias("id"), F.col("c_custkey").cast("int").alias("lon7"), F.lit(0).alias("lat7"))
+    PBF.write(n, base, spark.sparkContext.defaultParallelism).write.format("noop").mode("overwrite").save()
+    state = CH.folded(S.changes(spark, d)).select(F.lit(1).alias("osm_type"), "id", "action", F.col("value").cast("int").alias("lon7"), F.lit(0).alias("lat7"), F.lit(None).cast("array<long>").alias("refs"), F.lit(None).cast("array<struct<osm_type:int,ref:long,role:string>>").alias("members"), F.lit(None).cast("array<struct<k:string,v:string>>").alias("tags"))
+    PU.update(spark, base, state, target, spark.sparkContext.defaultParallelism, PBF.file_header())
+    return PBF.read(spark, target).select("osm_type", "id", F.col("lon7").cast("long").alias("value"))
+
+
 _RECT = """sq AS (SELECT id, lon7 / 1e7 AS w, lat7 / 1e7 AS s, (lon7 + (id % 50 + 1) * 20000) / 1e7 AS e, (lat7 + (id % 50 + 1) * 20000) / 1e7 AS n FROM nodes),
 sw AS (SELECT id, z::INT AS z, (w + 180) / 360 * pow(2, z) * 4096 AS x0, (e + 180) / 360 * pow(2, z) * 4096 AS x1, (0.5 - ln((1 + sin(radians(n))) / (1 - sin(radians(n)))) / (4 * pi())) * pow(2, z) * 4096 AS y0,
   (0.5 - ln((1 + sin(radians(s))) / (1 - sin(radians(s)))) / (4 * pi())) * pow(2, z) * 4096 AS y1 FROM sq, range(10, 13) t(z)),

@@ -9,6 +9,19 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
 
+def spoiled(path, target, kinds):
+    """A copy of a folder whose blobs of `kinds` can't be opened."""
+    from geoloom.sources import pbf
+
+    os.makedirs(target)
+    for name in sorted(os.listdir(path)):
+        data = bytearray(open(f"{path}/{name}", "rb").read())
+        for at, size, index, _ in pbf._blobs(f"{path}/{name}", 0, len(data), opened=False):
+            if index and index[0] in kinds:
+                data[at + size - 12 : at + size] = bytes(12)
+        open(f"{target}/{name}", "wb").write(bytes(data))
+
+
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession

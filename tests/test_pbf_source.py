@@ -5,6 +5,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from conftest import spoiled
 from pyspark.sql import functions as F
 
 from geoloom.sources import pbf, pbf_source, single
@@ -28,17 +29,6 @@ def folder(spark, elements, tmp_path_factory):
     return path
 
 
-def spoiled(path, target, kinds):
-    """A copy of a folder whose blobs of `kinds` can't be opened."""
-    os.makedirs(target)
-    for name in sorted(os.listdir(path)):
-        data = bytearray(open(f"{path}/{name}", "rb").read())
-        for at, size, index, _ in pbf._blobs(f"{path}/{name}", 0, len(data), opened=False):
-            if index and index[0] in kinds:
-                data[at + size - 12 : at + size] = bytes(12)
-        open(f"{target}/{name}", "wb").write(bytes(data))
-
-
 def rows_of(df):
     return sorted(map(repr, df.collect()))
 
