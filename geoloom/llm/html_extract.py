@@ -28,8 +28,6 @@ _SPLIT = re.compile(r"[^a-z]+")
 #: Elements without text of the page. Those of the first kind hold no markup: only their own end tag ends them.
 RAW_TEXT = {"script", "style", "noscript", "iframe", "textarea", "title"}
 RAW = RAW_TEXT | {"template", "canvas", "select", "datalist", "annotation", "desc", "metadata"}
-#: Levels of open elements that an optional end tag is looked for in.
-DEEPEST = 512
 #: Any other start tag ends a head that is still open.
 IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"}
 _SCRIPT_PARTS = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)
@@ -171,7 +169,7 @@ def blocks_of(page: str) -> list[tuple[str, frozenset, str, float, int]]:
     """
     out = []
     stack: list[tuple[str, frozenset, str]] = []  # tag, features so far, innermost block
-    opened: dict[str, int] = {}  # open elements by tag
+    opened: dict[str, list[int]] = {}  # where the open elements of a tag stand in the stack
     parts: list[str] = []
     linked = 0
     raw_until = None
@@ -192,18 +190,17 @@ def blocks_of(page: str) -> list[tuple[str, frozenset, str, float, int]]:
 
     def close_from(i: int):
         for t, _, _ in stack[i:]:
-            opened[t] -= 1
+            opened[t].pop()
         del stack[i:]
 
+    def innermost(tags: set) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+
     def close(ends: set, stop: set):
         """Close the innermost open element of `ends` unless one of `stop` is inside of it."""
-        if any(opened.get(t) for t in ends):
-            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
-                if stack[i][0] in ends:
-                    close_from(i)
-                    return
-                if stack[i][0] in stop:
-                    return
+        i = innermost(ends)
+        if i > innermost(stop):
+            close_from(i)
 
     while at < len(page):
         start, end, m = _next_mark(page, at)
@@ -235,10 +232,7 @@ def blocks_of(page: str) -> list[tuple[str, frozenset, str, float, int]]:
             if tag in BLOCK:
                 flush()
             if opened.get(tag):
-                i = len(stack) - 1
-                while stack[i][0] != tag:
-                    i -= 1
-                close_from(i)
+                close_from(opened[tag][-1])
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
@@ -265,7 +259,7 @@ def blocks_of(page: str) -> list[tuple[str, frozenset, str, float, int]]:
         own = _of_short(tag, attrs) if len(attrs) < 500 else _of_element(tag, attrs)
         above, block = stack[-1][1:] if stack else (frozenset(), "body")
         stack.append((tag, above | own if own - above else above, tag if tag in BLOCK else block))
-        opened[tag] = opened.get(tag, 0) + 1
+        opened.setdefault(tag, []).append(len(stack) - 1)
     flush()
     return out
 

@@ -233,6 +233,15 @@ def test_html_markup(page, texts):
     assert [b[0] for b in html_extract.blocks_of(page)] == texts
 
 
+def test_html_optional_end_tags_at_any_depth():
+    """A list item and a paragraph end where the next one starts, however many elements are open in them."""
+    for levels in (3, 700, 5000):
+        deep = "<span>" * levels
+        got = html_extract.blocks_of(f"<ul><li>a{deep}b<li>c</ul><div><p>d{deep}e<p>f</div><ul><li>g<ul>{deep}<li>h</ul></ul>")
+        assert [(b[0], b[2]) for b in got] == [("ab", "li"), ("c", "li"), ("de", "p"), ("f", "p"), ("g", "li"), ("h", "li")]
+        assert [b[4] for b in got if b[0] in "cfg"] == [2, 2, 2]
+
+
 def test_html_takes_time_in_proportion():
     pages = ["<a " * 300_000, '<p title="' * 100_000, "<b>" * 100_000 + "</x>" * 100_000, "<script><!--<script></script>" * 20_000, "<!--" * 200_000, "<p " + "a" * 500_000 + ">x", "<![CDATA[" * 50_000, "<select>" * 50_000]
     pages.append("<article>" + "<p>Some words &amp; more of the <b>text</b> here.</p>" * 100_000 + "</article>")
