@@ -199,7 +199,7 @@ def blocks_of(page: str) -> list[tuple[str, frozenset, str, float, int]]:
     def close(ends: set, stop: set):
         """Close the innermost open element of `ends` unless one of `stop` is inside of it."""
         i = innermost(ends)
-        if i > innermost(stop):
+        if i >= 0 and i > innermost(stop - ends):
             close_from(i)
 
     while at < len(page):
