@@ -15,6 +15,7 @@ from ..operators import changes as CH
 from ..operators import entities as E
 from ..operators import features as FE
 from ..operators import geometry as G
+from ..operators import overlap as OV
 from ..operators import render as R
 from ..operators import tiles as TI
 from ..operators import ways as W
@@ -200,6 +201,28 @@ def _overlaps(n, asked):
     return boxes.join(points, ["cx", "cy"]).where("lon7 between w and e and lat7 between s and n").groupBy("box_id").agg(F.count("*").alias("hits"))
 
 
+_SIDES = "lon7 + (id % 50 + 1) * {k} AS e, lat7 + (id % 7 + 1) * {k} AS n"
+_HITS = " SELECT a.id, count(*) AS hits, sum(b.id)::BIGINT AS ids FROM sq a JOIN sq b ON a.id <> b.id AND a.w <= b.e AND b.w <= a.e AND a.s <= b.n AND b.s <= a.n GROUP BY a.id"
+
+
+def _hits(n, k: int):
+    side = lambda c, by: (F.col(c) + (F.col("id") % by + 1) * k).cast("int")
+    boxes = n.select("id", F.col("lon7").cast("int").alias("min_lon7"), F.col("lat7").cast("int").alias("min_lat7"), side("lon7", 50).alias("max_lon7"), side("lat7", 7).alias("max_lat7"))
+    return OV.overlapping(boxes, boxes).where("id <> b_id").groupBy("id").agg(F.count("*").alias("hits"), F.sum("b_id").alias("ids"))
+
+
+@query(_with(S.NODES_SQL, f"sq AS (SELECT id, lon7 AS w, lat7 AS s, {_SIDES.format(k=2000000)} FROM nodes)") + _HITS)
+def box_overlaps(spark, d):
+    """The other boxes that each box meets, all over the globe."""
+    return _hits(S.nodes(spark, d), 2000000)
+
+
+@query(_with(S.NODES_SQL, "city AS (SELECT id, 84000000 + (id * 7919) % 1000000 AS lon7, 475000000 + (id * 104729) % 700000 AS lat7 FROM nodes)", f"sq AS (SELECT id, lon7 AS w, lat7 AS s, {_SIDES.format(k=200)} FROM city)") + _HITS)
+def box_overlaps_city(spark, d):
+    """The same with all boxes in one city."""
+    return _hits(S.nodes(spark, d).select("id", (84000000 + F.col("id") * 7919 % 1000000).alias("lon7"), (475000000 + F.col("id") * 104729 % 700000).alias("lat7")), 200)
+
+
 @query(_with(S.NODES_SQL) + "SELECT id AS osm_id, house || ' ' || street || ', ' || city AS address FROM nodes")
 def entity_address(spark, d):
     return E.entities(S.nodes(spark, d)).select("osm_id", "address")
