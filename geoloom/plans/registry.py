@@ -15,6 +15,7 @@ from ..operators import changes as CH
 from ..operators import entities as E
 from ..operators import features as FE
 from ..operators import geometry as G
+from ..operators import labels as LA
 from ..operators import overlap as OV
 from ..operators import render as R
 from ..operators import tiles as TI
@@ -223,6 +224,21 @@ def box_overlaps_city(spark, d):
     return _hits(S.nodes(spark, d).select("id", (84000000 + F.col("id") * 7919 % 1000000).alias("lon7"), (475000000 + F.col("id") * 104729 % 700000).alias("lat7")), 200)
 
 
+@query(
+    _with("RECURSIVE " + S.NODES_SQL, """l AS (SELECT id % 7 AS view, id, id % 3 AS rank, id % 11 AS key, id * 7919 % 800 - 20 AS x0, id * 104729 % 600 AS y0, 40 + id % 5 * 20 AS w, id % 17 = 0 AS free FROM nodes)""",
+          "o AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY rank, key, id) AS i FROM l WHERE x0 < 800 AND x0 + w > 0)",
+          """g(view, i, kept) AS (SELECT DISTINCT view, 0::BIGINT, []::STRUCT(id BIGINT, x BIGINT, y BIGINT, w BIGINT)[] FROM o
+ UNION ALL SELECT g.view, g.i + 1, CASE WHEN o.free OR len(list_filter(g.kept, lambda k: k.x - 2 < o.x0 + o.w + 2 AND o.x0 - 2 < k.x + k.w + 2 AND k.y - 2 < o.y0 + 18 AND o.y0 - 2 < k.y + 18)) = 0 THEN list_append(g.kept, {'id': o.id, 'x': o.x0, 'y': o.y0, 'w': o.w}) ELSE g.kept END
+ FROM g JOIN o ON o.view = g.view AND o.i = g.i + 1)""")
+    + "SELECT view, unnest(kept).id AS id FROM (SELECT view, arg_max(kept, i) AS kept FROM g GROUP BY view)"
+)
+def placed_labels(spark, d):
+    """Labels of all nodes in seven views, of which those stay that no better one overlaps."""
+    n, x, y = S.nodes(spark, d), F.col("id") * 7919 % 800 - 20, F.col("id") * 104729 % 600
+    columns = {"view": F.col("id") % 7, "rank": F.col("id") % 3, "sort_key": F.col("id") % 11, "x0": x, "y0": y, "x1": x + 40 + F.col("id") % 5 * 20, "y1": y + 16, "padding": F.lit(2), "allow_overlap": F.col("id") % 17 == 0}
+    return LA.place(n.select("id", *(c.alias(k) for k, c in columns.items())), 800, 600)
+
+
 @query(_with(S.NODES_SQL) + "SELECT id AS osm_id, house || ' ' || street || ', ' || city AS address FROM nodes")
 def entity_address(spark, d):
     return E.entities(S.nodes(spark, d)).select("osm_id", "address")

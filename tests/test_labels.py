@@ -1,0 +1,45 @@
+"""Label collision against the greedy loop."""
+
+import random
+
+import pytest
+
+from geoloom.operators import labels as L
+
+SCHEMA = "view long, id long, rank int, sort_key double, x0 double, y0 double, x1 double, y1 double, padding double, allow_overlap boolean"
+
+
+def greedy(rows, width, height):
+    kept = {}
+    for v, i, *_, x0, y0, x1, y1, pad, free in sorted(rows, key=lambda r: (r[2], r[3], r[1])):
+        if x0 >= width or x1 <= 0 or y0 >= height or y1 <= 0:
+            continue
+        box = (x0 - pad, y0 - pad, x1 + pad, y1 + pad)
+        own = kept.setdefault(v, [])
+        if free or not any(box[0] < b[2] and b[0] < box[2] and box[1] < b[3] and b[1] < box[3] for _, b in own):
+            own.append((i, box))
+    return sorted((v, i) for v, own in kept.items() for i, _ in own)
+
+
+@pytest.mark.parametrize("seed, spread", [(1, 900), (2, 250)])
+def test_greedy(spark, seed, spread):
+    r = random.Random(seed)
+    rows = []
+    for i in range(260):
+        x, y = r.randint(-150, spread), r.randint(-100, spread // 2)
+        rows.append((i % 3, i, r.randint(0, 2), float(r.randint(0, 3)), float(x), float(y), float(x + r.choice([20, 64, 200])), float(y + r.choice([16, 20])), float(r.choice([0, 0, 2, 5])), r.random() < 0.05))
+    got = sorted((x.view, x.id) for x in L.place(spark.createDataFrame(rows, SCHEMA), 640, 400).collect())
+    want = greedy(rows, 640, 400)
+    assert got == want and 20 < len(want) < 200
+
+
+def test_rules(spark):
+    box = lambda i, x, rank=0, key=0.0, pad=0.0, free=False: (1, i, rank, key, float(x), 0.0, float(x + 10), 10.0, pad, free)
+    place = lambda *rows: sorted(x.id for x in L.place(spark.createDataFrame(list(rows), SCHEMA), 100, 100).collect())
+    assert place(box(1, 0), box(2, 10)) == [1, 2]  # they only touch
+    assert place(box(1, 0, pad=1.0), box(2, 10)) == [1] and place(box(1, 0), box(2, 9, rank=-1)) == [2] and place(box(1, 0, key=2.0), box(2, 5, key=1.0)) == [2]
+    assert place(box(1, 0), box(2, 5, rank=1, free=True), box(3, 12, rank=2)) == [1, 2]  # it overlaps a better one, and blocks a worse one
+    assert place(box(1, 5), box(2, 0, rank=1, free=True)) == [1, 2]  # a worse one that may overlap blocks no better one
+    assert place(box(1, 200), box(2, -10), box(3, 95)) == [3]
+    assert place(*[box(i, 0) for i in range(300)]) == [0]
+    assert place((1, 5, None, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, False), (1, 6, 0, 0.0, 5.0, 5.0, 5.0, 9.0, 0.0, False), (1, 7, 0, 0.0, None, 0.0, 1.0, 1.0, 0.0, None)) == []
