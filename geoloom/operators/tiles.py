@@ -41,8 +41,12 @@ def expand_box(boxes: DataFrame, z: int, buffer: float = 0.0) -> DataFrame:
 
 def layer_stats(pieces: DataFrame) -> DataFrame:
     """layer, min_zoom, max_zoom, pieces; with attrs (tags k, v) also fields, the attribute keys in order."""
-    fields = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("attrs", lambda t: t["k"]))))).alias("fields")] if "attrs" in pieces.columns else []
-    return pieces.groupBy("layer").agg(F.min("z").alias("min_zoom"), F.max("z").alias("max_zoom"), F.count("*").alias("pieces"), *fields)
+    if "attrs" not in pieces.columns:
+        return pieces.groupBy("layer").agg(F.min("z").alias("min_zoom"), F.max("z").alias("max_zoom"), F.count("*").alias("pieces"))
+    # a row for each key of a piece, the first of which counts the piece: keys are combined before a layer gathers them
+    keys = pieces.select("layer", "z", F.posexplode_outer(F.array_distinct(F.transform("attrs", lambda t: t["k"]))).alias("i", "k"))
+    by_key = keys.groupBy("layer", "k").agg(F.min("z").alias("a"), F.max("z").alias("b"), F.count_if(F.coalesce("i", F.lit(0)) == 0).alias("n"))
+    return by_key.groupBy("layer").agg(F.min("a").alias("min_zoom"), F.max("b").alias("max_zoom"), F.sum("n").alias("pieces"), F.array_sort(F.collect_list("k")).alias("fields"))
 
 
 def tile_summary(pieces: DataFrame) -> DataFrame:
