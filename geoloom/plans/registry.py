@@ -16,6 +16,7 @@ from ..operators import entities as E
 from ..operators import features as FE
 from ..operators import geometry as G
 from ..operators import labels as LA
+from ..operators import lines as LN
 from ..operators import overlap as OV
 from ..operators import render as R
 from ..operators import tiles as TI
@@ -155,6 +156,19 @@ def relation_completeness(spark, d):
     return W.relation_completeness(S.members(spark, d), W.usable(_located(spark, d)))
 
 
+@query(
+    _with(S.REFS_SQL, S.NODES_SQL, """pts AS (SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY pos) AS i, lon7::DOUBLE AS x, lat7::DOUBLE AS y FROM refs JOIN nodes ON node_id = id),
+seg AS (SELECT a.way_id, a.i, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS len FROM pts a JOIN pts b ON b.way_id = a.way_id AND b.i = a.i + 1 WHERE a.x <> b.x OR a.y <> b.y),
+run AS (SELECT a.way_id, a.i, a.len, coalesce(sum(b.len), 0) AS start FROM seg a LEFT JOIN seg b ON b.way_id = a.way_id AND b.i < a.i GROUP BY ALL),
+parts AS (SELECT way_id, k, least(start + len, k * 3e8 - 5e7 + 2e8) - greatest(start, k * 3e8 - 5e7) AS part FROM run, LATERAL (SELECT unnest(range(floor((start + 5e7) / 3e8)::BIGINT, floor((start + len + 5e7) / 3e8)::BIGINT + 1)) AS k))""")
+    + "SELECT way_id AS id, count(DISTINCT k) AS dashes, round(sum(part) / 1000)::BIGINT AS length FROM parts WHERE part > 0 GROUP BY way_id"
+)
+def way_dashes(spark, d):
+    """Ways cut into dashes: how many of each, and how long they are together."""
+    ways = _located(spark, d).select(F.col("way_id").alias("id"), F.transform("points", lambda p: p["lon7"].cast("double")).alias("xs"), F.transform("points", lambda p: p["lat7"].cast("double")).alias("ys"))
+    return LN.dashes(ways, 2e8, 1e8, 5e7).groupBy("id").agg(F.count("*").alias("dashes"), F.round(F.sum("length") / 1000).cast("long").alias("length"))
+
+
 _SEGMENTS = f"""{S.REFS_SQL}, segs AS (SELECT a.way_id, least(a.node_id, b.node_id) AS a, greatest(a.node_id, b.node_id) AS b FROM refs a JOIN refs b ON a.way_id = b.way_id AND b.pos = a.pos + 1 WHERE a.node_id <> b.node_id)"""
 
 
