@@ -11,6 +11,7 @@ from ..functions import mercator as M
 from ..functions import colors, style, styledoc, tagfilter
 from ..functions import text as T
 from ..operators import areas as A
+from ..operators import cameras as CM
 from ..operators import changes as CH
 from ..operators import entities as E
 from ..operators import features as FE
@@ -169,6 +170,17 @@ def way_dashes(spark, d):
     return LN.dashes(ways, 2e8, 1e8, 5e7).groupBy("id").agg(F.count("*").alias("dashes"), F.round(F.sum("length") / 1000).cast("long").alias("length"))
 
 
+@query("""WITH c AS (SELECT event_id AS view, event_id * 7919 % 360 - 179.5 AS lon, event_id * 104729 % 150 - 74.5 AS lat, event_id % 12 AS z FROM events),
+u AS (SELECT view, z, pow(2, z) AS n, (lon + 180) / 360 AS cx, 0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi()) AS cy, 400 / (512 * pow(2, z + 0.25)) AS hw, 300 / (512 * pow(2, z + 0.25)) AS hh FROM c),
+r AS (SELECT *, floor((cx - hw) * n)::BIGINT AS x0, ceil((cx + hw) * n)::BIGINT - 1 AS x1, floor(greatest(cy - hh, 0) * n)::BIGINT AS y0, ceil(least(cy + hh, 1) * n)::BIGINT - 1 AS y1 FROM u),
+t AS (SELECT *, x - floor(x / n)::BIGINT * n::BIGINT AS column_, floor(x / n)::INT AS world FROM r, LATERAL (SELECT unnest(range(x0, x1 + 1)) AS x), LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y))
+SELECT view, z::INT AS z, column_ AS x, y, world, row_number() OVER (PARTITION BY view ORDER BY round((x + 0.5 - cx * n) ** 2 + (y + 0.5 - cy * n) ** 2, 9), y, x)::INT AS place FROM t""")
+def visible_tiles(spark, d):
+    """The tiles that a camera at each event shows, nearest to its middle first."""
+    e = S.read(spark, d, "events").select(F.col("event_id").alias("view"), (F.col("event_id") * 7919 % 360 - 179.5).alias("lon"), (F.col("event_id") * 104729 % 150 - 74.5).alias("lat"), (F.col("event_id") % 12 + 0.25).alias("zoom"), F.lit(800.0).alias("width"), F.lit(600.0).alias("height"))
+    return CM.visible_tiles(e)
+
+
 _SEGMENTS = f"""{S.REFS_SQL}, segs AS (SELECT a.way_id, least(a.node_id, b.node_id) AS a, greatest(a.node_id, b.node_id) AS b FROM refs a JOIN refs b ON a.way_id = b.way_id AND b.pos = a.pos + 1 WHERE a.node_id <> b.node_id)"""
 
 
