@@ -88,6 +88,15 @@ _QUERIES["tag_filter_differs"] = _filtered("highway!=primary")
 _SQL["tag_filter_differs"] = _with(S.ELEMENTS_SQL) + "SELECT osm_type, id FROM elements WHERE NOT (k = 'highway' AND v = 'primary')"
 
 
+@query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, id FROM elements WHERE id % 3 = 1 OR id % 5 = 0 OR id % 7 <> 2")
+def tag_filter_values(spark, d):
+    """Values with the signs of the filter language in them."""
+    id_ = F.col("id")
+    tags = F.array(S.tag("website", F.concat(F.lit("http://x?a="), id_ % 3)), S.tag("note", F.when(id_ % 5 == 0, "=v").otherwise("v")), S.tag("quote", F.when(id_ % 7 == 2, 'say "hi" = !b').otherwise("-")))
+    found = tagfilter.parse('website=http://x?a=1 note==v quote!="say \\"hi\\" = !b"')
+    return S.elements(spark, d).withColumn("tags", tags).where(found.column(F.col("tags"))).select("osm_type", "id")
+
+
 @query(_with(S.ELEMENTS_SQL) + "SELECT osm_type, id FROM elements WHERE k IN ('highway', 'landuse') AND NOT (v IN ('footway', 'quarry'))")
 def include_exclude(spark, d):
     keep = tagfilter.parse("highway landuse") & ~tagfilter.parse("highway=footway landuse=quarry")

@@ -148,6 +148,7 @@ class PbfSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session, and switch on that filters reach Python sources, as they do when a plan is made."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PbfSource)
 
