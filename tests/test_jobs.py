@@ -130,12 +130,6 @@ def test_sizes_and_draw_order(spark):
     shown = R.decoded(R.assemble(R.render(df, 9, 9))).collect()
     tile = max({(r.z, r.x, r.y) for r in shown}, key=lambda t: sum((r.z, r.x, r.y) == t for r in shown))
     assert [(r.layer, r.id) for r in shown if (r.z, r.x, r.y) == tile and r.layer == "highway"] == [("highway", 12), ("highway", 32), ("highway", 22)]
-    import numpy as np
-
-    bent = np.array([[0, 0], [3, 4], [6, 0]], float)
-    assert R.shape_size(R.mvt.LINE, [[bent]]) == 10 and R.shape_size(R.mvt.POINT, [[bent]]) == 0
-    ring = lambda a, b: np.array([[a, a], [b, a], [b, b], [a, b], [a, a]], float)
-    assert R.shape_size(R.mvt.POLYGON, [[ring(0, 5), ring(1, 4)]]) == 4 and R.shape_size(R.mvt.POLYGON, [[ring(0, 1), ring(0, 5)]]) == 0
 
 
 def test_entities(spark, town_folder, tmp_path):
