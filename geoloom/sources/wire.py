@@ -23,16 +23,22 @@ def varint(n: int) -> bytes:
 
 def varints(values) -> bytes:
     """Many varints at once."""
+    return varints_with_ends(values)[0]
+
+
+def varints_with_ends(values) -> tuple[bytes, np.ndarray]:
+    """Many varints at once, and where each ends."""
     v = np.asarray(values, np.int64).view(np.uint64)
     n = np.ones(len(v), np.int64)
     for k in range(1, 10):
         n += v >= np.uint64(1 << 7 * k)
     out = np.zeros(int(n.sum()), np.uint8)
-    at = np.cumsum(n) - n
+    ends = np.cumsum(n)
+    at = ends - n
     for k in range(int(n.max(initial=0))):
         has = n > k
         out[at[has] + k] = ((v[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | np.where(n[has] - 1 > k, 128, 0).astype(np.uint8)
-    return out.tobytes()
+    return out.tobytes(), ends
 
 
 def zigzag(values) -> np.ndarray:
@@ -44,6 +50,24 @@ def unzigzag(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(1)).view(np.int64) ^ -(values & np.uint64(1)).view(np.int64)
 
 
+def unpacked(data: bytes) -> list[int]:
+    """The varints of a packed field; a ValueError if the last one is cut off."""
+    if len(data) >= SHORT:
+        return unpack(data).tolist()
+    out, value, shift = [], 0, 0  # plain loops are faster on the short fields of one element
+    for byte in data:
+        value |= (byte & 127) << shift
+        shift += 7
+        if byte < 128:
+            out.append(value)
+            value = shift = 0
+        elif shift > 63:
+            raise ValueError("a number of over ten bytes")
+    if shift:
+        raise ValueError("a packed field ends inside a number")
+    return out
+
+
 def unpack(data: bytes) -> np.ndarray:
     """The varints of a packed field as uint64; a ValueError if the last one is cut off."""
     if len(data) < SHORT:  # plain loops are faster on the short fields of one element
