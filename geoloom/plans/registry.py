@@ -20,6 +20,7 @@ from ..operators import labels as LA
 from ..operators import lines as LN
 from ..operators import overlap as OV
 from ..operators import render as R
+from ..operators import shapes as SH
 from ..operators import tiles as TI
 from ..operators import ways as W
 from ..sources import files as FI
@@ -687,6 +688,41 @@ def pbf_updated(spark, d):
     return PBF.read(spark, target).select("osm_type", "id", F.col("lon7").cast("long").alias("value"))
 
 
+@query(_with(S.NODES_SQL, S.ELEMENTS_SQL, _CLASSES, _GRID) + "SELECT z, x, y, layer, id * 10 + 1 AS id, id AS n, id / 8.0::DOUBLE AS share, id % 2 = 0 AS even, 'n' || id AS name, 'BIGINT DOUBLE BOOLEAN STRING' AS kinds FROM pt")
+def tile_values(spark, d):
+    """Attributes of four kinds through tiles and back: each value as it was, and of its kind."""
+    values = {"n": F.col("id"), "share": F.col("id") / F.lit(8.0), "even": F.col("id") % 2 == 0, "name": F.concat(F.lit("n"), F.col("id").cast("string"))}
+    attrs = F.create_map(*(c for k, v in values.items() for c in (F.lit(k), v.cast("variant"))), F.lit("none"), F.lit(None).cast("variant"))
+    f = _point_features(spark, d).withColumn("attrs", attrs)
+    shown = R.decoded(R.assemble(R.render(f, 10, 14)), typed=True)
+    back = lambda k, t: F.variant_get(F.col("attrs")[k], "$", t).alias(k)
+    kinds = F.concat_ws(" ", *(F.schema_of_variant(F.col("attrs")[k]) for k in values)).alias("kinds")
+    return shown.select("z", "x", "y", "layer", "id", back("n", "long"), back("share", "double"), back("even", "boolean"), back("name", "string"), kinds)
+
+
+@query(
+    _with(S.NODES_SQL, """sq AS (SELECT id, lon7 AS x, lat7 AS y, (id % 50 + 1) * 20000 AS s FROM nodes),
+ rect AS (SELECT id, x, y, s, x + (id % 7 - 3) * (s // 4) AS mx, y + (id % 5 - 2) * (s // 4) AS my FROM sq)""")
+    + """SELECT id, 3 AS kind, (greatest(least(x + s, mx + s) - greatest(x, mx), 0) * greatest(least(y + s, my + s) - greatest(y, my), 0))::BIGINT AS inside FROM rect
+ UNION ALL SELECT id, 2, greatest(least(mx + s - x, my + s - y, s) - greatest(mx - x, my - y, 0), 0)::BIGINT FROM rect
+ UNION ALL SELECT id, 1, ((x BETWEEN mx AND mx + s)::INT + (x + s BETWEEN mx AND mx + s)::INT)::BIGINT * ((y BETWEEN my AND my + s)::INT + (y + s BETWEEN my AND my + s)::INT) FROM rect"""
+)
+def clipped_shapes(spark, d):
+    """Squares, their diagonals and their corners cut to a rectangle for each: the area, the length across and the number inside."""
+    size = ((F.col("id") % 50 + 1) * 20000).cast("double")
+    x, y = F.col("lon7").cast("double"), F.col("lat7").cast("double")
+    at = lambda i, j: F.struct((x + i * size).alias("x"), (y + j * size).alias("y"))
+    corners = [at(i, j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    kinds = {1: F.array(*corners), 2: F.array(at(0, 0), at(1, 1)), 3: F.array(*corners, at(0, 0))}
+    low = (x + (F.col("id") % 7 - 3) * size / 4, y + (F.col("id") % 5 - 2) * size / 4)
+    made = S.nodes(spark, d).select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.array(F.array(r)).alias("shape")) for k, r in kinds.items()))).alias("f"), low[0].alias("min_x"), low[1].alias("min_y"), (low[0] + size).alias("max_x"), (low[1] + size).alias("max_y"))
+    rings = F.flatten("shape")
+    total = lambda f: F.aggregate(rings, F.lit(0).cast("decimal(38,0)"), lambda a, r: (a + f(r)).cast("decimal(38,0)"))
+    across = lambda r: F.round(F.element_at(r, -1)["x"] - r[0]["x"]).cast("decimal(38,0)")
+    inside = F.when(F.col("kind") == 3, total(G.ring_area2) / 2).when(F.col("kind") == 2, total(across)).otherwise(G.points_in(F.col("shape")))
+    return SH.clipped(made.select("id", "f.*", "min_x", "min_y", "max_x", "max_y")).select("id", "kind", inside.cast("long").alias("inside"))
+
+
 _RECT = """sq AS (SELECT id, lon7 / 1e7 AS w, lat7 / 1e7 AS s, (lon7 + (id % 50 + 1) * 20000) / 1e7 AS e, (lat7 + (id % 50 + 1) * 20000) / 1e7 AS n FROM nodes),
 sw AS (SELECT id, z::INT AS z, (w + 180) / 360 * pow(2, z) * 4096 AS x0, (e + 180) / 360 * pow(2, z) * 4096 AS x1, (0.5 - ln((1 + sin(radians(n))) / (1 - sin(radians(n)))) / (4 * pi())) * pow(2, z) * 4096 AS y0,
   (0.5 - ln((1 + sin(radians(s))) / (1 - sin(radians(s)))) / (4 * pi())) * pow(2, z) * 4096 AS y1 FROM sq, range(10, 13) t(z)),
