@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -199,28 +200,32 @@ def richness(e: DataFrame) -> Column:
     return F.struct(contact.alias("contact_fields"), complete.alias("completeness"), rest.alias("tag_count"))
 
 
-def _vector(lon: float, lat: float) -> tuple[float, float, float]:
-    a, b = math.radians(lon), math.radians(lat)
-    return math.cos(b) * math.cos(a), math.cos(b) * math.sin(a), math.sin(b)
-
-
 def greedy_keep(rows: pd.DataFrame, radius: float) -> list[bool]:
-    """Richest first (then type, id): a row is dropped if a kept one is strictly nearer; without a place only the first is kept."""
+    """Richest first (then type, id): a row is dropped if a kept one is strictly nearer; without a place only the first is kept.
+
+    Places are points on the unit sphere in the order of the axis along which they spread most. One that is kept strikes
+    out all rows around it at once, which lie in one stretch of that order.
+    """
+    ranked = rows.reset_index(drop=True).sort_values(["r0", "r1", "r2", "osm_type", "osm_id"], ascending=[False, False, False, True, True]).index.to_numpy()
+    lon, lat = (np.radians(rows[c].to_numpy(float, na_value=np.nan) / 1e7) for c in ("lon7", "lat7"))
+    keep, placed = np.zeros(len(rows), bool), ~np.isnan(lon)
+    keep[ranked[~placed[ranked]][:1]] = True
     chord = 2 * math.sin(min(math.pi, radius / EARTH_RADIUS) / 2)
-    size = max(chord, 1e-12)
-    grid: dict[tuple, list] = {}
-    keep, seen = {}, False
-    for i, lon7, lat7 in rows.sort_values(["r0", "r1", "r2", "osm_type", "osm_id"], ascending=[False, False, False, True, True])[["lon7", "lat7"]].itertuples():
-        if pd.isna(lon7):
-            keep[i], seen = not seen, True
-            continue
-        v = _vector(lon7 / 1e7, lat7 / 1e7)
-        c = tuple(math.floor(x / size) for x in v)
-        near = any(sum((a - b) ** 2 for a, b in zip(v, o)) < chord * chord for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) for o in grid.get((c[0] + dx, c[1] + dy, c[2] + dz), ()))
-        keep[i] = not near
-        if not near:
-            grid.setdefault(c, []).append(v)
-    return [keep[i] for i in rows.index]
+    v = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+    along = np.flatnonzero(placed)
+    if not len(along):
+        return keep.tolist()
+    axis = int(np.argmax(np.ptp(v[along], axis=0)))
+    along = along[np.argsort(v[along, axis])]
+    first, last = (np.searchsorted(v[along, axis], v[:, axis] + d * (1 + 1e-9), side) for d, side in ((-chord, "left"), (chord, "right")))
+    struck = ~placed
+    for i in ranked:
+        if not struck[i]:
+            keep[i] = True
+            around = along[first[i] : last[i]]
+            struck[around[((v[around] - v[i]) ** 2).sum(axis=1) < chord * chord]] = True
+            struck[i] = True
+    return keep.tolist()
 
 
 def _split(found: DataFrame, radius: float) -> DataFrame:

@@ -130,7 +130,8 @@ def test_dedup_against_brute_force(spark):
     for name in ("n0", "n1", "n2"):
         out = []
         for r in (r for r in rows if r[2].lower() == name):
-            v = entities._vector(r[3] / 1e7, r[4] / 1e7)
+            lon, lat = math.radians(r[3] / 1e7), math.radians(r[4] / 1e7)
+            v = (math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat))
             kept[r[1]] = all(sum((a - b) ** 2 for a, b in zip(v, o)) >= chord * chord for o in out)
             if kept[r[1]]:
                 out.append(v)
