@@ -521,8 +521,20 @@ def metadata_fields(spark, d):
     return first.groupBy("osm_type").agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("field_names"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + _LOCATED + """,
+pts AS (SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY pos) AS i, lon7 / 1e7 AS x, lat7 / 1e7 AS y FROM refs JOIN nodes ON node_id = id JOIN located USING (way_id) WHERE missing = 0),
+seg AS (SELECT way_id, 1::BIGINT AS a, max(i)::BIGINT AS b FROM pts GROUP BY 1
+ UNION ALL SELECT way_id, unnest([a, far.i]), unnest([far.i, b]) FROM (
+  SELECT way_id, a, b, max({'away': pow(mx - t * dx, 2) + pow(my - t * dy, 2), 'i': i}) AS far FROM (
+   SELECT s.way_id, s.a, s.b, m.i, q.x - p.x AS dx, q.y - p.y AS dy, m.x - p.x AS mx, m.y - p.y AS my,
+    CASE WHEN dx <> 0 OR dy <> 0 THEN greatest(0, least(1, (mx * dx + my * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t
+   FROM seg s JOIN pts p ON p.way_id = s.way_id AND p.i = s.a JOIN pts q ON q.way_id = s.way_id AND q.i = s.b JOIN pts m ON m.way_id = s.way_id AND m.i > s.a AND m.i < s.b)
+  GROUP BY ALL) WHERE far.away > 400)
+SELECT way_id AS id, max(b) AS n_points, least(max(b), 2 + (count(*) - 1) // 2) AS n_kept FROM seg GROUP BY way_id"""
+)
 def simplified_ways(spark, d):
+    """Points that Douglas-Peucker keeps of each whole way, 20 degrees apart."""
     ways = W.usable(_located(spark, d)).select(F.col("way_id").alias("id"), F.transform("points", lambda p: p["lon7"] / 1e7).alias("xs"), F.transform("points", lambda p: p["lat7"] / 1e7).alias("ys"))
     return G.simplified(ways, 20.0)
 
