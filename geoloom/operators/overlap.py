@@ -2,7 +2,7 @@
 
 A bounded sample of both sides says where cells must be small. Each box goes to all cells it touches, and a pair is made
 in the one cell that holds the lower left corner of what both share, so no pair is made twice and none is compared with
-all others.
+all others. Where only the number of pairs or a sum over them is asked for, overlap_sums has it without pairs.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: Rows of both sides that the cells are cut by; rows that a cell should hold; sampled rows below which no cell is cut.
 SAMPLE, ROWS, LEAST = 200_000, 20_000, 16
 #: The grid: 2 ** BITS units of 1e-7 degrees a side from -2 ** (BITS - 1); levels that are cut.
@@ -102,3 +104,99 @@ def overlapping(a: DataFrame, b: DataFrame, rows: int = ROWS) -> DataFrame:
     own = lambda low, at: F.expr(f"shiftright(greatest(cast({low} as bigint), cast(b_{low} as bigint)) + {1 << (BITS - 1)}L, {BITS} - _level)") == F.col(at)
     meet = (F.col("min_lon7") <= F.col("b_max_lon7")) & (F.col("b_min_lon7") <= F.col("max_lon7")) & (F.col("min_lat7") <= F.col("b_max_lat7")) & (F.col("b_min_lat7") <= F.col("max_lat7"))
     return left.join(right, "_cell").where(meet & own("min_lon7", "_x") & own("min_lat7", "_y")).drop("_cell", "_level", "_x", "_y")
+
+
+#: The four corners that a box's count is made of: sides of the other box, sides of the asking one (with 1: one further), sign.
+_CORNERS = (("min_lon7", "min_lat7", ("max_lon7", 1), ("max_lat7", 1), 1), ("min_lon7", "max_lat7", ("max_lon7", 1), ("min_lat7", 0), -1), ("max_lon7", "min_lat7", ("min_lon7", 0), ("max_lat7", 1), -1), ("max_lon7", "max_lat7", ("min_lon7", 0), ("min_lat7", 0), 1))
+#: Points of one corner that a strip should hold, and strips at most.
+STRIP_ROWS, STRIPS = 50_000, 400
+
+
+def below(px: np.ndarray, py: np.ndarray, pv: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each (qx, qy) how many points lie below it in x and in y, and the sum of their values: bit by bit of the points' ranks, never by pairs."""
+    rank = np.empty(len(px), np.int64)
+    by_x = np.argsort(px, kind="stable")
+    rank[by_x] = np.arange(len(px))
+    by_y = np.argsort(py, kind="stable")
+    most, end = np.searchsorted(px[by_x], qx), np.searchsorted(py[by_y], qy)
+    start, n, total = np.zeros(len(qx), np.int64), np.zeros(len(qx), np.int64), np.zeros(len(qx), np.int64)
+    rank, value = rank[by_y], pv[by_y]
+    for bit in range(len(px).bit_length() - 1, -1, -1):
+        low = (rank >> bit & 1) == 0
+        zeros = np.concatenate([[0], np.cumsum(low)])
+        sums = np.concatenate([[0], np.cumsum(np.where(low, value, 0))])
+        up = (most >> bit & 1) == 1  # all points of this bit 0 are below, and the search goes on among those of bit 1
+        n += np.where(up, zeros[end] - zeros[start], 0)
+        total += np.where(up, sums[end] - sums[start], 0)
+        start, end = (np.where(up, zeros[-1] + at - zeros[at], zeros[at]) for at in (start, end))
+        order = np.concatenate([np.flatnonzero(low), np.flatnonzero(~low)])
+        rank, value = rank[order], value[order]
+    return n, total
+
+
+def _bounds(values: np.ndarray, strips: int) -> np.ndarray:
+    """Where strips begin, by quantiles of a sample; a value that stands at two of them has a strip of its own."""
+    at = np.sort(values)[np.linspace(0, len(values) - 1, strips + 1).astype(int)[1:-1]] if len(values) and strips > 1 else np.zeros(0, np.int64)
+    return np.unique(np.concatenate([at, at[1:][at[1:] == at[:-1]] + 1])).astype(np.int64)
+
+
+def overlap_sums(a: DataFrame, b: DataFrame, value: str = "id", strip_rows: int = STRIP_ROWS, sample: int = SAMPLE) -> DataFrame:
+    """`a` (id, BOX) with hits and total: of the boxes of `b` (value, BOX) that share a point with it, how many they are and the sum of `value`, which a long must hold.
+
+    No pair is made, so work grows with the rows and not with the hits. A box meets those that begin before it ends,
+    less those that end before it begins, along both axes: four counts of corners below and left of a corner. Corners
+    are dealt to strips along each axis. A corner's count is that of whole strips (a small table), of its strip of x,
+    and of its strip of y left of that. Strips follow a bounded sample, which no count depends on. Boxes with a null or
+    without an extent meet nothing and are left out.
+    """
+    sides = [F.col(c).cast("long").alias(c) for c in BOX]
+    asked = written(a.select("id", *sides).where(_whole()).withColumn("_row", F.monotonically_increasing_id()))
+    there = written(b.select(F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("_row"), *sides).where(_whole()))
+    n = there.count()
+    took = there if n <= sample else there.where(F.rand(7) < sample / n)
+    got = took.select(*BOX).limit(2 * sample).toPandas().to_numpy(np.int64).reshape(-1, 4)
+    strips = min(STRIPS, -(-n // strip_rows))
+    bounds = [_bounds(np.concatenate([got[:, i], got[:, i + 2]]), strips) for i in (0, 1)]
+    # Of a strip of one value no point lies below another along its axis, so it is dealt to no task.
+    lone = [np.concatenate([[False], np.diff(edges) == 1, [False]])[: len(edges) + 1] for edges in bounds]
+    signs = np.array([c[-1] for c in _CORNERS], np.int64)
+
+    def corners(df: DataFrame, pick) -> DataFrame:
+        made = F.array(*[F.struct(F.lit(k).alias("k"), *pick(*c[:4])) for k, c in enumerate(_CORNERS)])
+        return df.select("_row", F.inline(made)).mapInArrow(placed, "_row long, k int, x long, y long, sx int, sy int")
+
+    def placed(batches):
+        for batch in batches:
+            strip = [np.searchsorted(bounds[i], batch.column(c).to_numpy(), side="right").astype(np.int32) for i, c in enumerate("xy")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, strip)], names=["_row", "k", "x", "y", "sx", "sy"])
+
+    points = corners(there, lambda x, y, *_: (F.col(x).alias("x"), F.col(y).alias("y")))
+    queries = corners(asked, lambda _, __, x, y: ((F.col(x[0]) + x[1]).alias("x"), (F.col(y[0]) + y[1]).alias("y")))
+    full = np.zeros((2, len(_CORNERS), len(bounds[0]) + 2, len(bounds[1]) + 2), np.int64)
+    for r in points.groupBy("k", "sx", "sy").agg(F.count("*").alias("n"), F.sum("_row").alias("t")).toLocalIterator():  # a row for each corner and two strips at most
+        full[:, r["k"], r["sx"] + 1, r["sy"] + 1] = r["n"], r["t"]
+    whole = a.sparkSession.sparkContext.broadcast(full.cumsum(axis=2).cumsum(axis=3))
+
+    def of_strips(batches):
+        for batch in batches:
+            k, sx, sy = (batch.column(c).to_numpy() for c in ("k", "sx", "sy"))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(signs[k] * whole.value[i, k, sx, sy]) for i in (0, 1))], names=["_row", "n", "t"])
+
+    def dealt(batches):
+        for batch in batches:
+            x, sx, sy = (batch.column(c).to_numpy() for c in ("x", "sx", "sy"))
+            for axis, strip, along in ((0, sx, x), (1, sy, sx.astype(np.int64))):  # in a strip of y, points of strips of x further left count
+                rows = np.flatnonzero(~lone[axis][strip])
+                took = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([took.column("_row"), took.column("k"), pa.array(np.full(len(rows), axis, np.int32)), pa.array(strip[rows]), pa.array(along[rows]), took.column("y"), took.column("ask")], names=["_row", "k", "axis", "strip", "x", "y", "ask"])
+
+    def counted(key, table):
+        sign, ask = signs[key[0].as_py()], table.column("ask").to_numpy(zero_copy_only=False)
+        row, x, y = (table.column(c).to_numpy() for c in ("_row", "x", "y"))
+        n, total = below(x[~ask], y[~ask], row[~ask], x[ask], y[ask])
+        return pa.table({"_row": row[ask], "n": sign * n, "t": sign * total})
+
+    both = queries.withColumn("ask", F.lit(True)).unionByName(points.withColumn("ask", F.lit(False)))
+    in_strips = both.mapInArrow(dealt, "_row long, k int, axis int, strip int, x long, y long, ask boolean").groupBy("k", "axis", "strip").applyInArrow(counted, "_row long, n long, t long")
+    sums = in_strips.unionByName(queries.mapInArrow(of_strips, "_row long, n long, t long")).groupBy("_row").agg(F.sum("n").alias("hits"), F.sum("t").alias("total"))
+    return asked.join(sums, "_row").drop("_row")

@@ -59,3 +59,24 @@ def test_a_bounded_sample(spark):
     held = O.in_cells(boxes, cut).groupBy("_cell").count().toPandas()["count"]
     assert len(cut) > 5 and held.max() <= 1500
     assert O.cells_of(np.zeros((0, 4), np.int64), 10) == set() and O.cells_of(np.array([[1, 1, 1, 1]] * 50), 10) != set()
+
+
+@pytest.mark.parametrize("kind", ["globe", "city", "one place", "lines"])
+def test_sums_without_pairs(spark, kind):
+    """Hits and sums of ids against all pairs, in many strips and in one."""
+    a, b = made(kind, 300, 3), made(kind, 400, 4, 1000)
+    odd = [(9000, None, 1, 2, 3), (9001, 5, 5, 4, 5), (9002, 1, 1, None, None)]
+    want = {}
+    for i, j in brute(a, b):
+        want[i] = (want.get(i, (0, 0))[0] + 1, want.get(i, (0, 0))[1] + j)
+    for rows in (25, 50_000):
+        got = O.overlap_sums(spark.createDataFrame(a + odd, BOX), spark.createDataFrame(b + odd, BOX), strip_rows=rows, sample=150).collect()
+        assert len(got) == len(a) and {r.id: (r.hits, r.total) for r in got if r.hits} == want
+    assert [r.hits for r in O.overlap_sums(spark.createDataFrame(a[:2], BOX), spark.createDataFrame([], BOX)).collect()] == [0, 0]
+
+
+def test_sums_of_boxes_upon_each_other(spark):
+    """As many pairs as no join could make: 200,000 boxes of which each meets all."""
+    boxes = spark.range(200_000).selectExpr("id", "cast(-id as int) as min_lon7", "0 as min_lat7", "cast(id as int) as max_lon7", "1 as max_lat7")
+    got = O.overlap_sums(boxes, boxes).agg(F.min("hits").alias("a"), F.max("hits").alias("b"), F.min("total").alias("c"), F.max("total").alias("d")).first()
+    assert (got.a, got.b, got.c, got.d) == (200_000, 200_000, 200_000 * 199_999 // 2, 200_000 * 199_999 // 2)
