@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,20 +130,36 @@ def interior_point(*rings: np.ndarray) -> tuple[float, float]:
 def interior_points(shapes: Column) -> Column:
     """struct<lon7, lat7> inside of shapes (polygons of closed rings of lon7, lat7): in the polygon of the largest outer ring. Null for an empty shape."""
 
-    def run(batch: pd.Series) -> pd.DataFrame:
-        out = []
-        for shape in batch:
-            polygons = [[np.array([(p["lon7"], p["lat7"]) for p in ring], float) for ring in part] for part in (shape if shape is not None else [])]
-            polygons = [p for p in polygons if p and len(p[0]) >= 4]
-            if not polygons:
-                out.append((None, None))
-                continue
+    def run(batch: pa.Array) -> pa.Array:
+        lon, lat = np.zeros(len(batch)), np.zeros(len(batch))
+        found = np.zeros(len(batch), bool)
+        # Offsets are read level by level and only where a list holds something: lists of a batch without any may have none.
+        held = np.flatnonzero(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False) > 0)
+        if len(held):
+            shapes = batch.take(pa.array(held))
+            parts, part_ends = shapes.flatten(), _ends(shapes)
+            ring_ends = _ends(parts)
+            rings = parts.flatten() if ring_ends[-1] else None
+            point_ends = _ends(rings) if ring_ends[-1] else np.zeros(1, np.int64)
+            points = rings.flatten() if point_ends[-1] else None
+            xy = np.stack([points.field(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1)], axis=1) if point_ends[-1] else np.zeros((0, 2))
+            ring = lambda i: xy[point_ends[i] : point_ends[i + 1]]
             area = lambda r: abs(float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum()))
-            x, y = interior_point(*max(polygons, key=lambda p: area(p[0] - p[0][0])))
-            out.append((round(x), round(y)))
-        return pd.DataFrame(out, columns=["lon7", "lat7"]).astype("Int64")
+            for at, p0, p1 in zip(held.tolist(), part_ends[:-1].tolist(), part_ends[1:].tolist()):
+                polygons = [[ring(i) for i in range(ring_ends[p], ring_ends[p + 1])] for p in range(p0, p1)]
+                polygons = [p for p in polygons if p and len(p[0]) >= 4]
+                if polygons:
+                    lon[at], lat[at] = interior_point(*max(polygons, key=lambda p: area(p[0] - p[0][0])))
+                    found[at] = True
+        whole = [pa.array(np.round(c).astype(np.int64), mask=~found) for c in (lon, lat)]
+        return pa.StructArray.from_arrays(whole, names=["lon7", "lat7"])
+
+    return F.arrow_udf(run, "struct<lon7:long,lat7:long>")(shapes)
+
 
-    return F.pandas_udf(run, "struct<lon7:long,lat7:long>", functionType=F.PandasUDFType.SCALAR)(shapes)
+def _ends(lists: pa.Array) -> np.ndarray:
+    """Where each list of an array begins in its flattened values, and the end of the last one."""
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
 
 
 def half_way(points: Column) -> Column:
