@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.changes import applied_elements
-from . import pbf
+from . import pbf, pbf_blocks
 from .tables import scratch, written
 
 _KEY = ["osm_type", "id"]
@@ -58,9 +58,9 @@ def opened(blobs: DataFrame) -> DataFrame:
         for batch in batches:
             for path, at, size in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "bytes"))):
                 for _, _, _, payload in pbf._blobs(path, at, at + 1, sure=True):
-                    rows = pbf.decode_block(payload)
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), pbf.TYPES)], names=list(pbf.COLUMNS))
+                    rows = pbf_blocks.decoded(payload)
+                    if rows is not None:
+                        yield rows
 
     return blobs.select("path", "at", "bytes").repartition("path", "at").mapInArrow(run, pbf.SCHEMA)
 

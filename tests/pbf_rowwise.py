@@ -1,0 +1,157 @@
+"""Blocks of map files coded and decoded element by element, as a measure for the kernels that work by columns."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from geoloom.sources import wire as W
+
+
+def _degrees(offset: int, granularity: int, values: np.ndarray) -> np.ndarray:
+    """Nanodegrees cut to the 1e-7 grid, towards zero."""
+    nano = offset + granularity * values
+    return np.sign(nano) * (np.abs(nano) // 100)
+
+
+def _place(lon: int, lat: int) -> tuple:
+    return (lon, lat) if abs(lon) <= 1_800_000_000 and abs(lat) <= 900_000_000 else (None, None)
+
+
+def _tags(strings: list[str], keys, values) -> list[dict]:
+    n = len(strings)
+    return [{"k": strings[k], "v": strings[v]} for k, v in zip(keys, values) if k < n and v < n]
+
+
+def _meta(got: dict, strings: list[str]) -> dict | None:
+    """An element's version and author, from an Info message's fields."""
+    if not got:
+        return None
+    user = got.get(5, 0)
+    return {"version": W.signed(got[1]) if 1 in got else None, "timestamp": W.signed(got.get(2, 0)), "changeset": W.signed(got.get(3, 0)), "uid": W.signed(got.get(4, 0)), "user": strings[user] if user < len(strings) else ""}
+
+
+def decode_block(data: bytes, columns: frozenset | None = None, types: frozenset | None = None) -> list[tuple]:
+    """The elements of a primitive block as rows of SCHEMA.
+
+    Of `columns` (None: all), those that aren't named may be left empty; other `types` than those wanted (None: all) are
+    left out. Tag pairs that point outside the string table are left out. places are a way's own coordinates, if the file gives
+    one for each reference; a place off the globe is null, in nodes and ways.
+    """
+    strings, groups, granularity, lat0, lon0, seconds = [], [], 100, 0, 0, 1000
+    for no, v in W.fields(data):
+        if no == 1:
+            strings = [s.decode("utf-8", "replace") for k, s in W.fields(v) if k == 1]
+        elif no == 2:
+            groups.append(v)
+        elif no == 17:
+            granularity = v
+        elif no == 18:
+            seconds = v
+        elif no == 19:
+            lat0 = W.signed(v)
+        elif no == 20:
+            lon0 = W.signed(v)
+
+    asked = lambda name: columns is None or name in columns
+
+    def tags_of(keys, values) -> list[dict] | None:
+        return _tags(strings, keys, values) if asked("tags") else None
+
+    def meta(info: bytes) -> dict | None:
+        out = _meta(dict(W.fields(info)), strings) if asked("meta") else None
+        return out and out | {"timestamp": out["timestamp"] * seconds // 1000}
+
+    def places(lons: np.ndarray, lats: np.ndarray) -> list[tuple]:
+        return [_place(*p) for p in zip(_degrees(lon0, granularity, lons).tolist(), _degrees(lat0, granularity, lats).tolist())]
+
+    def deltas(got: dict, no: int) -> np.ndarray:
+        return np.cumsum(W.unzigzag(W.unpack(got.get(no, b""))))
+
+    rows: list[tuple] = []
+    for group in groups:
+        for kind, v in W.fields(group):
+            if kind not in (1, 2, 3, 4) or (types is not None and max(kind - 1, 1) not in types):
+                continue
+            got = dict(W.fields(v))
+            if kind == 2 and not asked("tags") and not asked("meta"):
+                rows += [(1, node, *place, None, None, None, None, None) for node, place in zip(deltas(got, 1).tolist(), places(deltas(got, 9), deltas(got, 8)) if asked("lon7") or asked("lat7") else iter(lambda: (None, None), 0))]
+                continue
+            if kind == 2:
+                flat, at = W.unpack(got.get(10, b"")).tolist(), 0
+                info = dict(W.fields(got.get(5, b""))) if asked("meta") else {}
+                versions = W.unpack(info.get(1, b"")).view(np.int64).tolist()
+                others = {no: deltas(info, no).tolist() for no in (2, 3, 4, 5)}
+                for i, (node, place) in enumerate(zip(deltas(got, 1).tolist(), places(deltas(got, 9), deltas(got, 8)))):
+                    end = at
+                    while end < len(flat) and flat[end]:
+                        end += 2
+                    own = {1: versions[i]} | {no: c[i] for no, c in others.items() if i < len(c)} if i < len(versions) else {}
+                    m = _meta(own, strings)
+                    rows.append((1, node, *place, tags_of(flat[at:end:2], flat[at + 1 : end : 2]), None, None, None, m and m | {"timestamp": m["timestamp"] * seconds // 1000}))
+                    at = end + 1
+                continue
+            tags = tags_of(W.unpack(got.get(2, b"")).tolist(), W.unpack(got.get(3, b"")).tolist()) if asked("tags") else None
+            m = meta(got.get(4, b""))
+            if kind == 1:
+                node, lat, lon = (W.unzigzag(np.array([got.get(k, 0)], np.uint64)) for k in (1, 8, 9))
+                rows.append((1, int(node[0]), *places(lon, lat)[0], tags, None, None, None, m))
+            elif kind == 3:
+                refs, lats, lons = (deltas(got, no) for no in (8, 9, 10))
+                own = [{"lon7": x, "lat7": y} if x is not None else None for x, y in places(lons, lats)] if len(refs) and len(lats) == len(lons) == len(refs) else None
+                rows.append((2, W.signed(got[1]), None, None, tags, refs.tolist(), None, own, m))
+            else:
+                roles, kinds = W.unpack(got.get(8, b"")).tolist(), W.unpack(got.get(10, b"")).tolist()
+                members = [{"osm_type": k + 1, "ref": r, "role": strings[s] if s < len(strings) else ""} for s, r, k in zip(roles, deltas(got, 9).tolist(), kinds)]
+                rows.append((3, W.signed(got[1]), None, None, tags, None, members, None, m))
+    return rows
+
+
+class _Strings(dict):
+    def __missing__(self, s: str) -> int:
+        self[s] = n = len(self) + 1
+        return n
+
+    def pairs(self, tags) -> tuple[list[int], list[int]]:
+        tags = [t for t in tags or [] if t and t["k"] is not None and t["v"] is not None]
+        return [self[t["k"]] for t in tags], [self[t["v"]] for t in tags]
+
+
+def _delta(values) -> np.ndarray:
+    return W.zigzag(np.diff(np.asarray(values, np.int64), prepend=0))
+
+
+def _info(m: dict | None, strings: _Strings) -> bytes:
+    if not m:
+        return b""
+    return W.block(4, W.number(1, m["version"] or 0) + W.number(2, m["timestamp"] or 0) + W.number(3, m["changeset"] or 0) + W.number(4, m["uid"] or 0) + W.number(5, strings[m["user"] or ""]))
+
+
+def encode_block(kind: int, rows: list[dict]) -> bytes:
+    """A primitive block of elements of one type; null references and members are left out."""
+    strings = _Strings()
+    if kind == 1:
+        tags: list[int] = []
+        for r in rows:
+            tags += [x for pair in zip(*strings.pairs(r["tags"])) for x in pair] + [0]
+        body = W.packed(1, _delta([r["id"] for r in rows])) + W.packed(8, _delta([r["lat7"] for r in rows])) + W.packed(9, _delta([r["lon7"] for r in rows])) + W.packed(10, tags)
+        if any(r["meta"] for r in rows):
+            m = [r["meta"] or {} for r in rows]
+            own = [[x.get(k) or 0 for x in m] for k in ("version", "timestamp", "changeset", "uid")] + [[strings[x.get("user") or ""] for x in m]]
+            body += W.block(5, W.packed(1, own[0]) + b"".join(W.packed(no, _delta(v)) for no, v in zip((2, 3, 4, 5), own[1:])))
+        group = W.block(2, body)
+    else:
+        parts = []
+        for r in rows:
+            keys, values = strings.pairs(r["tags"])
+            body = W.number(1, r["id"]) + W.packed(2, keys) + W.packed(3, values) + _info(r["meta"], strings)
+            if kind == 2:
+                body += W.packed(8, _delta([x for x in r["refs"] or [] if x is not None]))
+                if r["places"] and len(r["places"]) == len(r["refs"] or []):
+                    at = [(p["lat7"], p["lon7"]) if p else (2**31 - 1,) * 2 for p in r["places"]]  # off the globe: no place
+                    body += b"".join(W.packed(no, _delta(c)) for no, c in zip((9, 10), zip(*at)))
+            else:
+                m = [x for x in r["members"] or [] if x]
+                body += W.packed(8, [strings[x["role"] or ""] for x in m]) + W.packed(9, _delta([x["ref"] for x in m])) + W.packed(10, [x["osm_type"] - 1 for x in m])
+            parts.append(W.block(kind + 1, body))
+        group = b"".join(parts)
+    return W.block(1, W.block(1, b"") + b"".join(W.block(1, s.encode()) for s in strings)) + W.block(2, group)
