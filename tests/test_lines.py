@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from geoloom.operators import lines as LN
 
@@ -83,3 +84,20 @@ def test_what_can_not_be(spark):
         with pytest.raises(ValueError):
             bad()
     assert LN.dashes(lines.limit(0), 1, 1).count() == 0 and LN.anchors(lines.limit(0), 1, 1, 5).count() == 0
+
+
+def test_tasks_follow_the_number_of_references(spark, monkeypatch):
+    from geoloom.operators import ways
+    from geoloom.sources import tables
+
+    def made():
+        refs, nodes = tables.way_refs(spark, "/root/testdata/sf0.001"), tables.nodes(spark, "/root/testdata/sf0.001")
+        rows = refs.count()
+        found = [ways.odd_segments(ways.segments(refs), "way_id"), ways.vertex_degrees(ways.segments(refs), "way_id"), ways.located(refs, nodes, rows)]
+        return [(sorted(map(str, df.collect())), df.select(F.spark_partition_id()).distinct().count()) for df in found], rows
+
+    (plain, rows) = made()
+    monkeypatch.setattr(tables, "ROWS", rows // 12)
+    spread, _ = made()
+    assert [r for r, _ in spread] == [r for r, _ in plain]
+    assert all(n <= 4 for _, n in plain) and all(n >= 12 for _, n in spread)
