@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, read
+from .common import n_words, read
 
 CAPACITY = 2048
 PER_SOURCE = 2
@@ -101,9 +101,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACIT
     is a value as any other. An empty table gives no rows.
     """
     keyed = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"))
-    counted = materialize(spark, keyed.groupBy("doc_id", "source", "size", "cluster").agg(F.count("*").cast("int").alias("copies")))
-    rows = counted.agg(F.sum("copies")).first()[0] or 0
-    shards = -(-rows // shard_rows) or 1
+    counted = keyed.groupBy("doc_id", "source", "size", "cluster").agg(F.count("*").cast("int").alias("copies"))
+    shards = -(-docs.count() // shard_rows) or 1  # reads no text of a written table
     dealt = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     dealt = dealt.withColumn("rest", F.col("size") % capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "cluster"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity, per_source), PLACED)

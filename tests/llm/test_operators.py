@@ -182,6 +182,12 @@ def test_packing(spark, docs, nothing):
     assert packing.pack_documents(spark, nothing).count() == 0
 
 
+def test_packing_writes_no_scratch_table(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr("geoloom.llm.common.shared_dir", lambda _: f"file://{tmp_path}/written")
+    assert packing.pack_documents(spark, docs).count() > 0
+    assert not (tmp_path / "written").exists()
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     r = random.Random(4)
     items = sorted(((r.randint(1, 60), r.randrange(5), r.choice([-1, -1, 0, 1, 2])) for _ in range(300)), reverse=True)
