@@ -28,6 +28,12 @@ COVERED = 80
 BITS_LOG2 = 26
 #: Words that a task counts, and tokens that it gathers, before it passes them on.
 HELD_WORDS, HELD_TOKENS = 300_000, 2_000_000
+#: Rows that a task passes on at once, so that neither it nor Spark has many of them as strings.
+SENT_ROWS = 50_000
+#: The phrase whose count is that of all words of a language: it is no word.
+ALL = "."
+#: A table of what is frequent is written by one of so many of the shuffle's tasks, as it is far less than what was counted, but by so many at least.
+FEWER_TASKS, LEAST_TASKS = 16, 4
 #: A prefix with more than one of so many of all occurrences is dealt to several tasks; no more than so many prefixes are.
 HOT_SHARE = 2000
 #: Tasks of a hot prefix for each such share that it has.
@@ -52,12 +58,13 @@ def _strings(values) -> pa.Array:
 
 
 def word_counts(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(lang, phrase, f) of all words of `docs` (lang, text), summed by each task before the shuffle."""
+    """(lang, phrase, f) of all words of `docs` (lang, text) and, as the phrase ALL, of them together; summed by each task before the shuffle."""
     small_batches(spark)
 
     def rows(held):
         for lang, counts in held.items():
             counts.pop(b".", None)
+            counts[ALL.encode()] = counts.total()
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counts), pa.string()), "phrase": _strings(counts), "c": pa.array(list(counts.values()), pa.int64())})
         held.clear()
 
@@ -153,6 +160,11 @@ def _pairs(ids: _Ids, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, at[places] << 32 | at[places + 1]
 
 
+def _parts(n: int):
+    """Slices of SENT_ROWS of `n` rows."""
+    return (slice(at, at + SENT_ROWS) for at in range(0, n, SENT_ROWS))
+
+
 def _spaced(words: pa.Array, *columns: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in columns), " ")
 
@@ -164,8 +176,10 @@ def pair_counts(spark: SparkSession, docs: DataFrame, words) -> DataFrame:
     def run(batches):
         for lang, ids, at in _numbered(batches, words.value):
             codes, n = np.unique(_pairs(ids, at)[1], return_counts=True)
-            phrase = _spaced(_strings(ids.words), codes >> 32, codes & 0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrase, pa.array(n)], names=["lang", "phrase", "c"])
+            strings = _strings(ids.words)
+            for some in _parts(len(n)):
+                phrase = _spaced(strings, codes[some] >> 32, codes[some] & 0xFFFFFFFF)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), phrase, pa.array(n[some])], names=["lang", "phrase", "c"])
 
     return _by_lang(docs).mapInArrow(run, "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
 
@@ -195,10 +209,10 @@ def projected(spark: SparkSession, docs: DataFrame, words, pairs) -> DataFrame:
             else:  # one text of very many words
                 keys, n = np.unique(np.stack([pair[first], third, fourth], axis=1), axis=0, return_counts=True)
                 prefix, third, fourth = codes[keys[:, 0]], keys[:, 1], keys[:, 2]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n), pa.string()), _spaced(strings, prefix >> 32, prefix & 0xFFFFFFFF), strings.take(pa.array(third)), strings.take(pa.array(fourth, mask=fourth == 0)), pa.array(n)],
-                names=["lang", "prefix", "third", "fourth", "c"],
-            )
+            for some in _parts(len(n)):
+                spaced = _spaced(strings, prefix[some] >> 32, prefix[some] & 0xFFFFFFFF)
+                follow = [strings.take(pa.array(third[some])), strings.take(pa.array(fourth[some], mask=fourth[some] == 0))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(spaced), pa.string()), spaced, *follow, pa.array(n[some])], names=["lang", "prefix", "third", "fourth", "c"])
 
     return _by_lang(docs).mapInArrow(run, "lang string, prefix string, third string, fourth string, c long")
 
@@ -274,15 +288,21 @@ def grown(pairs: DataFrame, occurrences: DataFrame, least: int = LEAST, hot_shar
     return found.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
 
 
+def _written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A table of what is frequent, in files for FEWER_TASKS of the shuffle's tasks each."""
+    return materialize(spark, df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")) // FEWER_TASKS, LEAST_TASKS)))
+
+
 def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f) of the phrases of 1 to LONGEST words that occur at least `least` times, (lang, n) of all words)."""
-    words = materialize(spark, word_counts(spark, docs))
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    common = words.where(F.col("f") >= least)
+    is_all = F.col("phrase") == ALL
+    words = _written(spark, word_counts(spark, docs).where(is_all | (F.col("f") >= least)))
+    totals = words.where(is_all).select("lang", F.col("f").alias("n"))
+    common = words.where(~is_all)
     known = bit_table(spark, common)
-    pairs = materialize(spark, pair_counts(spark, docs, known).where(F.col("f") >= least))
+    pairs = _written(spark, pair_counts(spark, docs, known).where(F.col("f") >= least))
     more = grown(pairs, projected(spark, docs, known, bit_table(spark, pairs)), least)
-    return materialize(spark, common.unionByName(pairs).unionByName(more)), totals
+    return _written(spark, common.unionByName(pairs).unionByName(more)), totals
 
 
 def _wide(c) -> F.Column:

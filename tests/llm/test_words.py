@@ -4,8 +4,10 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +241,38 @@ def test_collocations_of_odd_tables(spark):
     assert got == brute_collocations(long) and got[0][0] == "und"
 
 
+def test_few_files_of_what_is_frequent(spark, tmp_path, monkeypatch):
+    paths = iter(f"file://{tmp_path}/{i}" for i in range(9))
+    monkeypatch.setattr("geoloom.llm.common.shared_dir", lambda _: next(paths))
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    rows = phrased() + [(900 + i, f"rare{i}", "en", "s", 0) for i in range(500)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(r) for r in collocations.collocations(spark, spark.createDataFrame(rows, DOC)).collect())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == brute_collocations(rows)
+    assert [len(list((tmp_path / str(i)).glob("part-*"))) <= 4 for i in range(3)] == [True] * 3
+    assert spark.read.parquet(f"file://{tmp_path}/0").where(F.col("phrase").startswith("rare")).count() == 0
+
+
+def test_occurrences_leave_a_task_in_parts(spark):
+    class Docs:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    every = SimpleNamespace(value=np.full(1 << 10, 2**64 - 1, np.uint64))
+    n = 120_000
+    texts = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [" ".join(f"w{i}" for i in range(n))]})
+    sent = list(collocations.projected(spark, Docs(), every, every)(iter([texts])))
+    assert max(b.num_rows for b in sent) <= 50_000 and sum(sum(b.column("c").to_pylist()) for b in sent) == n - 2
+    follow = {p: (t, f) for b in sent for p, t, f in zip(*(b.column(c).to_pylist() for c in ("prefix", "third", "fourth")))}
+    assert follow == {f"w{i} w{i + 1}": (f"w{i + 2}", f"w{i + 3}" if i + 3 < n else None) for i in range(n - 2)}
+
+
 def test_exact_arithmetic_of_large_counts(spark, monkeypatch):
     big = 3_000_000_000_000_000
     phrases = spark.createDataFrame([("en", "a", big + 2), ("en", "b", big), ("en", "c", big + 1), ("en", "a b", big - 1), ("en", "b c", big - 1), ("en", "a b c", big // 2)], "lang string, phrase string, f long")
